@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import one_form
+from vettiver.llm import near_copies, one_form
 from vettiver.sources.tables import table
 
 
@@ -20,7 +20,24 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return asked.select(F.lit("queryrequest").alias("src"), "key_a", "key_b").unionByName(chunks.select(F.lit("tamil").alias("src"), "key_a", "key_b"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks of one language that have at least three quarters of their words in common."""
+    found = [near_copies.pairs_of_keys(*near_copies.near_copies(table(spark, folder, name), "chunk_id", "text")) for name in ("tamil", "hindi")]
+    return found[0].unionByName(found[1]).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk of at least eight words with the class of near-copies it belongs to and its number of links."""
+    found = [
+        near_copies.classes(*near_copies.near_copies(table(spark, folder, name), "chunk_id", "text")).select(F.lit(name).alias("src"), "key", "class_key", "links")
+        for name in ("tamil", "hindi")
+    ]
+    return found[0].unionByName(found[1]).select("src", F.col("key").alias("chunk_id"), F.col("class_key").alias("class_id"), "links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p4_found": p4_found,
 }
 
