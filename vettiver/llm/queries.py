@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import near_copies, one_form
+from vettiver.llm import near_copies, one_form, sentences
 from vettiver.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Start and end of each sentence of the Tamil chunks and of the evidence in all its languages."""
+    tamil = sentences.sentences(table(spark, folder, "tamil").select("chunk_id", "text"), "chunk_id", "text")
+    evidence = sentences.sentences(table(spark, folder, "sourceevidence").select("evidence_id", "text"), "evidence_id", "text")
+    both = tamil.withColumn("src", F.lit("tamil")).unionByName(evidence.withColumn("src", F.lit("sourceevidence")))
+    return both.select("src", F.col("key").alias("text_key"), "start_pos", "end_pos").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Requests that show a known question in other characters, and Tamil chunks that read the same."""
     asked = one_form.shown_questions(
@@ -38,6 +46,7 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
+    "p3_found": p3_found,
     "p4_found": p4_found,
 }
 
