@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import near_copies, one_form, sentences
+from vettiver.llm import near_copies, one_form, packing, sentences, tokens
 from vettiver.sources.tables import table
 
 
@@ -43,11 +43,24 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).select("src", F.col("key").alias("chunk_id"), F.col("class_key").alias("class_id"), "links")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k; empty and null texts have the empty list."""
+    return tokens.token_ids(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that has text in containers of 8,192 tokens."""
+    sizes = tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
 }
 
 ORACLE_SQL: dict[str, str] = {}
