@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import near_copies, one_form, packing, sentences, tokens
+from vettiver.llm import near_copies, one_form, packing, percentiles, sentences, tokens
 from vettiver.sources.tables import table
 
 
@@ -28,6 +28,37 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return asked.select(F.lit("queryrequest").alias("src"), "key_a", "key_b").unionByName(chunks.select(F.lit("tamil").alias("src"), "key_a", "key_b"))
 
 
+PERCENTS = (50, 70, 90, 95, 99)
+METRICS = ("full_rag_ttft_ms", "retrieval_ms", "embed_ms")
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact latency percentiles per language, and per language and run day, from partial counts of days."""
+    log = table(spark, folder, "full_rag_t4_per_query").select("result_id", "language", F.to_date("run_ts").alias("run_day"), *METRICS)
+    levels = {"language": ["language"], "language_day": ["language", "run_day"]}
+    return percentiles.percentiles(log, "result_id", levels, ["language", "run_day"], METRICS, PERCENTS)
+
+
+P1_SQL = """
+WITH once AS (
+  SELECT min(language) AS language, min(CAST(run_ts AS DATE)) AS run_day, min(full_rag_ttft_ms) AS a, min(retrieval_ms) AS b, min(embed_ms) AS c
+  FROM full_rag_t4_per_query GROUP BY result_id),
+long AS (
+  SELECT language, run_day, 'full_rag_ttft_ms' AS metric, a AS v FROM once UNION ALL
+  SELECT language, run_day, 'retrieval_ms', b FROM once UNION ALL
+  SELECT language, run_day, 'embed_ms', c FROM once),
+levels AS (
+  SELECT 'language' AS level, language, CAST(NULL AS DATE) AS run_day, metric, v FROM long WHERE v IS NOT NULL AND NOT isnan(v) UNION ALL
+  SELECT 'language_day', language, run_day, metric, v FROM long WHERE v IS NOT NULL AND NOT isnan(v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY level, language, run_day, metric ORDER BY v) AS r,
+    count(*) OVER (PARTITION BY level, language, run_day, metric) AS total FROM levels),
+wanted AS (SELECT CAST(unnest([50, 70, 90, 95, 99]) AS INTEGER) AS percent)
+SELECT level, language, run_day, metric, percent, total, v AS value
+FROM ranked, wanted WHERE r = (total * percent + 99) // 100
+"""
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks of one language that have at least three quarters of their words in common."""
     found = [near_copies.pairs_of_keys(*near_copies.near_copies(table(spark, folder, name), "chunk_id", "text")) for name in ("tamil", "hindi")]
@@ -55,6 +86,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_percentiles": p1_percentiles,
     "p2_found": p2_found,
     "p2_classes": p2_classes,
     "p3_found": p3_found,
@@ -63,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_containers": p7_containers,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p1_percentiles": P1_SQL,
+}
