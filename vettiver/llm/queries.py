@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import near_copies, one_form, packing, percentiles, sentences, tokens
+from vettiver.llm import near_copies, neighbours, one_form, packing, percentiles, sentences, tokens
 from vettiver.sources.tables import table
 
 
@@ -74,6 +74,26 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).select("src", F.col("key").alias("chunk_id"), F.col("class_key").alias("class_id"), "links")
 
 
+def _nearest(spark: SparkSession, folder: str) -> DataFrame:
+    named = table(spark, folder, "metadata").select(F.col("vector_row").alias("row"))
+    return neighbours.nearest(table(spark, folder, "vectors"), "vector_row", "embedding", named)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vector rows of which one is among the ten most similar of the other."""
+    found = _nearest(spark, folder)
+    return found.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b")).distinct()
+
+
+def p5_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every vector row that 100 divides, with the chunks of both."""
+    found = _nearest(spark, folder).where("row_a % 100 = 0")
+    chunks = table(spark, folder, "metadata").where("vector_row IS NOT NULL").groupBy("vector_row").agg(F.min("chunk_id").alias("chunk"))
+    a = chunks.select(F.col("vector_row").alias("row_a"), F.col("chunk").alias("chunk_a"))
+    b = chunks.select(F.col("vector_row").alias("row_b"), F.col("chunk").alias("chunk_b"))
+    return found.join(a, "row_a").join(b, "row_b").select("row_a", "chunk_a", "row_b", "chunk_b", F.round("similarity", 6).alias("similarity"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k; empty and null texts have the empty list."""
     return tokens.token_ids(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -91,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_chunks": p5_chunks,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
 }
