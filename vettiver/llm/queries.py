@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vettiver.llm import near_copies, neighbours, one_form, packing, percentiles, sentences, tokens
+from vettiver.llm import near_copies, neighbours, one_form, packing, percentiles, sentences, subjects, tokens
 from vettiver.sources.tables import table
 
 
@@ -33,28 +33,34 @@ METRICS = ("full_rag_ttft_ms", "retrieval_ms", "embed_ms")
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact latency percentiles per language, and per language and run day, from partial counts of days."""
-    log = table(spark, folder, "full_rag_t4_per_query").select("result_id", "language", F.to_date("run_ts").alias("run_day"), *METRICS)
-    levels = {"language": ["language"], "language_day": ["language", "run_day"]}
-    return percentiles.percentiles(log, "result_id", levels, ["language", "run_day"], METRICS, PERCENTS)
+    """Exact latency percentiles per language, per language and run day, and per language and run.
+
+    A run is the log's file: its partial counts are combined into those of days and of all time.
+    """
+    log = table(spark, folder, "full_rag_t4_per_query").select("result_id", "language", F.to_date("run_ts").alias("run_day"), "run_id", *METRICS)
+    levels = {"language": ["language"], "language_day": ["language", "run_day"], "language_run": ["language", "run_id"]}
+    return percentiles.percentiles(log, "result_id", levels, ["language", "run_day", "run_id"], METRICS, PERCENTS)
 
 
 P1_SQL = """
 WITH once AS (
-  SELECT min(language) AS language, min(CAST(run_ts AS DATE)) AS run_day, min(full_rag_ttft_ms) AS a, min(retrieval_ms) AS b, min(embed_ms) AS c
+  SELECT min(language) AS language, min(CAST(run_ts AS DATE)) AS run_day, min(run_id) AS run_id,
+    min(full_rag_ttft_ms) AS a, min(retrieval_ms) AS b, min(embed_ms) AS c
   FROM full_rag_t4_per_query GROUP BY result_id),
 long AS (
-  SELECT language, run_day, 'full_rag_ttft_ms' AS metric, a AS v FROM once UNION ALL
-  SELECT language, run_day, 'retrieval_ms', b FROM once UNION ALL
-  SELECT language, run_day, 'embed_ms', c FROM once),
+  SELECT * FROM (
+    SELECT language, run_day, run_id, 'full_rag_ttft_ms' AS metric, a AS v FROM once UNION ALL
+    SELECT language, run_day, run_id, 'retrieval_ms', b FROM once UNION ALL
+    SELECT language, run_day, run_id, 'embed_ms', c FROM once) WHERE v IS NOT NULL AND NOT isnan(v)),
 levels AS (
-  SELECT 'language' AS level, language, CAST(NULL AS DATE) AS run_day, metric, v FROM long WHERE v IS NOT NULL AND NOT isnan(v) UNION ALL
-  SELECT 'language_day', language, run_day, metric, v FROM long WHERE v IS NOT NULL AND NOT isnan(v)),
+  SELECT 'language' AS level, language, CAST(NULL AS DATE) AS run_day, CAST(NULL AS VARCHAR) AS run_id, metric, v FROM long UNION ALL
+  SELECT 'language_day', language, run_day, NULL, metric, v FROM long UNION ALL
+  SELECT 'language_run', language, NULL, run_id, metric, v FROM long),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY level, language, run_day, metric ORDER BY v) AS r,
-    count(*) OVER (PARTITION BY level, language, run_day, metric) AS total FROM levels),
+  SELECT *, row_number() OVER (PARTITION BY level, language, run_day, run_id, metric ORDER BY v) AS r,
+    count(*) OVER (PARTITION BY level, language, run_day, run_id, metric) AS total FROM levels),
 wanted AS (SELECT CAST(unnest([50, 70, 90, 95, 99]) AS INTEGER) AS percent)
-SELECT level, language, run_day, metric, percent, total, v AS value
+SELECT level, language, run_day, run_id, metric, percent, total, v AS value
 FROM ranked, wanted WHERE r = (total * percent + 99) // 100
 """
 
@@ -105,6 +111,12 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, "doc_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects that at least a quarter of each document's sentences or clauses is devoted to."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "kind")
+    return subjects.subjects_of(documents, table(spark, folder, "subject_example"), table(spark, folder, "subject_area"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
     "p2_found": p2_found,
@@ -115,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_chunks": p5_chunks,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 
 ORACLE_SQL: dict[str, str] = {
