@@ -89,7 +89,7 @@ def parsed_list(value: Column) -> Column:
     """A list from a list's JSON, or one value; null gives none. Items are trimmed, blank ones go; broken JSON is one value."""
     v = F.trim(value)
     parsed = F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
-    clean = F.filter(F.transform(parsed, F.trim), lambda x: x.isNotNull() & (x != ""))
+    clean = F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(clean)
 
 

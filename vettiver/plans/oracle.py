@@ -1 +1,275 @@
-ORACLE_SQL = {}
+"""The registered queries as SQL that DuckDB runs on the same tables."""
+
+from __future__ import annotations
+
+from vettiver.functions import lexicon as L
+
+BL = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LIST_MARK = r"^ *(?:\p{Nd}{1,2}|[A-Da-d])[.)]"
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(map(_q, xs)) + "]"
+
+
+def _by(language: str, values: dict, otherwise: str, show=_list) -> str:
+    return f"CASE {language} " + " ".join(f"WHEN {_q(k)} THEN {show(v)}" for k, v in values.items()) + f" ELSE {otherwise} END"
+
+
+def folded(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def terms(x: str) -> str:
+    return rf"coalesce(regexp_extract_all({folded(x)}, '[\p{{L}}\p{{M}}\p{{N}}]+'), [])"
+
+
+def collapsed(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{BL}+', ' ', 'g'))"
+
+
+def plain_form(x: str) -> str:
+    return collapsed(rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}_\t-\r\x{{1c}}-\x{{20}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}ऀ-ॿ஀-௿]', ' ', 'g')")
+
+
+def evidence_match(a: str, b: str) -> str:
+    return f"({a} = {b} OR (least(length({a}), length({b})) >= 4 AND (contains({a}, {b}) OR contains({b}, {a}))))"
+
+
+def engine_match(a: str, b: str, language: str) -> str:
+    n = f"least(length({a}), length({b}))"
+    p = f"greatest(4, ({n} * 7 + 9) // 10)"
+    return f"({a} = {b} OR ({language} = 'ta' AND {n} >= 5 AND left({a}, {p}) = left({b}, {p})))"
+
+
+def guardrail_match(a: str, b: str) -> str:
+    p = f"greatest(4, (length({a}) * 7 + 9) // 10)"
+    return rf"({a} = {b} OR (NOT regexp_matches({a}, '^\p{{Nd}}+$') AND least(length({a}), length({b})) >= 4 AND length({a}) >= {p} AND length({b}) >= {p} AND left({a}, {p}) = left({b}, {p})))"
+
+
+def count_matched(asked: str, shown: str, match) -> str:
+    return f"len(list_filter({asked}, lambda a: len(list_filter({shown}, lambda b: {match('a', 'b')})) > 0))"
+
+
+def any_in(x: str, markers: str) -> str:
+    return f"len(list_filter({markers}, lambda m: contains({x}, m))) > 0"
+
+
+def once(xs: str) -> str:
+    """The first of equal items only, in order."""
+    return f"list_filter({xs}, lambda t, i: list_position({xs}, t) = i)"
+
+
+CORPUS = """corpus AS (
+  SELECT DISTINCT 'ta' AS language, CAST(parent_id AS VARCHAR) AS parent_id, CAST(chunk_id AS VARCHAR) AS chunk_id, coalesce(text, '') AS text FROM tamil
+  UNION SELECT DISTINCT 'hi', CAST(parent_id AS VARCHAR), CAST(chunk_id AS VARCHAR), coalesce(text, '') FROM hindi)"""
+REQUESTS = """requests AS (
+  SELECT DISTINCT request_id, coalesce(query, '') AS query, language FROM queryrequest WHERE request_id IS NOT NULL)"""
+EVIDENCE = """evidence AS (
+  SELECT DISTINCT evidence_id, request_id, parent_id, chunk_id, lane, CASE WHEN NOT isnan(score) THEN score END AS score, coalesce(text, '') AS text
+  FROM sourceevidence WHERE evidence_id IS NOT NULL)"""
+PAIRS = f"""{REQUESTS}, {EVIDENCE},
+pairs AS (SELECT e.*, r.query, coalesce(r.language, '') AS lang, r.language FROM evidence e JOIN requests r USING (request_id))"""
+TOKENS = f"tok AS (SELECT *, {terms('text')} AS ts FROM corpus)"
+STATS = f"""{CORPUS}, {TOKENS},
+stats AS (SELECT language, count(*) AS n, avg(CAST(len(ts) AS DOUBLE)) AS avgdl FROM tok GROUP BY language),
+post AS (SELECT language, parent_id, chunk_id, dl, term, count(*) AS tf
+  FROM (SELECT language, parent_id, chunk_id, len(ts) AS dl, unnest(ts) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT language, term, count(*) AS df FROM post GROUP BY ALL)"""
+ASKED = "asked AS (SELECT query_id, 'full' AS vw, language, query AS text FROM validation_queries)"
+CONTENT = f"list_filter({terms('query')}, lambda t: length(t) >= 2 AND NOT list_contains({_by('coalesce(language, chr(0))', L.QUESTION_TERMS, '[]')}, t))"
+INFORMATIVE = f"list_filter({terms('query')}, lambda t: length(t) >= 2 AND NOT list_contains({_by('coalesce(language, chr(0))', L.QUESTION_WORDS, '[]')}, t))"
+BM25 = f"""wanted AS (SELECT query_id, vw, language, term, count(*) AS qtf FROM (SELECT query_id, vw, language, unnest({terms('text')}) AS term FROM asked) GROUP BY ALL),
+part AS (SELECT p.language, p.term, p.parent_id, p.chunk_id,
+  ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf / (p.tf + {_by('p.language', L.K1, '0.9', str)} * (1 - {_by('p.language', L.B, '0.4', str)} + {_by('p.language', L.B, '0.4', str)} * p.dl / s.avgdl)) AS part
+  FROM post p JOIN df d USING (language, term) JOIN stats s USING (language)),
+scored AS (SELECT query_id, vw, language, parent_id, chunk_id, round(sum(qtf * part), 9) AS score FROM part JOIN wanted USING (language, term) GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, vw ORDER BY score DESC, chunk_id) AS rnk FROM scored) WHERE rnk <= 350),
+parents AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, vw ORDER BY rnk) AS parent_rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id, vw, parent_id ORDER BY rnk) AS nth FROM hits WHERE parent_id <> '') WHERE nth = 1) WHERE parent_rank <= 50)"""
+ANCHORS = f"""{STATS},
+listed AS (SELECT query_id, language, query, {CONTENT} AS l FROM validation_queries),
+content AS (SELECT query_id, language, query, {once('l')} AS l FROM listed),
+items AS (SELECT query_id, language, u.pos AS pos, u.term AS term FROM (SELECT query_id, language, unnest(list_transform(l, lambda t, i: {{'pos': i, 'term': t}})) AS u FROM content)),
+idfs AS (SELECT i.*, coalesce(CASE WHEN d.df > 0 THEN round(ln(1 + (s.n + 1) / (d.df + 1)), 9) END, 0) AS idf
+  FROM items i LEFT JOIN df d USING (language, term) LEFT JOIN stats s USING (language)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, pos) AS r, max(idf) OVER (PARTITION BY query_id) AS top FROM idfs),
+kept AS (SELECT query_id, max(top) AS top_idf, coalesce(list(term ORDER BY pos) FILTER (WHERE r <= 3 AND idf > 0), list(term ORDER BY pos) FILTER (WHERE pos <= 3)) AS anchors FROM ordered GROUP BY query_id),
+anchored AS (SELECT v.query_id, v.language, v.query, coalesce(k.anchors, []) AS anchors, coalesce(k.top_idf, 0.0) AS top_idf FROM validation_queries v LEFT JOIN kept k USING (query_id))"""
+VIEWS = f"""{ANCHORS},
+views AS (
+  SELECT query_id, language, 'full' AS vw, {collapsed(folded('query'))} AS text FROM anchored UNION ALL
+  SELECT query_id, language, 'anchor', array_to_string(anchors, ' ') FROM anchored
+  WHERE len(anchors) > 0 AND array_to_string(anchors, ' ') <> {collapsed(folded('query'))} AND top_idf >= 2.0)"""
+LANES_SPARSE = f"""{VIEWS}, asked AS (SELECT query_id, vw, language, text FROM views), {BM25},
+sparse_lanes AS (SELECT query_id, 'sparse_' || vw AS lane, parent_id, parent_rank AS rnk FROM parents)"""
+USABLE = """usable AS (
+  SELECT vector_row, min(embedding) AS v FROM vectors
+  WHERE len(embedding) = 256 AND vector_row IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vector_row)"""
+VECTOR_HITS = f"""{USABLE},
+held AS (SELECT vector_row, CAST(v AS DOUBLE[]) AS v FROM usable WHERE vector_row IN (SELECT vector_row FROM metadata)),
+near AS (SELECT q.vector_row AS query_row, h.vector_row, round(list_cosine_similarity(q.v, h.v), 9) AS similarity
+  FROM held q, held h WHERE q.vector_row % 100 = 0 AND q.vector_row <> h.vector_row),
+vhits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY similarity DESC, vector_row) AS rnk FROM near) WHERE rnk <= 100)"""
+RANKING = f"""{EVIDENCE}, {REQUESTS},
+lanes AS (SELECT *, row_number() OVER (PARTITION BY request_id, lane ORDER BY score DESC, parent_id) AS rnk FROM
+  (SELECT request_id, lane, parent_id, max(score) AS score FROM evidence WHERE lane IS NOT NULL AND score IS NOT NULL AND parent_id <> '' GROUP BY ALL))"""
+FUSED = f"""fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, parent_id) AS rnk FROM
+  (SELECT request_id, parent_id, round(sum(({_by('lane', L.LANE_WEIGHTS, '1.0', str)})::DOUBLE / (20.0 + rnk)), 9) AS rrf, list(DISTINCT lane) AS in_lanes
+   FROM lanes WHERE rnk <= 50 GROUP BY request_id, parent_id)) WHERE rnk <= 30)"""
+FUSED_V1 = f"""fused_v1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, parent_id) AS rnk FROM
+  (SELECT request_id, parent_id, round(sum(1 / (2.0 + rnk / (CASE WHEN lane = 'dense_full' THEN {_by('language', L.DENSE_WEIGHT, '2.0', str)} ELSE 1.0 END)::DOUBLE - 1)), 9) AS rrf
+   FROM lanes JOIN requests USING (request_id) WHERE lane IN ('dense_full', 'sparse_full') AND rnk <= 50 GROUP BY request_id, parent_id)) WHERE rnk <= 20)"""
+AGREE = "(len(list_filter(in_lanes, lambda x: starts_with(x, 'dense'))) > 0 AND len(list_filter(in_lanes, lambda x: starts_with(x, 'sparse'))) > 0)"
+
+
+def _mandatory(q: str, t: str) -> str:
+    out = []
+    for key, pairs in L.MANDATORY.items():
+        each = " AND ".join(f"(NOT ({any_in(q, _list(m))}) OR {any_in(t, _list(m))})" for m in pairs)
+        out.append(f"(lang <> {_q(key)} OR ({each}))")
+    return " AND ".join(out)
+
+
+def supported(source: str, unit: str) -> str:
+    """CTEs that add the support columns to ``source`` (query, lang, unit)."""
+    hindi = r"list_filter(" + terms(r"regexp_extract(query, '^\s*(.{1,80}?)\s+(?:का|की|के)[\p{L}\p{N}_]', 1)") + ", lambda t: length(t) >= 2)"
+    tamil = f"list_filter({terms('query')}[1:3], lambda t: " + " OR ".join(f"ends_with(t, {_q(g)})" for g in L.GENITIVES) + ")[1:1]"
+    informative = INFORMATIVE.replace("coalesce(language, chr(0))", "lang")
+    return f"""s1 AS (SELECT *, {informative} AS l, {terms(unit)} AS shown, {folded('query')} AS fq, {folded(unit)} AS ft,
+  CASE lang WHEN 'hi' THEN {hindi} WHEN 'ta' THEN {tamil} ELSE [] END AS anchors FROM {source}),
+s2 AS (SELECT *, {once('l')} AS asked FROM s1),
+s3 AS (SELECT *, {count_matched('asked', 'shown', evidence_match)} AS matched, len(asked) AS total,
+  len(list_filter(anchors, lambda a: len(list_filter(shown, lambda b: {evidence_match('a', 'b')})) = 0)) = 0 AS anchors_ok,
+  ({_mandatory('fq', 'ft')}) AND (NOT ({any_in('fq', _by('lang', L.ONLY_ASKED, '[]'))}) OR {any_in('ft', _by('lang', L.ONLY_SHOWN, '[]'))})
+    AND len(list_filter(regexp_extract_all(query, '\\p{{Nd}}+'), lambda n: NOT list_contains(regexp_extract_all({unit}, '\\p{{Nd}}+'), n))) = 0 AS constraints_ok,
+  {any_in('fq', _by('lang', L.SUPERLATIVES, '[]'))} AND {any_in('ft', _by('lang', L.ORDINALS, '[]'))} AS contradiction FROM s2),
+s4 AS (SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE matched::DOUBLE / total END AS coverage FROM s3),
+s5 AS (SELECT *, round(greatest(coverage * 10 + least(matched, 3) * 0.4::DOUBLE + CASE WHEN anchors_ok THEN 1 ELSE -7 END + CASE WHEN constraints_ok THEN 0 ELSE -7 END
+    + CASE WHEN contradiction THEN -10 ELSE 0 END, 0), 9) AS score9,
+  total > 0 AND anchors_ok AND constraints_ok AND NOT contradiction AND (CASE WHEN total <= 2 THEN matched = total WHEN total = 3 THEN matched >= 2 AND coverage >= 0.66
+    ELSE matched >= 3 AND coverage >= 0.55 END) AND NOT (regexp_matches({unit}, '{LIST_MARK}') AND coverage < 0.60) AS strong FROM s4),
+sup AS (SELECT *, CASE WHEN anchors_ok AND constraints_ok AND NOT contradiction THEN score9 + CASE WHEN strong THEN 15 ELSE 0 END ELSE 0 END AS pack9 FROM s5)"""
+
+
+_LINES = rf"regexp_split_to_array(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '{BL}+((?:\p{{Nd}}{{1,2}}|[A-Da-d])[.)]{BL})', chr(10) || '\1', 'g'), '{BL}+((?:\p{{Nd}}{{1,2}}|[A-Da-d])[.)]{BL})', chr(10) || '\1', 'g'), '\n+')"
+
+
+def sentences(source: str) -> str:
+    """CTE ``sent``: ``source`` with the list ``ss`` of its text's evidence sentences."""
+    return rf"""sent AS (SELECT *, list_filter(flatten(list_transform(list_filter(list_transform({_LINES}, lambda x: {collapsed('x')}), lambda x: x <> ''),
+  lambda x: CASE WHEN regexp_matches(x, '{LIST_MARK}') THEN [x] ELSE string_split(regexp_replace(x, '([?!।.]) ', '\1' || chr(1), 'g'), chr(1)) END)), lambda x: x <> '') AS ss FROM {source})"""
+
+
+_PAIR = f"(regexp_matches(ss[i], '{LIST_MARK}') OR regexp_matches(ss[i + 1], '{LIST_MARK}') OR " + " OR ".join(f"starts_with(ss[i + 1], {_q(c)})" for c in L.CONTINUES) + ") AND length(ss[i]) + 1 + length(ss[i + 1]) <= 450"
+UNITS = f"list_concat(ss, list_transform(list_filter(range(1, len(ss)), lambda i: {_PAIR}), lambda i: ss[i] || ' ' || ss[i + 1]))"
+UNIT_ROWS = f"""units AS (SELECT * EXCLUDE (u, ss), u.pos AS pos, u.unit AS unit FROM (SELECT *, unnest(list_transform({UNITS}, lambda x, i: {{'pos': i - 1, 'unit': x}})) AS u FROM sent))"""
+STRONGEST = f"""{PAIRS}, {sentences('pairs')}, {UNIT_ROWS}, {supported('units', 'unit')},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY strong DESC, score9 DESC, round(coverage, 9) DESC, matched DESC, pos) AS nth FROM sup) WHERE nth = 1)"""
+FEATURES = f"""{STRONGEST}, {RANKING.replace(EVIDENCE + ', ' + REQUESTS + ',', '').strip()}, {FUSED},
+top_evidence AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, parent_id ORDER BY pack9 DESC, evidence_id) AS nth2 FROM best WHERE parent_id <> '') WHERE nth2 = 1),
+f1 AS (SELECT f.request_id, f.parent_id, f.rrf, f.in_lanes, t.unit, t.pack9, t.lang, t.query, t.language, {terms('t.unit')} AS shown2 FROM fused f JOIN top_evidence t USING (request_id, parent_id)),
+f2 AS (SELECT *, {CONTENT} AS cl FROM f1),
+f3 AS (SELECT *, {once('cl')} AS content FROM f2),
+f4 AS (SELECT *, content[1:3] AS anch FROM f3),
+feat AS (SELECT request_id, parent_id, unit, rrf, pack9 AS ev, {AGREE} AS agree, len(anch) AS n_anchors,
+  CASE WHEN len(anch) = 0 THEN 0.0 ELSE ({count_matched('anch', 'shown2', lambda a, b: engine_match(a, b, 'lang'))})::DOUBLE / len(anch) END AS anchor_coverage,
+  CASE WHEN len(content) = 0 THEN 0.0 ELSE ({count_matched('content', 'shown2', lambda a, b: engine_match(a, b, 'lang'))})::DOUBLE / len(content) END AS cov,
+  len(anch) > 0 AND contains({collapsed(folded('unit'))}, array_to_string(anch, ' ')) AS phrase FROM f4)"""
+_MM = "(CASE WHEN max({0}) OVER w - min({0}) OVER w < 1e-9 THEN 0.5 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END)"
+RERANKED = f"""{FEATURES},
+rr AS (SELECT *, round(0.28 * {_MM.format('rrf')} + 0.27 * anchor_coverage + 0.20 * cov + 0.15 * {_MM.format('ev')} + 0.05 * agree::INT + 0.05 * phrase::INT
+  - CASE WHEN n_anchors > 0 AND anchor_coverage = 0 THEN 0.18 ELSE 0 END, 9) AS score FROM feat WINDOW w AS (PARTITION BY request_id)),
+reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, parent_id) AS new_rank FROM rr) WHERE new_rank <= 20)"""
+PACKED = f"""{RERANKED},
+p1 AS (SELECT request_id, parent_id, new_rank, row_number() OVER (PARTITION BY request_id ORDER BY new_rank) AS block, left({collapsed('unit')}, 175) AS short FROM reranked WHERE {collapsed('unit')} <> ''),
+p2 AS (SELECT request_id, parent_id, block, '[' || block || '] ' || short AS snippet FROM p1 WHERE block <= 2),
+p3 AS (SELECT *, coalesce(sum(length(snippet) + 2) OVER (PARTITION BY request_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(snippet) AS ends FROM p2),
+packed AS (SELECT request_id, CAST(block AS INTEGER) AS block, parent_id, snippet FROM p3 WHERE ends <= 350)"""
+_TRIMMED = rf"regexp_replace(raw_answer, '^{BL}+|{BL}+$', '', 'g')"
+_C1 = rf"regexp_replace(replace({_TRIMMED}, '**', ''), '\[\s*\p{{Nd}}+\s*\]', '', 'g')"
+_C2 = rf"regexp_replace(regexp_replace({_C1}, '^[A-Da-d][.)]\s*', ''), '^(?i:Answer|Ans|उत्तर|பதில்)\s*[:\-–]\s*', '')"
+CLEANED = rf"trim({collapsed(rf'''string_split(regexp_replace(replace({_C2}, chr(65533), ''), '[\n\r]|([।.!?]){BL}+', '\1' || chr(1), 'g'), chr(1))[1]''')}, ' -–—:;,.|।')"
+ANSWERS = """answers AS (SELECT language, query, raw_answer, max(possibly_truncated) AS truncated FROM full_rag_t4_per_query
+  WHERE query IS NOT NULL AND raw_answer IS NOT NULL GROUP BY ALL)"""
+_ECHO = f"len(list_filter({terms('answer')}, lambda a: len(list_filter({terms('query')}, lambda b: {evidence_match('a', 'b')})) = 0)) = 0"
+SHAPED = rf"""{ANSWERS}, cleaned AS (SELECT *, coalesce(language, '') AS lang, {CLEANED} AS answer FROM answers),
+shaped AS (SELECT *, NOT ({any_in(folded('query'), _by('lang', L.NUMBER_MARKERS, '[]'))}) OR regexp_matches(answer, '\p{{Nd}}') AS type_ok,
+  regexp_matches(answer, {_by('lang', {k: f'[{v}]' for k, v in L.SCRIPTS.items()}, "'[A-Za-z]'", _q)}) OR regexp_matches(answer, '[A-Za-z\p{{Nd}}°%]') AS script_ok,
+  {_ECHO} AS echo,
+  len(list_filter(range(1, len({terms('answer')}) - 1), lambda i: {terms('answer')}[i] = {terms('answer')}[i + 1] AND {terms('answer')}[i + 1] = {terms('answer')}[i + 2])) > 0 AS repeats FROM cleaned),
+judged0 AS (SELECT *, length(answer) <= 90 AND length(answer) > 0 AND type_ok AND NOT echo AND script_ok AND NOT repeats AS shape_ok FROM shaped)"""
+
+
+def _bare(x: str) -> str:
+    for ending in L.ANSWER_ENDINGS:
+        x = f"regexp_replace({x}, '{ending}$', '')"
+    return f"trim({x})"
+
+
+JUDGED = f"""{PAIRS}, context AS (SELECT query, max_by(text, {{'a': score, 'b': evidence_id}}) AS context FROM pairs WHERE score IS NOT NULL AND trim(text) <> '' GROUP BY query),
+{SHAPED},
+j1 AS (SELECT j.*, c.context, {_bare(plain_form(folded('answer')))} AS bare, {plain_form(folded('c.context'))} AS shown_form FROM judged0 j LEFT JOIN context c USING (query)),
+judged AS (SELECT *, coalesce(context IS NOT NULL AND bare <> '' AND (contains(shown_form, bare) OR len(list_filter(list_filter(string_split(bare, ' '), lambda t: t <> ''),
+  lambda a: len(list_filter(string_split(shown_form, ' '), lambda b: {guardrail_match('a', 'b')})) = 0)) = 0), false) AS grounded FROM j1)"""
+LOG = "log AS (SELECT DISTINCT * FROM full_rag_t4_per_query)"
+_PCT = "round(quantile_cont(ms, {0}), 6)"
+STAGES = "embed_ms dense_ms bm25_ms retrieval_ms context_ms prompt_prep_ms model_first_token_ms generation_ttft_ms full_rag_ttft_ms full_rag_complete_ms".split()
+KINDS = {"view": "audio", "click": "partial", "purchase": "final", "signup": "begin", "error": "error"}
+FRAMES = f"""frames AS (SELECT DISTINCT user_id AS session, ts, event_id AS seq, {_by('event_type', KINDS, "'other'", _q)} AS kind FROM events)"""
+_MESSAGE = _by("coalesce(language, chr(0))", L.NOT_FOUND_MESSAGES, _q(L.NOT_FOUND_MESSAGE), _q)
+_EMPTY = "[" + "''" + "][1:0]"
+
+ORACLE_SQL: dict[str, str] = {
+    "validate_chunks": f"WITH {CORPUS} SELECT language, count(*) AS n_chunks, count(DISTINCT parent_id) AS n_parents, count(*) FILTER (WHERE chunk_id IS NULL) AS n_null_ids, count(*) FILTER (WHERE trim(text) = '') AS n_blank FROM corpus GROUP BY language",
+    "validate_vectors": f"WITH {USABLE}, r AS (SELECT DISTINCT vector_row FROM vectors), j AS (SELECT r.vector_row, r.vector_row IN (SELECT vector_row FROM usable) AS u, r.vector_row IN (SELECT vector_row FROM metadata) AS m FROM r) SELECT count(*) AS n_rows, count(*) FILTER (WHERE u) AS n_usable, count(*) FILTER (WHERE m) AS n_named, count(*) FILTER (WHERE u AND m) AS n_ready FROM j",
+    "embedding_report": f"WITH {USABLE} SELECT count(*) AS n_rows, max(len(v)) AS dimension, round(avg(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))) FILTER (WHERE vector_row < 1000), 6) AS mean_sample_norm FROM usable",
+    "tokenize_stats": f"WITH {CORPUS}, {TOKENS}, t AS (SELECT language, unnest(ts) AS term FROM tok) SELECT language, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct FROM t GROUP BY language",
+    "content_terms": f"WITH {REQUESTS}, x AS (SELECT request_id, {CONTENT} AS l FROM requests) SELECT request_id, array_to_string({once('l')}, ' ') AS terms FROM x",
+    "informative_terms": f"WITH {REQUESTS}, x AS (SELECT request_id, {INFORMATIVE} AS l FROM requests) SELECT request_id, array_to_string({once('l')}, ' ') AS terms FROM x",
+    "fuzzy_matches": f"WITH {PAIRS}, x AS (SELECT evidence_id, lang, list_distinct({terms('query')}) AS q, list_distinct({terms('text')}) AS t FROM pairs) SELECT evidence_id, {count_matched('q', 't', lambda a, b: engine_match(a, b, 'lang'))} AS n_engine, {count_matched('q', 't', evidence_match)} AS n_evidence, {count_matched('q', 't', guardrail_match)} AS n_guardrail FROM x",
+    "chunk_fixed": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS parent_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 384) / 288), 0) AS BIGINT) + 1)) AS chunk_no FROM documents WHERE length(text) > 0) SELECT parent_id, chunk_no, substring(text, chunk_no * 288 + 1, 384) AS chunk FROM d",
+    "postings": f"WITH {STATS} SELECT language, chunk_id, term, tf, dl FROM post",
+    "term_df": f"WITH {STATS} SELECT language, term, df FROM df",
+    "corpus_stats": f"WITH {CORPUS}, {TOKENS} SELECT language, count(*) AS n_chunks, round(avg(CAST(len(ts) AS DOUBLE)), 9) AS avgdl FROM tok GROUP BY language",
+    "idf_proxy": f"WITH {STATS}, {REQUESTS}, a AS (SELECT DISTINCT language, unnest({terms('query')}) AS term FROM requests WHERE language IN ('ta', 'hi')) SELECT a.language, a.term, round(CASE WHEN d.df > 0 THEN ln(1 + (s.n + 1) / (d.df + 1)) ELSE 0 END, 9) AS idf FROM a LEFT JOIN df d USING (language, term) LEFT JOIN stats s USING (language)",
+    "bm25_chunk_topk": f"WITH {STATS}, {ASKED}, {BM25} SELECT query_id, rnk AS rank, chunk_id, round(score, 6) AS score FROM hits",
+    "bm25_parent_collapse": f"WITH {STATS}, {ASKED}, {BM25} SELECT query_id, parent_rank, parent_id, chunk_id FROM parents",
+    "anchor_terms": f"WITH {ANCHORS} SELECT query_id, array_to_string(anchors, ' ') AS anchors, round(top_idf, 6) AS top_idf FROM anchored",
+    "query_views": f"WITH {VIEWS} SELECT query_id, vw AS view, text FROM views",
+    "sparse_lanes": f"WITH {LANES_SPARSE} SELECT query_id, lane, parent_id, rnk AS rank FROM sparse_lanes",
+    "sparse_fused": f"WITH {LANES_SPARSE}, lanes AS (SELECT query_id AS request_id, lane, parent_id, rnk FROM sparse_lanes), {FUSED} SELECT request_id AS query_id, rnk AS rank, parent_id, rrf FROM fused",
+    "vector_topk_cosine": f"WITH {VECTOR_HITS} SELECT query_row, rnk AS rank, vector_row, round(similarity, 6) AS similarity FROM vhits",
+    "dense_parent_collapse": f"WITH {VECTOR_HITS}, m AS (SELECT vector_row, min(parent_id) AS parent_id FROM metadata GROUP BY vector_row), h AS (SELECT * FROM vhits JOIN m USING (vector_row) WHERE parent_id <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY query_row, parent_id ORDER BY rnk) AS nth FROM h), g AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY rnk) AS parent_rank FROM f WHERE nth = 1) SELECT query_row, parent_rank, parent_id, vector_row FROM g WHERE parent_rank <= 50",
+    "lane_ranking": f"WITH {RANKING} SELECT request_id, lane, rnk AS rank, parent_id FROM lanes",
+    "rrf_v3": f"WITH {RANKING}, {FUSED} SELECT request_id, rnk AS rank, parent_id, rrf, {AGREE} AS agree FROM fused",
+    "rrf_v1": f"WITH {RANKING}, {FUSED_V1} SELECT request_id, rnk AS rank, parent_id, rrf FROM fused_v1",
+    "ranking_parity": f"WITH {RANKING}, {FUSED}, {FUSED_V1}, b AS (SELECT g.request_id, count(*) AS places, count(*) FILTER (WHERE g.parent_id = c.parent_id) AS same FROM fused_v1 g LEFT JOIN fused c ON g.request_id = c.request_id AND g.rnk = c.rnk AND c.rnk <= 20 GROUP BY g.request_id) SELECT places, count(*) AS n_requests, CAST(sum(same) AS BIGINT) AS n_same FROM b GROUP BY places",
+    "support_signal": f"WITH {PAIRS}, {supported('pairs', 'text')} SELECT evidence_id, matched, total, round(coverage, 6) AS coverage, anchors_ok, constraints_ok, contradiction, strong, round(score9, 6) AS score, round(pack9, 6) AS pack_score FROM sup",
+    "evidence_sentences": f"WITH {EVIDENCE}, {sentences('evidence')}, u AS (SELECT evidence_id, unnest(list_transform(ss, lambda x, i: {{'pos': i - 1, 'x': x}})) AS u FROM sent) SELECT evidence_id, u.pos AS pos, u.x AS sentence FROM u",
+    "evidence_units": f"WITH {EVIDENCE}, {sentences('evidence')}, {UNIT_ROWS} SELECT evidence_id, pos, unit FROM units",
+    "strongest_unit": f"WITH {STRONGEST} SELECT evidence_id, unit, strong, round(score9, 6) AS score, round(pack9, 6) AS pack_score FROM best",
+    "alignment_features": f"WITH {FEATURES} SELECT request_id, parent_id, round(anchor_coverage, 6) AS anchor_coverage, round(cov, 6) AS coverage, agree, phrase FROM feat",
+    "rerank_v3": f"WITH {RERANKED} SELECT request_id, new_rank, parent_id, round(score, 6) AS rerank_score FROM reranked",
+    "context_pack": f"WITH {PACKED} SELECT * FROM packed",
+    "input_guardrail": rf"WITH {REQUESTS}, c AS (SELECT request_id, CASE WHEN {collapsed('query')} = '' THEN 'empty_query' WHEN length(query) > 500 THEN 'query_too_long' WHEN language IS NULL OR language NOT IN ('ta', 'hi') THEN 'unsupported_language' WHEN regexp_matches(query, '(?i)\bhow\s+to\s+make\s+a?\s*(bomb|explosive)\b|\bkill\s+myself\b|\bsuicide\s+method\b|\bchild\s+sexual\b') THEN 'unsafe_content' END AS code FROM requests) SELECT request_id, code, code IS NULL AS allowed FROM c",
+    "grounding_guardrail": f"WITH {PACKED}, n AS (SELECT request_id, count(*) AS blocks FROM packed GROUP BY request_id) SELECT r.request_id, coalesce(n.blocks, 0) AS blocks, CASE WHEN n.blocks IS NULL THEN 'no_grounded_context' END AS code FROM (SELECT DISTINCT request_id FROM requests) r LEFT JOIN n USING (request_id)",
+    "answer_shape": f"WITH {SHAPED} SELECT language, query, raw_answer, answer, type_ok, script_ok, echo, repeats, shape_ok FROM judged0",
+    "answer_grounded": f"WITH {JUDGED} SELECT language, query, raw_answer, answer, grounded FROM judged",
+    "output_guardrail": f"WITH {JUDGED}, k AS (SELECT *, starts_with(trim(raw_answer), '{L.NOT_FOUND}') AS missing FROM judged), k2 AS (SELECT *, NOT missing AND shape_ok AND grounded AS kept FROM k) SELECT language, query, raw_answer, CASE WHEN kept THEN answer ELSE {_MESSAGE} END AS final_answer, CASE WHEN NOT kept THEN CASE WHEN missing THEN 'model_abstained' WHEN truncated THEN 'truncated_unsupported' WHEN echo THEN 'question_echo' ELSE 'unsupported_answer' END END AS code FROM k2",
+    "hash_sample": "WITH s AS (SELECT language, query_id, row_number() OVER (PARTITION BY language ORDER BY sha256(concat_ws(':', 'vettiver-sample-1', language, query_id)), query_id) AS nth FROM validation_queries) SELECT language, CAST(nth AS INTEGER) AS nth, query_id FROM s WHERE nth <= 50",
+    "parse_list": f"WITH a AS (SELECT DISTINCT raw_answer FROM full_rag_t4_per_query), p AS (SELECT raw_answer, CASE WHEN raw_answer IS NULL THEN {_EMPTY} WHEN starts_with(trim(raw_answer), '[') THEN coalesce(TRY_CAST(TRY_CAST(trim(raw_answer) AS JSON) AS VARCHAR[]), [trim(raw_answer)]) ELSE [trim(raw_answer)] END AS l FROM a), c AS (SELECT raw_answer, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS l FROM p) SELECT raw_answer, array_to_string(l, '|') AS items, len(l) AS n_items FROM c",
+    "recall_at_20": f"WITH {LANES_SPARSE}, lanes AS (SELECT query_id AS request_id, lane, parent_id, rnk FROM sparse_lanes), {FUSED}, {PAIRS}, rel AS (SELECT DISTINCT v.query_id, p.parent_id FROM pairs p JOIN validation_queries v ON p.query = v.query WHERE p.parent_id <> ''), j AS (SELECT r.query_id, count(*) AS relevant, count(f.parent_id) AS hits FROM rel r LEFT JOIN fused f ON f.request_id = r.query_id AND f.parent_id = r.parent_id AND f.rnk <= 20 GROUP BY r.query_id) SELECT query_id, relevant, hits, round(hits / relevant, 6) AS recall_20, hits > 0 AS hit_20 FROM j",
+    "latency_percentiles": f"WITH {LOG}, u AS ({' UNION ALL '.join(f'SELECT language, {_q(s)} AS stage, {s} AS ms FROM log' for s in STAGES)}) SELECT language, stage, count(*) AS n, {_PCT.format(0.5)} AS p50, {_PCT.format(0.7)} AS p70, {_PCT.format(0.9)} AS p90, {_PCT.format(0.95)} AS p95, max(ms) AS p100, round(avg(ms), 6) AS mean FROM u WHERE ms IS NOT NULL AND NOT isnan(ms) GROUP BY language, stage",
+    "under_200_share": f"WITH {LOG} SELECT language, run_id, count(*) AS n, round(avg(CASE WHEN full_rag_ttft_ms IS NULL OR isnan(full_rag_ttft_ms) THEN NULL WHEN full_rag_ttft_ms < 200 THEN 1.0 ELSE 0.0 END) * 100, 6) AS under_200 FROM log GROUP BY language, run_id",
+    "abstention_report": f"WITH {LOG} SELECT language, run_id, count(*) AS n, round(avg(hit_20::INT), 9) AS hit_rate, round(avg(packed_hit::INT), 9) AS packed_rate, round(avg(is_not_found::INT), 9) AS not_found_rate, round(avg((packed_hit AND is_not_found)::INT), 9) AS false_abstention, round(avg(possibly_truncated::INT), 9) AS truncation_rate, round(sum((packed_hit AND NOT is_not_found)::INT) / greatest(sum(packed_hit::INT), 1), 9) AS answer_rate FROM log GROUP BY language, run_id",
+    "failure_attribution": f"WITH {LOG}, b AS (SELECT recall_20 > 0 AS corpus, hit_20 AS retrieved, packed_hit AS packed, coalesce(NOT starts_with(raw_answer, '{L.NOT_FOUND}'), false) AS raw, output_guardrail_code IS NULL AS allowed, NOT is_not_found AND packed_hit AS final FROM log), c AS (SELECT CASE WHEN final AND allowed THEN 'PASS' WHEN NOT corpus THEN 'CORPUS_MISS' WHEN NOT retrieved THEN 'RETRIEVAL_MISS' WHEN NOT packed THEN 'CONTEXT_PACKING_MISS' WHEN NOT raw THEN 'GENERATION_MISS' WHEN NOT allowed OR NOT final THEN 'GROUNDING_REJECTION' ELSE 'UNKNOWN' END AS failure FROM b), d AS (SELECT unnest(['PASS', 'CORPUS_MISS', 'RETRIEVAL_MISS', 'CONTEXT_PACKING_MISS', 'GENERATION_MISS', 'GROUNDING_REJECTION', 'UNKNOWN']) AS failure), n AS (SELECT d.failure, count(c.failure) AS n FROM d LEFT JOIN c ON d.failure = c.failure GROUP BY d.failure) SELECT failure, n, round(n * 100.0 / greatest(sum(n) OVER (), 1), 6) AS percent FROM n",
+    "transcript_events": f"WITH {FRAMES} SELECT session, ts, kind AS event, kind = 'final' AS is_final FROM frames WHERE kind IN ('partial', 'final', 'begin', 'end', 'error')",
+    "stt_final_latency": f"WITH {FRAMES}, w AS (SELECT *, min(ts) FILTER (WHERE kind = 'audio') OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS first_audio FROM frames) SELECT session, seq, round((epoch_us(ts) - epoch_us(first_audio)) / 1000, 3) AS latency_ms FROM w WHERE kind = 'final'",
+    "rag_response": f"WITH {STATS}, {ASKED}, {BM25}, t AS (SELECT p.query_id, p.parent_rank, p.parent_id, {collapsed('c.text')} AS snip FROM parents p JOIN corpus c ON p.language = c.language AND p.parent_id = c.parent_id AND p.chunk_id = c.chunk_id WHERE p.parent_rank <= 20), b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parent_rank) AS block FROM t WHERE snip <> ''), b2 AS (SELECT query_id, block, parent_id, '[' || block || '] ' || left(snip, 175) AS snippet FROM b1 WHERE block <= 2), b3 AS (SELECT *, coalesce(sum(length(snippet) + 2) OVER (PARTITION BY query_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(snippet) AS ends FROM b2), b4 AS (SELECT query_id, string_agg(snippet, chr(10) || chr(10) ORDER BY block) AS context, string_agg(parent_id, ',' ORDER BY block) AS parents FROM b3 WHERE ends <= 350 GROUP BY query_id) SELECT v.query_id, v.language, coalesce(b4.context, '') AS context, coalesce(b4.parents, '') AS parents, 'Question: ' || v.query || chr(10) || 'Evidence: ' || coalesce(b4.context, '') AS prompt, CASE WHEN coalesce(b4.context, '') = '' THEN {_by('v.language', L.NOT_FOUND_MESSAGES, _q(L.NOT_FOUND_MESSAGE), _q)} END AS message FROM validation_queries v LEFT JOIN b4 USING (query_id)",
+}
