@@ -68,8 +68,9 @@ def _tables() -> tuple[dict[str, str], str, str, str, str]:
             single[char] = " "
         else:
             form = unicodedata.normalize("NFKC", char)
-            if form != char:
-                single[char] = " ".join(form.split()) if form.strip() else " "
+            # an accent that stands alone would be a blank and a combining accent: it stays as it is
+            if form != char and not (form[0] == " " and len(form) > 1):
+                single[char] = form if form.strip() else " "
         if category[0] == "M":
             marks.add(char)
         split = unicodedata.decomposition(char).split()

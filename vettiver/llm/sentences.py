@@ -170,7 +170,7 @@ def _spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         top, by = -1e18, 0
         for i in range(j - 1, max(-1, j - 1 - REACH), -1):
             size = cuts[j] - cuts[i]
-            score = best[i] + gains[j] - (1.5 if size < 4 else 0.0) - max(0, size - 4000) / 4000
+            score = best[i] + gains[j] - (0.5 if size < 3 else 0.0) - max(0, size - 4000) / 4000
             if score > top + 1e-9:
                 top, by = score, i
         best.append(top)
