@@ -201,6 +201,7 @@ def equal_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = (
         df.select(F.col(key).alias("k"), F.col(text).alias("t"))
         .where(F.col("k").isNotNull() & F.col("t").isNotNull())
+        .distinct()
         .withColumn("form", consistent_form(F.col("t")))
         .where(F.col("form") != "")
         .select("k", trimmed(F.col("t")).alias("spelling"), F.xxhash64("form", F.length("form")).alias("h"), "form")
@@ -231,6 +232,7 @@ def shown_questions(requests: DataFrame, questions: DataFrame) -> DataFrame:
     asked = (
         requests.select("request_id", F.col("query").alias("t"))
         .where(F.col("request_id").isNotNull() & F.col("t").isNotNull())
+        .distinct()
         .withColumn("form", consistent_form(F.col("t")))
         .where(F.col("form") != "")
         .select(F.col("request_id").alias("key_a"), trimmed(F.col("t")).alias("asked"), "form")

@@ -145,7 +145,8 @@ def _encode(path: str, counts_only: bool):
 
 
 def _split_long(df: DataFrame, key: str, text: str, part: int) -> tuple[DataFrame, DataFrame, str]:
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # one file may hold all texts: they are spread before they are encoded
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key")
     kind = rows.schema["key"].dataType.simpleString()
     long = F.coalesce(F.length("text") > part, F.lit(False))
     parts = rows.where(long).mapInArrow(_parts(part), f"key {kind}, part int, text string").repartition("key", "part")
