@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettiver.functions import text as T
+from vettiver.functions.extract import answer_span
 from vettiver.functions.lexicon import NOT_FOUND, NOT_FOUND_MESSAGE, NOT_FOUND_MESSAGES, by_language
 from vettiver.operators import dense, evaluate, fusion, sparse
 from vettiver.sources.tables import read_corpus, read_queries, table
@@ -310,15 +311,35 @@ def answer_grounded(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder).select("language", "query", "raw_answer", "answer", "grounded")
 
 
+def extract_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The span that the rules find in each piece of evidence's best unit."""
+    rows = _strongest(spark, folder).withColumn("a", answer_span(F.col("query"), F.col("unit"), F.coalesce("language", F.lit(""))))
+    return rows.select("evidence_id", F.col("a.span").alias("span"), F.col("a.confidence").alias("confidence"), F.col("a.method").alias("method"))
+
+
 def output_guardrail(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers that are kept as they are, and the reason against the others with the message that replaces them."""
+    """The final answer: a sure span of the evidence, else the cleaned answer, else a likely span, else a message and the reason."""
     lang = F.coalesce("language", F.lit(""))
     a, q = F.col("answer"), F.col("query")
+    judged = _judged(spark, folder)
+    units = judged.select("language", "query", "context").distinct().where("context IS NOT NULL")
+    units = units.select("*", F.posexplode(T.evidence_units(T.evidence_sentences(F.col("context")))).alias("pos", "unit"))
+    best = F.max_by(F.struct("unit", "strong"), F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("pos")).alias("first")))
+    spans = T.with_support(units, unit="unit").groupBy("language", "query", "context").agg(best.alias("b"))
+    spans = spans.withColumn("s", answer_span(q, F.col("b.unit"), lang)).where("s IS NOT NULL")
+    plain = lambda c: T.plain_form(T.folded(c))
+    fine = T.shape_ok(F.col("s.span"), q, lang) & F.coalesce(T.grounded(plain(F.col("s.span")), plain(F.col("context"))), F.lit(False))
+    spans = spans.where(fine).select(F.col("language").alias("l"), F.col("query").alias("q"), "s", F.col("b.strong").alias("strong"))
+    rows = judged.join(spans, F.col("language").eqNullSafe(F.col("l")) & (F.col("query") == F.col("q")), "left")
     missing = F.trim("raw_answer").startswith(NOT_FOUND)
-    kept = ~missing & T.shape_ok(a, q, lang) & F.col("grounded")
-    code = F.when(~kept, F.when(missing, "model_abstained").when(F.col("truncated"), "truncated_unsupported").when(T.echoes(a, q), "question_echo").otherwise("unsupported_answer"))
+    sure = F.coalesce(F.col("strong") & (F.col("s.confidence") >= 0.90), F.lit(False))
+    kept = ~missing & T.shape_ok(a, F.col("query"), lang) & F.col("grounded")
+    likely = F.col("s.span").isNotNull()
+    source = F.when(sure, "span").when(kept, "answer").when(likely, "repair").otherwise("message")
+    code = F.when(missing, "model_abstained").when(F.col("truncated"), "truncated_unsupported").when(T.echoes(a, F.col("query")), "question_echo").otherwise("unsupported_answer")
     message = by_language(lang, NOT_FOUND_MESSAGES, NOT_FOUND_MESSAGE)
-    return _judged(spark, folder).select("language", "query", "raw_answer", F.when(kept, a).otherwise(message).alias("final_answer"), code.alias("code"))
+    final = F.when(sure | (~kept & likely), F.col("s.span")).when(kept, a).otherwise(message)
+    return rows.select("language", "query", "raw_answer", final.alias("final_answer"), source.alias("source"), F.when(source == "message", code).alias("code"))
 
 
 def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -389,7 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         validate_chunks, validate_vectors, embedding_report, tokenize_stats, content_terms, informative_terms, required_anchors, fuzzy_matches, grounding_form,
         chunk_fixed, postings, term_df, corpus_stats, idf_proxy, bm25_chunk_topk, bm25_parent_collapse, anchor_terms, query_views, sparse_lanes, sparse_fused,
         vector_topk_cosine, dense_parent_collapse, lane_ranking, rrf_v3, rrf_v1, ranking_parity, support_signal, evidence_sentences, evidence_units, strongest_unit,
-        alignment_features, rerank_v3, context_pack, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, output_guardrail, hash_sample, parse_list,
+        alignment_features, rerank_v3, context_pack, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, extract_answer, output_guardrail, hash_sample, parse_list,
         recall_at_20, latency_percentiles, under_200_share, abstention_report, failure_attribution, transcript_events, stt_final_latency, rag_response,
     )
 }

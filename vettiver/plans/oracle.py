@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vettiver.functions import extract as X
 from vettiver.functions import lexicon as L
 
 BL = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -217,6 +218,33 @@ JUDGED = f"""{PAIRS}, context AS (SELECT query, max_by(text, {{'a': score, 'b':
 j1 AS (SELECT j.*, c.context, {_bare(plain_form(folded('answer')))} AS bare, {plain_form(folded('c.context'))} AS shown_form FROM judged0 j LEFT JOIN context c USING (query)),
 judged AS (SELECT *, coalesce(context IS NOT NULL AND bare <> '' AND (contains(shown_form, bare) OR len(list_filter(list_filter(string_split(bare, ' '), lambda t: t <> ''),
   lambda a: len(list_filter(string_split(shown_form, ' '), lambda b: {guardrail_match('a', 'b')})) = 0)) = 0), false) AS grounded FROM j1)"""
+
+
+def spans(source: str) -> str:
+    """CTE ``spanned``: ``source`` (query, lang, unit) with the list ``found`` of usable spans in the order of the rules."""
+    u = collapsed("unit")
+    rules = []
+    for method, confidence, lang, markers, pattern, how in X.RULES:
+        group = f"regexp_extract({u}, {_q(pattern)}, 1)"
+        if how in ("rest", "last_three"):
+            group = f"array_to_string(list_filter({terms(group)}, lambda x, i: len(list_filter({terms(group)}[1:i], lambda y: len(list_filter({terms('query')}, lambda o: {evidence_match('y', 'o')})) = 0)) > 0){'[-3:]' if how == 'last_three' else ''}, ' ')"
+        if how == "no_particle":
+            group = f"CASE WHEN {group} NOT IN ({', '.join(map(_q, X.PARTICLES))}) THEN {group} END"
+        fits = ["true"] + ([f"lang = {_q(lang)}"] if lang else []) + ([any_in(folded("query"), _list(markers))] if markers else [])
+        rules.append(f"{{'span': CASE WHEN {' AND '.join(fits)} THEN {group} END, 'confidence': {confidence}::DOUBLE, 'method': {_q(method)}}}")
+    informative = INFORMATIVE.replace("coalesce(language, chr(0))", "lang")
+    words = f"string_split(trim(regexp_replace({u}, '{LIST_MARK} *', '')), ' ')"
+    flags = f"list_transform(ws, lambda w: len(list_filter({terms('w')}, lambda t: len(list_filter(inf, lambda o: {evidence_match('t', 'o')})) > 0)) > 0)"
+    ends = _q(X.ENDS)
+    clean = f"trim(regexp_replace(trim(x.span, {ends}), '{LIST_MARK} *', ''))"
+    usable = f"x.span IS NOT NULL AND len({terms('x.span')}) BETWEEN 1 AND 6 AND length(x.span) <= 80 AND len(list_filter({terms('x.span')}, lambda t: len(list_filter(qt, lambda o: {evidence_match('t', 'o')})) = 0)) > 0"
+    return f"""x1 AS (SELECT *, {words} AS ws, {informative} AS inf, {terms('query')} AS qt FROM {source}),
+x2 AS (SELECT *, list_position({flags}, true) AS spot FROM x1),
+x3 AS (SELECT *, [{', '.join(rules)}, {{'span': CASE WHEN spot BETWEEN 2 AND 5 THEN array_to_string(ws[1:spot - 1], ' ') END, 'confidence': {X.LEADING}::DOUBLE, 'method': 'leading_entity'}}] AS cand FROM x2),
+x4 AS (SELECT *, list_transform(cand, lambda x: {{'span': {clean}, 'confidence': x.confidence, 'method': x.method}}) AS cleaned_spans FROM x3),
+spanned AS (SELECT *, list_filter(cleaned_spans, lambda x: {usable}) AS found FROM x4)"""
+
+
 LOG = "log AS (SELECT DISTINCT * FROM full_rag_t4_per_query)"
 _PCT = "round(quantile_cont(ms, {0}), 6)"
 STAGES = "embed_ms dense_ms bm25_ms retrieval_ms context_ms prompt_prep_ms model_first_token_ms generation_ttft_ms full_rag_ttft_ms full_rag_complete_ms".split()
@@ -225,6 +253,23 @@ FRAMES = f"""frames AS (SELECT DISTINCT user_id AS session, ts, event_id AS seq,
 _MESSAGE = _by("coalesce(language, chr(0))", L.NOT_FOUND_MESSAGES, _q(L.NOT_FOUND_MESSAGE), _q)
 _EMPTY = "[" + "''" + "][1:0]"
 
+_SHAPE = rf"""length(sp) <= 90 AND length(sp) > 0 AND (NOT ({any_in(folded('query'), _by('lang', L.NUMBER_MARKERS, '[]'))}) OR regexp_matches(sp, '\p{{Nd}}'))
+  AND NOT ({_ECHO.replace('answer', 'sp')}) AND (regexp_matches(sp, {_by('lang', {k: f'[{v}]' for k, v in L.SCRIPTS.items()}, "'[A-Za-z]'", _q)}) OR regexp_matches(sp, '[A-Za-z\p{{Nd}}°%]'))
+  AND len(list_filter(range(1, len({terms('sp')}) - 1), lambda i: {terms('sp')}[i] = {terms('sp')}[i + 1] AND {terms('sp')}[i + 1] = {terms('sp')}[i + 2])) = 0"""
+GUARDED = f"""WITH {JUDGED},
+ctx AS (SELECT DISTINCT language, lang, query, context, context AS text FROM judged WHERE context IS NOT NULL), {sentences('ctx')}, {UNIT_ROWS}, {supported('units', 'unit')},
+gbest AS (SELECT language, lang, query, context, unit, strong AS is_strong FROM (SELECT *, row_number() OVER (PARTITION BY language, query, context ORDER BY strong DESC, score9 DESC, round(coverage, 9) DESC, matched DESC, pos) AS nth FROM sup) WHERE nth = 1),
+{spans('gbest')},
+g1 AS (SELECT language, lang, query, context, is_strong, found[1].span AS sp, found[1].confidence AS conf FROM spanned WHERE len(found) > 0),
+g2 AS (SELECT *, {_bare(plain_form(folded('sp')))} AS sbare, {plain_form(folded('context'))} AS sform FROM g1 WHERE {_SHAPE}),
+g3 AS (SELECT * FROM g2 WHERE sbare <> '' AND (contains(sform, sbare) OR len(list_filter(list_filter(string_split(sbare, ' '), lambda t: t <> ''),
+  lambda a: len(list_filter(string_split(sform, ' '), lambda b: {guardrail_match('a', 'b')})) = 0)) = 0)),
+g4 AS (SELECT j.*, g.sp, starts_with(trim(j.raw_answer), '{L.NOT_FOUND}') AS missing, coalesce(g.is_strong AND g.conf >= 0.90, false) AS sure FROM judged j LEFT JOIN g3 g ON j.language IS NOT DISTINCT FROM g.language AND j.query = g.query),
+g5 AS (SELECT *, NOT missing AND shape_ok AND grounded AS kept FROM g4),
+g6 AS (SELECT *, CASE WHEN sure THEN 'span' WHEN kept THEN 'answer' WHEN sp IS NOT NULL THEN 'repair' ELSE 'message' END AS source FROM g5)
+SELECT language, query, raw_answer, CASE source WHEN 'answer' THEN answer WHEN 'message' THEN {_MESSAGE} ELSE sp END AS final_answer, source,
+  CASE WHEN source = 'message' THEN CASE WHEN missing THEN 'model_abstained' WHEN truncated THEN 'truncated_unsupported' WHEN echo THEN 'question_echo' ELSE 'unsupported_answer' END END AS code FROM g6"""
+
 ORACLE_SQL: dict[str, str] = {
     "validate_chunks": f"WITH {CORPUS} SELECT language, count(*) AS n_chunks, count(DISTINCT parent_id) AS n_parents, count(*) FILTER (WHERE chunk_id IS NULL) AS n_null_ids, count(*) FILTER (WHERE trim(text) = '') AS n_blank FROM corpus GROUP BY language",
     "validate_vectors": f"WITH {USABLE}, r AS (SELECT DISTINCT vector_row FROM vectors), j AS (SELECT r.vector_row, r.vector_row IN (SELECT vector_row FROM usable) AS u, r.vector_row IN (SELECT vector_row FROM metadata) AS m FROM r) SELECT count(*) AS n_rows, count(*) FILTER (WHERE u) AS n_usable, count(*) FILTER (WHERE m) AS n_named, count(*) FILTER (WHERE u AND m) AS n_ready FROM j",
@@ -261,7 +306,8 @@ ORACLE_SQL: dict[str, str] = {
     "grounding_guardrail": f"WITH {PACKED}, n AS (SELECT request_id, count(*) AS blocks FROM packed GROUP BY request_id) SELECT r.request_id, coalesce(n.blocks, 0) AS blocks, CASE WHEN n.blocks IS NULL THEN 'no_grounded_context' END AS code FROM (SELECT DISTINCT request_id FROM requests) r LEFT JOIN n USING (request_id)",
     "answer_shape": f"WITH {SHAPED} SELECT language, query, raw_answer, answer, type_ok, script_ok, echo, repeats, shape_ok FROM judged0",
     "answer_grounded": f"WITH {JUDGED} SELECT language, query, raw_answer, answer, grounded FROM judged",
-    "output_guardrail": f"WITH {JUDGED}, k AS (SELECT *, starts_with(trim(raw_answer), '{L.NOT_FOUND}') AS missing FROM judged), k2 AS (SELECT *, NOT missing AND shape_ok AND grounded AS kept FROM k) SELECT language, query, raw_answer, CASE WHEN kept THEN answer ELSE {_MESSAGE} END AS final_answer, CASE WHEN NOT kept THEN CASE WHEN missing THEN 'model_abstained' WHEN truncated THEN 'truncated_unsupported' WHEN echo THEN 'question_echo' ELSE 'unsupported_answer' END END AS code FROM k2",
+    "extract_answer": f"WITH {STRONGEST}, b2 AS (SELECT evidence_id, query, lang, language, unit FROM best), {spans('b2')} SELECT evidence_id, found[1].span AS span, found[1].confidence AS confidence, found[1].method AS method FROM spanned",
+    "output_guardrail": GUARDED,
     "hash_sample": "WITH s AS (SELECT language, query_id, row_number() OVER (PARTITION BY language ORDER BY sha256(concat_ws(':', 'vettiver-sample-1', language, query_id)), query_id) AS nth FROM validation_queries) SELECT language, CAST(nth AS INTEGER) AS nth, query_id FROM s WHERE nth <= 50",
     "parse_list": f"WITH a AS (SELECT DISTINCT raw_answer FROM full_rag_t4_per_query), p AS (SELECT raw_answer, CASE WHEN raw_answer IS NULL THEN {_EMPTY} WHEN starts_with(trim(raw_answer), '[') THEN coalesce(TRY_CAST(TRY_CAST(trim(raw_answer) AS JSON) AS VARCHAR[]), [trim(raw_answer)]) ELSE [trim(raw_answer)] END AS l FROM a), c AS (SELECT raw_answer, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS l FROM p) SELECT raw_answer, array_to_string(l, '|') AS items, len(l) AS n_items FROM c",
     "recall_at_20": f"WITH {LANES_SPARSE}, lanes AS (SELECT query_id AS request_id, lane, parent_id, rnk FROM sparse_lanes), {FUSED}, {PAIRS}, rel AS (SELECT DISTINCT v.query_id, p.parent_id FROM pairs p JOIN validation_queries v ON p.query = v.query WHERE p.parent_id <> ''), j AS (SELECT r.query_id, count(*) AS relevant, count(f.parent_id) AS hits FROM rel r LEFT JOIN fused f ON f.request_id = r.query_id AND f.parent_id = r.parent_id AND f.rnk <= 20 GROUP BY r.query_id) SELECT query_id, relevant, hits, round(hits / relevant, 6) AS recall_20, hits > 0 AS hit_20 FROM j",
