@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vettiver.functions import text as T
 from vettiver.functions.extract import answer_span
 from vettiver.functions.lexicon import NOT_FOUND, NOT_FOUND_MESSAGE, NOT_FOUND_MESSAGES, by_language
-from vettiver.operators import dense, evaluate, fusion, sparse
+from vettiver.operators import dense, evaluate, fusion, sparse, windows
 from vettiver.sources.tables import read_corpus, read_queries, table
 from vettiver.streaming import transcripts
 
@@ -271,6 +271,18 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.packed(ranked)
 
 
+def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.evidence_windows(pairs(spark, folder).select("evidence_id", "query", "text", "language"), "evidence_id")
+
+
+def context_pack_v3(spark: SparkSession, folder: str) -> DataFrame:
+    """The windows of the first two reranked parents that have one; two windows and the gap always fit the budget of 490."""
+    ranked = fusion.rerank(_features(spark, folder).select("*")).select("request_id", "parent_id", "evidence_id", F.col("new_rank").alias("rank"))
+    rows = ranked.join(evidence_window(spark, folder), "evidence_id").where("window <> ''")
+    order = Window.partitionBy("request_id").orderBy("rank")
+    return rows.withColumn("block", F.row_number().over(order)).where("block <= 2").select("request_id", "block", "parent_id", "window")
+
+
 def input_guardrail(spark: SparkSession, folder: str) -> DataFrame:
     """The first reason against each request: empty, too long, of another language, unsafe; null if there is none."""
     q = F.col("query")
@@ -410,7 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         validate_chunks, validate_vectors, embedding_report, tokenize_stats, content_terms, informative_terms, required_anchors, fuzzy_matches, grounding_form,
         chunk_fixed, postings, term_df, corpus_stats, idf_proxy, bm25_chunk_topk, bm25_parent_collapse, anchor_terms, query_views, sparse_lanes, sparse_fused,
         vector_topk_cosine, dense_parent_collapse, lane_ranking, rrf_v3, rrf_v1, ranking_parity, support_signal, evidence_sentences, evidence_units, strongest_unit,
-        alignment_features, rerank_v3, context_pack, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, extract_answer, output_guardrail, hash_sample, parse_list,
+        alignment_features, rerank_v3, context_pack, evidence_window, context_pack_v3, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, extract_answer, output_guardrail, hash_sample, parse_list,
         recall_at_20, latency_percentiles, under_200_share, abstention_report, failure_attribution, transcript_events, stt_final_latency, rag_response,
     )
 }

@@ -174,11 +174,11 @@ STRONGEST = f"""{PAIRS}, {sentences('pairs')}, {UNIT_ROWS}, {supported('units',
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY strong DESC, score9 DESC, round(coverage, 9) DESC, matched DESC, pos) AS nth FROM sup) WHERE nth = 1)"""
 FEATURES = f"""{STRONGEST}, {RANKING.replace(EVIDENCE + ', ' + REQUESTS + ',', '').strip()}, {FUSED},
 top_evidence AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, parent_id ORDER BY pack9 DESC, evidence_id) AS nth2 FROM best WHERE parent_id <> '') WHERE nth2 = 1),
-f1 AS (SELECT f.request_id, f.parent_id, f.rrf, f.in_lanes, t.unit, t.pack9, t.lang, t.query, t.language, {terms('t.unit')} AS shown2 FROM fused f JOIN top_evidence t USING (request_id, parent_id)),
+f1 AS (SELECT f.request_id, f.parent_id, t.evidence_id, f.rrf, f.in_lanes, t.unit, t.pack9, t.lang, t.query, t.language, {terms('t.unit')} AS shown2 FROM fused f JOIN top_evidence t USING (request_id, parent_id)),
 f2 AS (SELECT *, {CONTENT} AS cl FROM f1),
 f3 AS (SELECT *, {once('cl')} AS content FROM f2),
 f4 AS (SELECT *, content[1:3] AS anch FROM f3),
-feat AS (SELECT request_id, parent_id, unit, rrf, pack9 AS ev, {AGREE} AS agree, len(anch) AS n_anchors,
+feat AS (SELECT request_id, parent_id, evidence_id, unit, rrf, pack9 AS ev, {AGREE} AS agree, len(anch) AS n_anchors,
   CASE WHEN len(anch) = 0 THEN 0.0 ELSE ({count_matched('anch', 'shown2', lambda a, b: engine_match(a, b, 'lang'))})::DOUBLE / len(anch) END AS anchor_coverage,
   CASE WHEN len(content) = 0 THEN 0.0 ELSE ({count_matched('content', 'shown2', lambda a, b: engine_match(a, b, 'lang'))})::DOUBLE / len(content) END AS cov,
   len(anch) > 0 AND contains({collapsed(folded('unit'))}, array_to_string(anch, ' ')) AS phrase FROM f4)"""
@@ -253,6 +253,28 @@ FRAMES = f"""frames AS (SELECT DISTINCT user_id AS session, ts, event_id AS seq,
 _MESSAGE = _by("coalesce(language, chr(0))", L.NOT_FOUND_MESSAGES, _q(L.NOT_FOUND_MESSAGE), _q)
 _EMPTY = "[" + "''" + "][1:0]"
 
+def _scored(rows: str, name: str, col: str, by: str) -> str:
+    """CTE ``name``: ``rows`` (by, lang, language, query, col) with the pack score of the strongest unit of ``col``."""
+    inner = f"{name}_t AS (SELECT {by}, lang, language, query, {col} AS text FROM {rows}), " + sentences(f"{name}_t").replace("sent AS", f"{name}_s AS", 1)
+    inner += ", " + UNIT_ROWS.replace("units AS", f"{name}_u AS", 1).replace("FROM sent)", f"FROM {name}_s)")
+    sup = supported(f"{name}_u", "unit")
+    for cte in ("s1", "s2", "s3", "s4", "s5", "sup"):
+        sup = sup.replace(f"{cte} AS (", f"{name}_{cte} AS (").replace(f"FROM {cte})", f"FROM {name}_{cte})")
+    return f"{inner}, {sup}, {name} AS (SELECT {by}, pack9 FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY strong DESC, score9 DESC, round(coverage, 9) DESC, matched DESC, pos) AS nth FROM {name}_sup) WHERE nth = 1)"
+
+
+WINDOWS = f"""{{pairs}}, wr AS (SELECT evidence_id, query, lang, language, {collapsed('text')} AS text FROM pairs), {sentences('wr').replace('sent AS', 'wsent AS', 1)},
+wlong AS (SELECT * FROM wsent WHERE length(text) > 240),
+weach AS (SELECT evidence_id, lang, language, query, u.p AS p, u.x AS x FROM (SELECT *, unnest(list_transform(ss, lambda x, i: {{{{'p': i, 'x': x}}}})) AS u FROM wlong)),
+{_scored('weach', 'wsc', 'x', 'evidence_id, p').replace('{', '{{').replace('}', '}}')},
+wbest AS (SELECT evidence_id, p FROM (SELECT e.evidence_id, e.p, row_number() OVER (PARTITION BY e.evidence_id ORDER BY coalesce(s.pack9, 0) DESC, e.p) AS nth FROM weach e LEFT JOIN wsc s USING (evidence_id, p)) WHERE nth = 1),
+wlocal AS (SELECT l.evidence_id, l.query, l.lang, l.language, array_to_string(l.ss[greatest(b.p - 1, 1):b.p + 1], ' ') AS loc FROM wlong l JOIN wbest b USING (evidence_id)),
+wcand AS (SELECT evidence_id, query, lang, language, list_concat([left(loc, 240), right(loc, 240)], list_transform(list_filter(list_transform(list_filter({terms('query')}, lambda t: length(t) >= 2),
+  lambda t: instr({folded('loc')}, t)), lambda q: q > 0), lambda q: substring(loc, greatest(q - 1 - 80, 0) + 1, 240))) AS ws FROM wlocal WHERE length(loc) > 240),
+wwin AS (SELECT evidence_id, query, lang, language, u.p AS p, u.x AS x FROM (SELECT *, unnest(list_transform(ws, lambda w, i: {{{{'p': i, 'x': trim(w)}}}})) AS u FROM wcand)),
+{_scored('wwin', 'wws', 'x', 'evidence_id, p').replace('{', '{{').replace('}', '}}')},
+wcrop AS (SELECT evidence_id, x FROM (SELECT w.evidence_id, w.x, row_number() OVER (PARTITION BY w.evidence_id ORDER BY coalesce(s.pack9, 0) DESC, w.p) AS nth FROM wwin w LEFT JOIN wws s USING (evidence_id, p) WHERE w.x <> '') WHERE nth = 1),
+windows AS (SELECT r.evidence_id, CASE WHEN length(r.text) <= 240 THEN r.text WHEN length(l.loc) <= 240 THEN l.loc ELSE c.x END AS win FROM wr r LEFT JOIN wlocal l USING (evidence_id) LEFT JOIN wcrop c USING (evidence_id))"""
 _SHAPE = rf"""length(sp) <= 90 AND length(sp) > 0 AND (NOT ({any_in(folded('query'), _by('lang', L.NUMBER_MARKERS, '[]'))}) OR regexp_matches(sp, '\p{{Nd}}'))
   AND NOT ({_ECHO.replace('answer', 'sp')}) AND (regexp_matches(sp, {_by('lang', {k: f'[{v}]' for k, v in L.SCRIPTS.items()}, "'[A-Za-z]'", _q)}) OR regexp_matches(sp, '[A-Za-z\p{{Nd}}°%]'))
   AND len(list_filter(range(1, len({terms('sp')}) - 1), lambda i: {terms('sp')}[i] = {terms('sp')}[i + 1] AND {terms('sp')}[i + 1] = {terms('sp')}[i + 2])) = 0"""
@@ -302,6 +324,8 @@ ORACLE_SQL: dict[str, str] = {
     "alignment_features": f"WITH {FEATURES} SELECT request_id, parent_id, round(anchor_coverage, 6) AS anchor_coverage, round(cov, 6) AS coverage, agree, phrase FROM feat",
     "rerank_v3": f"WITH {RERANKED} SELECT request_id, new_rank, parent_id, round(score, 6) AS rerank_score FROM reranked",
     "context_pack": f"WITH {PACKED} SELECT * FROM packed",
+    "evidence_window": f"WITH {WINDOWS.replace('{pairs}', PAIRS).replace('{{', '{').replace('}}', '}')} SELECT evidence_id, win AS window FROM windows",
+    "context_pack_v3": f"WITH {WINDOWS.replace('{pairs}', RERANKED).replace('{{', '{').replace('}}', '}')}, cv AS (SELECT r.request_id, r.parent_id, w.win, row_number() OVER (PARTITION BY r.request_id ORDER BY r.new_rank) AS block FROM reranked r JOIN windows w USING (evidence_id) WHERE w.win <> '') SELECT request_id, CAST(block AS INTEGER) AS block, parent_id, win AS window FROM cv WHERE block <= 2",
     "input_guardrail": rf"WITH {REQUESTS}, c AS (SELECT request_id, CASE WHEN {collapsed('query')} = '' THEN 'empty_query' WHEN length(query) > 500 THEN 'query_too_long' WHEN language IS NULL OR language NOT IN ('ta', 'hi') THEN 'unsupported_language' WHEN regexp_matches(query, '(?i)\bhow\s+to\s+make\s+a?\s*(bomb|explosive)\b|\bkill\s+myself\b|\bsuicide\s+method\b|\bchild\s+sexual\b') THEN 'unsafe_content' END AS code FROM requests) SELECT request_id, code, code IS NULL AS allowed FROM c",
     "grounding_guardrail": f"WITH {PACKED}, n AS (SELECT request_id, count(*) AS blocks FROM packed GROUP BY request_id) SELECT r.request_id, coalesce(n.blocks, 0) AS blocks, CASE WHEN n.blocks IS NULL THEN 'no_grounded_context' END AS code FROM (SELECT DISTINCT request_id FROM requests) r LEFT JOIN n USING (request_id)",
     "answer_shape": f"WITH {SHAPED} SELECT language, query, raw_answer, answer, type_ok, script_ok, echo, repeats, shape_ok FROM judged0",

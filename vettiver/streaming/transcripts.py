@@ -1,7 +1,7 @@
 """Transcript events: typing of frames, and the time from a session's first audio to each final transcript.
 
-A frame has (session, ts, frame): JSON {"kind", "text"}. The same expressions serve tables and streams; the stateful
-latency is a window on tables, and on streams a state of one time stamp for each session that ends with the session or
+A frame has (session, ts, frame): JSON {"kind", "text"}. The same expressions serve tables and streams; the latency is
+a join with each session's first audio on tables, and on streams a state of one time stamp for each session that ends with the session or
 after an hour without frames, so that state does not grow for ever.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,11 +39,13 @@ def typed(rows: DataFrame) -> DataFrame:
 
 def final_latency(rows: DataFrame) -> DataFrame:
     """(session, seq, latency_ms) of every final; null where no audio came before it in the session."""
-    read = rows.withColumn("kind", F.from_json("frame", "kind string, text string")["kind"]).where(F.col("kind").isin("audio", "final"))
-    so_far = Window.partitionBy("session").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.min(F.when(F.col("kind") == "audio", F.col("ts"))).over(so_far)
-    latency = F.timestamp_diff("MICROSECOND", F.col("first_audio"), F.col("ts")) / 1000
-    return read.withColumn("first_audio", first).where("kind = 'final'").select("session", "seq", F.round(latency, 3).alias("latency_ms"))
+    read = rows.withColumn("kind", F.from_json("frame", "kind string, text string")["kind"])
+    # the first audio so far is the session's first audio, or there was none yet: no window over a long session is needed
+    first = read.where("kind = 'audio'").groupBy("session").agg(F.min(F.struct("ts", "seq")).alias("first"))
+    finals = read.where("kind = 'final'").join(first, "session", "left")
+    before = F.struct("first.ts", "first.seq") < F.struct("ts", "seq")
+    latency = F.when(before, F.timestamp_diff("MICROSECOND", F.col("first.ts"), F.col("ts")) / 1000)
+    return finals.select("session", "seq", F.round(latency, 3).alias("latency_ms"))
 
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
