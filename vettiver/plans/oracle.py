@@ -299,6 +299,7 @@ ORACLE_SQL: dict[str, str] = {
     "tokenize_stats": f"WITH {CORPUS}, {TOKENS}, t AS (SELECT language, unnest(ts) AS term FROM tok) SELECT language, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct FROM t GROUP BY language",
     "content_terms": f"WITH {REQUESTS}, x AS (SELECT request_id, {CONTENT} AS l FROM requests) SELECT request_id, array_to_string({once('l')}, ' ') AS terms FROM x",
     "informative_terms": f"WITH {REQUESTS}, x AS (SELECT request_id, {INFORMATIVE} AS l FROM requests) SELECT request_id, array_to_string({once('l')}, ' ') AS terms FROM x",
+    "required_anchors": f"WITH {REQUESTS}, r AS (SELECT request_id, query, coalesce(language, '') AS lang, query AS unit FROM requests), {supported('r', 'unit')}, a AS (SELECT request_id, anchors AS l FROM s1) SELECT request_id, array_to_string({once('l')}, ' ') AS anchors FROM a",
     "fuzzy_matches": f"WITH {PAIRS}, x AS (SELECT evidence_id, lang, list_distinct({terms('query')}) AS q, list_distinct({terms('text')}) AS t FROM pairs) SELECT evidence_id, {count_matched('q', 't', lambda a, b: engine_match(a, b, 'lang'))} AS n_engine, {count_matched('q', 't', evidence_match)} AS n_evidence, {count_matched('q', 't', guardrail_match)} AS n_guardrail FROM x",
     "chunk_fixed": "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS parent_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 384) / 288), 0) AS BIGINT) + 1)) AS chunk_no FROM documents WHERE length(text) > 0) SELECT parent_id, chunk_no, substring(text, chunk_no * 288 + 1, 384) AS chunk FROM d",
     "postings": f"WITH {STATS} SELECT language, chunk_id, term, tf, dl FROM post",
