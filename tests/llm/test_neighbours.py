@@ -53,3 +53,20 @@ def test_nothing_and_one(spark):
     assert V.nearest(none, "vector_row", "embedding", dimension=8, bits=8).count() == 0
     one = spark.createDataFrame([(1, [1.0] * 8)], "vector_row bigint, embedding array<float>")
     assert V.nearest(one, "vector_row", "embedding", dimension=8, bits=8).count() == 0
+
+
+@pytest.mark.parametrize("apart", [0.25, 1.0])
+def test_all_pairs_with_a_third_in_one_cluster(spark, apart):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=32) + apart * rng.normal(size=(400, 32))
+    few = np.repeat(rng.normal(size=(40, 32)), 10, axis=0) + 0.4 * rng.normal(size=(400, 32))
+    x = np.concatenate([one, few, rng.normal(size=(400, 32))]).astype("float32").astype("float64")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vector_row bigint, embedding array<float>")
+    got = {}
+    for r in V.nearest(df, "vector_row", "embedding", k=5, dimension=32, bits=32, radius=6).collect():
+        got.setdefault(r["row_a"], set()).add(r["row_b"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    fifth = -np.sort(-s, axis=1)[:, 4]
+    assert all(len(got[i]) == 5 and all(s[i, j] >= fifth[i] - 1e-4 for j in got[i]) for i in range(len(x)))

@@ -2,11 +2,13 @@
 
 Codes: a rotation is learned on a bounded sample (principal directions, then the rotation that brings them closest to
 the corners of a cube), and the signs of the rotated vector are its binary code. The code is cut into substrings, and
-each substring is an index of its own: by the pigeonhole principle two codes that differ in fewer bits than there are
-substrings agree in one of them. In each bucket of each index the codes within a Hamming radius are kept, and the
+each substring is an index of its own. In each bucket of each index the codes within a Hamming radius are kept, and the
 smallest of their shuffled numbers names a meeting place; a vector asks in the first of its places, and is offered in
-all of them, so close vectors meet in one place although only codes were compared before. There the floats are
-multiplied, exactly, and the k best of each asking vector stay.
+all of them. There the floats are multiplied, and the k best of each asking vector are what it knows.
+
+What a vector knows is only a bound: no Hamming radius proves a cosine. Each vector therefore asks all others once more,
+in tiles, but for runs of vectors that the angles to a common pivot prove to be further than its k-th known one
+(``complete``); a vector that knows fewer than k others asks all. The result is that of comparing all pairs.
 
 Substrings grow with the logarithm of the number of vectors, so buckets do not. Equal vectors are one vector with
 its smallest k + 1 rows (ties go to the smaller row, so no further row can be in any result), and a place is split
@@ -37,6 +39,10 @@ RADIUS = 72
 BLOCK = 4096
 #: Leaders of one bucket that are compared with its rows at a time.
 LEADERS = 16
+#: Pivots that vectors are ordered around, at most; vectors of one cell that are left out or asked together.
+PIVOTS, RUN = 2048, 64
+#: Vectors of a tile, pairs held while two tiles are compared, and partitions of tiles at least.
+TILE, HITS, PARTS = 8192, 2_000_000, 6
 #: Above so many vectors, a place's neighbouring places are not merged with it.
 MERGED = 20_000
 
@@ -76,14 +82,20 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def learn_rotation(vectors: DataFrame, total: int, bits: int, dimension: int, sample: int = SAMPLE, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, dimension x bits matrix) whose signs are the code: learned on about ``sample`` vectors, spread by hash."""
+def sampled(vectors: DataFrame, total: int, dimension: int, sample: int = SAMPLE) -> np.ndarray:
+    """The unit vectors of about ``sample`` rows, spread by hash."""
     every = max(1, -(-total // sample))
     spread = vectors.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).mapInArrow(_short(dimension), "row bigint, unit binary")
     held = sorted((r["row"], bytes(r["unit"])) for r in spread.collect())  # about sample rows of 2 x dimension bytes
-    if not held:
+    return _matrix(pa.array([u for _, u in held], pa.binary()), dimension) if held else np.zeros((0, dimension), np.float32)
+
+
+def learn_rotation(x: np.ndarray, bits: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, dimension x bits matrix) whose signs are the code, learned on the unit vectors ``x``."""
+    dimension = x.shape[1]
+    if not len(x):
         return np.zeros(dimension, np.float32), np.zeros((dimension, bits), np.float32)
-    x = _matrix(pa.array([u for _, u in held], pa.binary()), dimension).astype(np.float64)
+    x = x.astype(np.float64)
     mean = x.mean(axis=0)
     x = x - mean
     _, directions = np.linalg.eigh(x.T @ x)
@@ -96,6 +108,21 @@ def learn_rotation(vectors: DataFrame, total: int, bits: int, dimension: int, sa
     return mean.astype(np.float32), (directions @ turn).astype(np.float32)
 
 
+def learn_pivots(x: np.ndarray, many: int, rounds: int = 6) -> np.ndarray:
+    """At most ``many`` unit vectors in the middle of the clusters of the unit vectors ``x``."""
+    if not len(x):
+        return np.eye(1, x.shape[1], dtype=np.float32)
+    pivots = x[np.random.default_rng(0).permutation(len(x))[:many]].astype(np.float32)
+    for _ in range(rounds):
+        own = (x @ pivots.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        used, first = np.unique(own[order], return_index=True)
+        middle = np.add.reduceat(x[order].astype(np.float64), first, axis=0)
+        size = np.sqrt((middle * middle).sum(axis=1, keepdims=True))
+        pivots[used] = np.where(size > 1e-9, middle / np.maximum(size, 1e-9), pivots[used])
+    return pivots
+
+
 def _code(learned, dimension: int):
     """Each usable vector's code, and a digest by which equal vectors are found."""
 
@@ -242,6 +269,143 @@ def _rerank(k: int, dimension: int):
     return run
 
 
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _place(pivots, dimension: int):
+    """Each vector with its nearest pivot and its angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = pivots.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            likeness = _matrix(batch.column(1), dimension) @ middle.T
+            own = likeness.argmax(axis=1)
+            angle = _angle(likeness[np.arange(len(own)), own]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(angle), *batch.columns], ["cell", "angle", "row", "unit", "bound"])
+
+    return run
+
+
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their cells and angles as tiles of at most ``TILE``: one row each, columns as bytes."""
+
+    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts)
+        cell, angle, row, bound = (np.ascontiguousarray(whole[c].to_numpy()).tobytes() for c in ("cell", "angle", "row", "bound"))
+        unit = b"".join(whole["unit"].to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (cell, angle, row, unit, bound)], ["cell", "angle", "row", "unit", "bound"])
+
+    held: list[pa.RecordBatch] = []
+    many = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, TILE - many)
+            held.append(part)
+            at, many = at + part.num_rows, many + part.num_rows
+            if many == TILE:
+                yield tile(held)
+                held, many = [], 0
+    if held:
+        yield tile(held)
+
+
+def _ask_tiles(pivots, k: int, dimension: int):
+    """Of each pair of tiles, the vectors of the second that may be among the ``k`` best of one of the first.
+
+    An asker brings the similarity of the k-th vector that it knows. A vector x at the angle a to its pivot is at least
+    |a - b| from an asker at the angle b to the same pivot, so runs of x for which that is over the asker's k-th angle
+    are left out; no other vector is.
+    """
+
+    def read(columns: list[bytes]) -> tuple[np.ndarray, ...]:
+        cell, angle, row, unit, bound = (np.frombuffer(c, dtype=t) for c, t in zip(columns, (np.int32, np.float32, np.int64, np.int16, np.float64), strict=True))
+        x = unit.reshape(-1, dimension).astype(np.float32)
+        return cell, angle, row, x / np.sqrt(np.einsum("ad,ad->a", x, x, dtype=np.float64))[:, None].astype(np.float32), bound
+
+    def best(a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((b, -np.round(likeness, 8), a))
+        a, b, likeness = a[order], b[order], likeness[order]
+        start = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0]))
+        nth = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
+        return a[nth < k], b[nth < k], likeness[nth < k]
+
+    def pair(middle: np.ndarray, asking: tuple, offered: tuple) -> tuple[np.ndarray, ...] | None:
+        _, _, rows, x, bound = asking
+        cell, angle, names, y, _ = offered
+        found: list[tuple] = []
+        many = 0
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal found, many
+            other = rows[i] != names[j]
+            i, j = i[other], j[other]
+            if not len(i):
+                return
+            exact = np.concatenate([np.einsum("ad,ad->a", x[i[t : t + 8192]], y[j[t : t + 8192]], dtype=np.float64) for t in range(0, len(i), 8192)])
+            found.append((rows[i], names[j], exact))
+            many += len(i)
+            if many > HITS:
+                found = [best(*[np.concatenate(f) for f in zip(*found, strict=True)])]
+                many = len(found[0][0])
+
+        # askers that know fewer than k others ask all
+        loose = np.flatnonzero(bound <= -1)
+        for lo in range(0, len(loose), 512):
+            mine = loose[lo : lo + 512]
+            likeness = x[mine] @ y.T
+            top = min(k + 6, len(names))
+            near = np.argpartition(-likeness, top - 1, axis=1)[:, :top]
+            take(np.repeat(mine, top), near.ravel())
+        sure = np.flatnonzero(bound > -1)
+        if len(sure):
+            xs, least = x[sure], (bound[sure] - 1e-5).astype(np.float32)
+            reach = _angle(least) + 2e-3
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+            away = _angle(xs @ middle[cell[edge[:-1]]].T)
+            for c, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
+                for at in range(lo, hi, RUN):
+                    end = min(hi, at + RUN)
+                    mine = np.flatnonzero((away[:, c] - angle[end - 1] <= reach) & (angle[at] - away[:, c] <= reach))
+                    if len(mine):
+                        i, j = np.nonzero(xs[mine] @ y[at:end].T >= least[mine][:, None])
+                        take(sure[mine[i]], j + at)
+        return best(*[np.concatenate(f) for f in zip(*found, strict=True)]) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = pivots.value
+        for batch in batches:
+            for r in range(batch.num_rows):
+                columns = [c[r].as_buffer() for c in batch.columns]
+                got = pair(middle, read(columns[:5]), read(columns[5:]))
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["row_a", "row_b", "similarity"])
+
+    return run
+
+
+def complete(units: DataFrame, known: DataFrame, pivots, k: int, dimension: int) -> DataFrame:
+    """The k best of every row of ``units`` (row, unit) among all its rows: exact, whatever is ``known``.
+
+    ``known`` (row_a, row_b, similarity) has true pairs; the k-th of a row bounds where it still has to ask. Tiles meet
+    as a product of checkpointed rows, without a shuffle.
+    """
+    bounds = known.groupBy("row_a").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth")).where(F.col("n") >= k)
+    rows = units.join(bounds.select(F.col("row_a").alias("row"), "kth"), "row", "left").select("row", "unit", F.coalesce("kth", F.lit(-1.0)).alias("bound"))
+    placed = rows.mapInArrow(_place(pivots, dimension), "cell int, angle float, row bigint, unit binary, bound double")
+    columns = ("cell", "angle", "row", "unit", "bound")
+    tiles = placed.repartition("cell").sortWithinPartitions("cell", "angle").mapInArrow(_tile, ", ".join(f"{c} binary" for c in columns))
+    tiles = materialise(tiles)
+    parts = max(PARTS, tiles.count() // 8)
+    a, b = (tiles.coalesce(parts).select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+    asked = a.crossJoin(b).mapInArrow(_ask_tiles(pivots, k, dimension), "row_a bigint, row_b bigint, similarity double")
+    order = Window.partitionBy("row_a").orderBy(F.round("similarity", 8).desc(), "row_b")
+    return asked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
 def homes(met: DataFrame) -> DataFrame:
     """(row, home, places): where each row asks, and all places where it is offered.
 
@@ -267,7 +431,9 @@ def nearest(vectors: DataFrame, row: str, vector: str, among: DataFrame | None =
     spark = vectors.sparkSession
     raw = usable(vectors, row, vector, dimension)
     total = max(2, raw.count())
-    learned = spark.sparkContext.broadcast(learn_rotation(raw, total, bits, dimension))  # dimension x bits floats
+    sample = sampled(raw, total, dimension)
+    learned = spark.sparkContext.broadcast(learn_rotation(sample, bits))  # dimension x bits floats
+    pivots = spark.sparkContext.broadcast(learn_pivots(sample, min(PIVOTS, 2 * math.isqrt(total))))  # PIVOTS x dimension floats at most
     codes = raw.mapInArrow(_code(learned, dimension), "row bigint, code binary, digest binary")
     if among is not None:
         codes = codes.join(among.select("row").distinct(), "row", "left_semi")
@@ -280,7 +446,9 @@ def nearest(vectors: DataFrame, row: str, vector: str, among: DataFrame | None =
     index = lone.select("row", "code").mapInArrow(_index(bits, length), "spot bigint, row bigint, code binary")
     met = index.repartition("spot").sortWithinPartitions("spot").mapInArrow(_meet(radius), "row bigint, place bigint")
     floats = raw.mapInArrow(_short(dimension), "row bigint, unit binary")
-    found = _best_in_places(floats, homes(met), k, dimension)
+    known = _best_in_places(floats, homes(met), k, dimension)
+    once = floats.join(lone.select("row"), "row", "left_semi").groupBy("row").agg(F.min("unit").alias("unit"))
+    found = complete(once, known, pivots, k, dimension)
     if not several.take(1):
         return found
     return _with_copies(found, codes, several, twins, k)
