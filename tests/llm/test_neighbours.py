@@ -70,3 +70,14 @@ def test_all_pairs_with_a_third_in_one_cluster(spark, apart):
     np.fill_diagonal(s, -9)
     fifth = -np.sort(-s, axis=1)[:, 4]
     assert all(len(got[i]) == 5 and all(s[i, j] >= fifth[i] - 1e-4 for j in got[i]) for i in range(len(x)))
+
+
+def test_a_large_place_is_split(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 100)
+    at_home = spark.range(1000).selectExpr("id AS row", "7L AS home", "array(7L, 8L) AS places")
+    held = V.blocks(at_home).collect()
+    size = {}
+    for r in held:
+        size[r["place"], r["block"]] = size.get((r["place"], r["block"]), 0) + 1
+    assert max(size.values()) < 200
+    assert sorted(r["row"] for r in held if r["asks"]) == list(range(1000))

@@ -12,7 +12,7 @@ in tiles, but for runs of vectors that the angles to a common pivot prove to be
 
 Substrings grow with the logarithm of the number of vectors, so buckets do not. Equal vectors are one vector with
 its smallest k + 1 rows (ties go to the smaller row, so no further row can be in any result), and a place is split
-into blocks of askers.
+into blocks, whatever its size.
 
 A vector is usable when it has ``dimension`` finite numbers, not all zero.
 """
@@ -35,7 +35,7 @@ BITS = 256
 #: Vectors that the rotation is learned on, at most.
 SAMPLE = 8192
 RADIUS = 72
-#: Askers that one task multiplies with a place's vectors at a time.
+#: Vectors of a block of a place, about.
 BLOCK = 4096
 #: Leaders of one bucket that are compared with its rows at a time.
 LEADERS = 16
@@ -43,8 +43,8 @@ LEADERS = 16
 PIVOTS, RUN = 2048, 64
 #: Vectors of a tile, pairs held while two tiles are compared, and partitions of tiles at least.
 TILE, HITS, PARTS = 8192, 2_000_000, 6
-#: Above so many vectors, a place's neighbouring places are not merged with it.
-MERGED = 20_000
+#: Codes of a bucket whose leaders are found at a time.
+BUCKET = 65_536
 
 
 def usable(vectors: DataFrame, row: str, vector: str, dimension: int = DIMENSION) -> DataFrame:
@@ -208,9 +208,11 @@ def _meet(radius: int):
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             edge = np.flatnonzero(np.diff(now[0])) + 1
             last = edge[-1] if len(edge) else 0
+            if len(now[0]) - last >= BUCKET:
+                last = len(now[0])
             if last:
                 yield from groups(*[x[:last] for x in now])
-            held = [x[last:] for x in now]
+            held = [x[last:] for x in now] if last < len(now[0]) else None
         if held is not None:
             yield from groups(*held)
 
@@ -410,14 +412,12 @@ def homes(met: DataFrame) -> DataFrame:
     """(row, home, places): where each row asks, and all places where it is offered.
 
     Rows share a place if one led them in a bucket. A row's first home is the smallest of its places; a place goes
-    over to the smallest first home of its rows, unless more than ``MERGED`` rows would then be at home there.
+    over to the smallest first home of its rows.
     """
     pairs = materialise(met.distinct())
     first = pairs.groupBy("row").agg(F.min("place").alias("first"))
-    moved = materialise(pairs.join(first, "row").groupBy("place").agg(F.min("first").alias("to")))
-    full = pairs.join(moved, "place").groupBy("row").agg(F.min("to").alias("to")).groupBy("to").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MERGED).select("to")
-    kept = moved.join(full, "to", "left_anti")
-    named = pairs.join(kept, "place", "left").select("row", F.coalesce("to", "place").alias("place"))
+    moved = pairs.join(first, "row").groupBy("place").agg(F.min("first").alias("to"))
+    named = pairs.join(moved, "place").select("row", F.col("to").alias("place"))
     return named.groupBy("row").agg(F.min("place").alias("home"), F.collect_set("place").alias("places"))
 
 
@@ -454,15 +454,17 @@ def nearest(vectors: DataFrame, row: str, vector: str, among: DataFrame | None =
     return _with_copies(found, codes, several, twins, k)
 
 
+def blocks(at_home: DataFrame) -> DataFrame:
+    """(place, block, row, asks): every place in blocks of about ``BLOCK`` rows; a row is in one of its place's blocks."""
+    offered = at_home.select("row", "home", F.explode("places").alias("place"))
+    many = offered.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    return offered.join(many, "place").select("place", block.alias("block"), "row", (F.col("home") == F.col("place")).alias("asks"))
+
+
 def _best_in_places(units: DataFrame, at_home: DataFrame, k: int, dimension: int) -> DataFrame:
-    """The k best of every row among those offered in its home."""
-    at_home = materialise(at_home)
-    blocks = at_home.groupBy(F.col("home").alias("place")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    offered = at_home.select("row", "home", F.explode("places").alias("place")).join(blocks, "place")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    spread = offered.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("place", "block", "row", ((F.col("home") == F.col("place")) & (own == F.col("block"))).alias("asks"))
-    floats = spread.join(units, "row").select("place", "block", "row", "asks", "unit")
+    """The k best of every row among those of its block at home: true pairs, but not yet the result."""
+    floats = blocks(materialise(at_home)).join(units, "row").select("place", "block", "row", "asks", "unit")
     sent = floats.repartition("place", "block").sortWithinPartitions("place", "block")
     return sent.mapInArrow(_rerank(k, dimension), "row_a bigint, row_b bigint, similarity double")
 
