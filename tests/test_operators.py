@@ -116,3 +116,19 @@ def test_columns_resolve_in_order(spark):
     assert resolve_column(df, ("text", "chunk_text", "content")) == "chunk_text"
     with pytest.raises(ValueError):
         resolve_column(df, ("text",))
+
+
+def test_alignment_weighs_terms_by_their_idf(spark, tmp_path):
+    from vettiver.plans import catalog
+
+    texts = ["alpha beta gamma"] * 9 + ["alpha beta gamma delta"]
+    chunk = "parent_id string, chunk_id string, text string"
+    spark.createDataFrame([("p", f"c{i}", t) for i, t in enumerate(texts)], chunk).write.parquet(f"{tmp_path}/hindi.parquet")
+    spark.createDataFrame([], chunk).write.parquet(f"{tmp_path}/tamil.parquet")
+    spark.createDataFrame([("r", "alpha beta gamma delta", "hi")], "request_id string, query string, language string").write.parquet(f"{tmp_path}/queryrequest.parquet")
+    shown = [("e", "r", "p", "c", "dense_full", 0.5, "delta here")]
+    spark.createDataFrame(shown, "evidence_id string, request_id string, parent_id string, chunk_id string, lane string, score double, text string").write.parquet(f"{tmp_path}/sourceevidence.parquet")
+    (row,) = catalog.alignment_features(spark, str(tmp_path)).collect()
+    rare = math.log(1 + 11 / 2)
+    assert row["anchor_coverage"] == pytest.approx(1 / 3, abs=1e-6)
+    assert row["coverage"] == pytest.approx(rare / (rare + 3), abs=1e-6)

@@ -6,7 +6,7 @@ chunk that is never found. Scores are rounded to nine decimals before they rank,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vettiver.functions.lexicon import B, K1, by_language
@@ -86,19 +86,29 @@ def collapse_parents(hits: DataFrame, keys: list[str], k: int = PARENT_K) -> Dat
     return once.withColumn("parent_rank", F.row_number().over(again)).where(F.col("parent_rank") <= k)
 
 
+def scored_terms(questions: DataFrame, chunks: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, language, query, items): the content terms with -idf and position, the rarest first."""
+    asked = questions.select(key, "language", "query", F.posexplode_outer(content_terms(F.col("query"), F.col("language"))).alias("pos", "term"))
+    scored = asked.join(idf_proxy(chunks, asked.where("term IS NOT NULL")), ["language", "term"], "left")
+    items = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct((-F.coalesce("idf", F.lit(0.0))).alias("neg"), "pos", "term"))))
+    return scored.groupBy(key, "language", "query").agg(items.alias("items"))
+
+
+def anchors_of(items: Column) -> Column:
+    """The three rarest terms of ``items`` in the question's order; without a known term the first three."""
+    known = F.slice(F.filter(items, lambda x: x["neg"] < 0), 1, ANCHORS)
+    in_order = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term")))), lambda x: x["term"])
+    return F.when(F.size(known) > 0, in_order(known)).otherwise(F.slice(in_order(items), 1, ANCHORS))
+
+
 def anchor_terms(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, language, query, anchors, top_idf): the three rarest content terms in the question's order.
 
     Without a known term they are the first three content terms.
     """
-    asked = questions.select("query_id", "language", "query", F.posexplode_outer(content_terms(F.col("query"), F.col("language"))).alias("pos", "term"))
-    scored = asked.join(idf_proxy(chunks, asked.where("term IS NOT NULL")), ["language", "term"], "left")
-    items = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct((-F.coalesce("idf", F.lit(0.0))).alias("neg"), "pos", "term"))))
-    rows = scored.groupBy("query_id", "language", "query").agg(items.alias("items"))
-    known = F.slice(F.filter("items", lambda x: x["neg"] < 0), 1, ANCHORS)
-    in_order = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term")))), lambda x: x["term"])
-    first = F.slice(in_order(F.col("items")), 1, ANCHORS)
-    return rows.select("query_id", "language", "query", F.when(F.size(known) > 0, in_order(known)).otherwise(first).alias("anchors"), F.round(-F.coalesce(F.get("items", F.lit(0))["neg"], F.lit(0.0)), 9).alias("top_idf"))
+    rows = scored_terms(questions, chunks)
+    top = F.round(-F.coalesce(F.get("items", F.lit(0))["neg"], F.lit(0.0)), 9)
+    return rows.select("query_id", "language", "query", anchors_of(F.col("items")).alias("anchors"), top.alias("top_idf"))
 
 
 def query_views(questions: DataFrame, chunks: DataFrame) -> DataFrame:

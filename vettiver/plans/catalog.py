@@ -242,16 +242,22 @@ def _features(spark: SparkSession, folder: str) -> DataFrame:
     first = Window.partitionBy("request_id", "parent_id").orderBy(F.col("pack_score").desc(), "evidence_id")
     best = _strongest(spark, folder).where("parent_id <> ''").withColumn("nth", F.row_number().over(first)).where("nth = 1")
     fused = fusion.fuse(fusion.lane_ranking(evidence(spark, folder))).select("request_id", "parent_id", "rrf", "lanes")
-    rows = fused.join(best, ["request_id", "parent_id"])
-    lang = F.coalesce("language", F.lit(""))
-    asked = T.content_terms(F.col("query"), lang)
+    # each different question once, with the corpus idf of its terms
+    asked = requests(spark, folder).select(F.coalesce("language", F.lit("")).alias("language"), "query").distinct()
+    scored = sparse.scored_terms(asked.withColumn("q", F.col("query")), read_corpus(spark, folder), "q").select("language", "query", "items")
+    rows = fused.join(best.withColumn("language", F.coalesce("language", F.lit(""))), ["request_id", "parent_id"]).join(scored, ["language", "query"])
+    rows = rows.withColumn("anchors", sparse.anchors_of(F.col("items")))
+    lang, items, anchors = F.col("language"), F.col("items"), F.col("anchors")
     shown = T.terms(F.col("unit"))
-    anchors = F.slice(asked, 1, 3)
     hit = lambda xs: F.size(F.filter(xs, lambda a: F.exists(shown, lambda b: T.match_engine(a, b, lang))))
     share = lambda xs: F.when(F.size(xs) == 0, F.lit(0.0)).otherwise(hit(xs) / F.size(xs))
+    # a term weighs its idf, at least 1 and at most 8
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(1.0), F.least(-x["neg"], F.lit(8.0))))
+    matched = F.filter(items, lambda x: F.exists(shown, lambda b: T.match_engine(x["term"], b, lang)))
+    coverage = F.when(F.size(items) == 0, F.lit(0.0)).otherwise(weight(matched) / weight(items))
     phrase = (F.size(anchors) > 0) & F.contains(T.collapsed(T.folded(F.col("unit"))), F.array_join(anchors, " "))
     return rows.select(
-        "request_id", "parent_id", "evidence_id", "unit", "rrf", F.col("pack_score").alias("evidence"), share(anchors).alias("anchor_coverage"), share(asked).alias("coverage"),
+        "request_id", "parent_id", "evidence_id", "unit", "rrf", F.col("pack_score").alias("evidence"), share(anchors).alias("anchor_coverage"), coverage.alias("coverage"),
         fusion.lanes_agree(F.col("lanes")).alias("agree"), phrase.alias("phrase"), F.size(anchors).alias("n_anchors"),
     )
 
