@@ -72,12 +72,65 @@ def test_all_pairs_with_a_third_in_one_cluster(spark, apart):
     assert all(len(got[i]) == 5 and all(s[i, j] >= fifth[i] - 1e-4 for j in got[i]) for i in range(len(x)))
 
 
-def test_a_large_place_is_split(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 100)
-    at_home = spark.range(1000).selectExpr("id AS row", "7L AS home", "array(7L, 8L) AS places")
-    held = V.blocks(at_home).collect()
-    size = {}
+def table_of(spark, x):
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"vector_row": np.arange(len(x)), "embedding": [r.tolist() for r in x]}))
+
+
+def recall(spark, x, k=10, **more):
+    got = {}
+    for r in V.nearest(table_of(spark, x), "vector_row", "embedding", k=k, **more).collect():
+        got.setdefault(r["row_a"], set()).add(r["row_b"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    kth = -np.sort(-s, axis=1)[:, k - 1]
+    assert all(len(got[i]) == k for i in range(len(x)))
+    return np.mean([s[i, j] >= kth[i] - 2e-5 for i in range(len(x)) for j in got[i]])
+
+
+@pytest.mark.parametrize("latent", [12, 24])
+def test_recall_without_clusters(spark, latent):
+    rng = np.random.default_rng(latent)
+    x = rng.normal(size=(4000, latent)) @ rng.normal(size=(latent, 256)) + 0.05 * rng.normal(size=(4000, 256))
+    assert recall(spark, x, need=0.95) >= 0.9
+
+
+def test_retrieval_alone_keeps_its_promise(spark):
+    """Every code within the guarantee is retrieved, though buckets and cells are split."""
+    rng = np.random.default_rng(5)
+    half, many = 4, 8
+    base = rng.integers(0, 2, size=(30, 2 * half * many))
+    codes = np.repeat(base, 10, axis=0)
+    for c in codes:
+        c[rng.choice(codes.shape[1], rng.integers(0, 8), replace=False)] ^= 1
+    packed = np.packbits(codes, axis=1)
+    rows = [(i, i % 7, bytearray(packed[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "row bigint, cell int, code binary")
+    apart = (codes[:, None] != codes[None]).sum(axis=2)
+    np.fill_diagonal(apart, 99)
+    want = {(i, j % 7) for i, j in zip(*np.nonzero(apart <= 2 * many - 1), strict=True)}
+    far = {(i, j % 7) for i, j in zip(*np.nonzero(apart <= 20), strict=True)}
+    old = V.BUCKET
+    try:
+        for V.BUCKET in (old, 5):
+            got = {(r["row"], c) for r in V.retrieve(df, half, 20, 2 * half * many).collect() for c in r["cells"]}
+            assert want <= got <= far
+    finally:
+        V.BUCKET = old
+
+
+def test_a_large_cell_is_split(spark):
+    units = spark.range(1000).selectExpr("id AS row", "7 AS cell", "X'00' AS unit")
+    asked = spark.range(990).selectExpr("id AS row", "array(7, 8) AS cells")
+    sizes = spark.createDataFrame([(7, 10), (8, 2)], "cell int, blocks int")
+    held = V.places(units, asked, sizes).collect()
+    size, asks = {}, {}
     for r in held:
-        size[r["place"], r["block"]] = size.get((r["place"], r["block"]), 0) + 1
-    assert max(size.values()) < 200
-    assert sorted(r["row"] for r in held if r["asks"]) == list(range(1000))
+        if r["role"] != V.ASKS:
+            size[r["block"]] = size.get(r["block"], 0) + 1
+        if r["role"] != V.HELD:
+            asks.setdefault(r["row"], []).append((r["place"], r["block"]))
+    assert max(size.values()) < 200 and sum(size.values()) == 1000
+    assert set(asks) == set(range(990)) and all(sorted(x) == [(7, b) for b in range(10)] + [(8, 0), (8, 1)] for x in asks.values())

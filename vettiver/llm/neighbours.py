@@ -1,18 +1,25 @@
 """The k most similar vectors of every vector, by multi-index hashing (problem 5).
 
 Codes: a rotation is learned on a bounded sample (principal directions, then the rotation that brings them closest to
-the corners of a cube), and the signs of the rotated vector are its binary code. The code is cut into substrings, and
-each substring is an index of its own. In each bucket of each index the codes within a Hamming radius are kept, and the
-smallest of their shuffled numbers names a meeting place; a vector asks in the first of its places, and is offered in
-all of them. There the floats are multiplied, and the k best of each asking vector are what it knows.
+the corners of a cube), and the signs of the rotated vector are its binary code. The code is cut into substrings of two
+halves each, and each half of each substring is an index of its own.
 
-What a vector knows is only a bound: no Hamming radius proves a cosine. Each vector therefore asks all others once more,
-in tiles, but for runs of vectors that the angles to a common pivot prove to be further than its k-th known one
-(``complete``); a vector that knows fewer than k others asks all. The result is that of comparing all pairs.
+Probing: two codes that differ in at most ``2 * substrings - 1`` bits agree but for one bit in some substring, and so
+wholly in one of its halves. In the bucket of a half every code therefore looks up the codes whose other half is the
+same or one flipped bit away, and keeps those within the Hamming radius. So every code within that guarantee is
+retrieved, and most of those up to the radius.
 
-Substrings grow with the logarithm of the number of vectors, so buckets do not. Equal vectors are one vector with
-its smallest k + 1 rows (ties go to the smaller row, so no further row can be in any result), and a place is split
-into blocks, whatever its size.
+Rerank: retrieved codes are grouped by cells (the nearest of pivots learned on the sample), and a vector's floats go to
+the cells in which a code was retrieved for it, nowhere else; there they are multiplied with those of the cell, and the
+k best of each vector are kept.
+
+The rest: the chance that a neighbour at a given similarity is retrieved follows from the number of bits. A vector that
+found fewer than k others, or whose k-th is at a similarity where that chance is below ``need``, is asked of all vectors
+in blocks.
+
+Halves grow with the logarithm of the number of vectors. Equal vectors are one vector with its smallest k + 1 rows (ties
+go to the smaller row, so no further row can be in any result). Buckets and cells above ``BUCKET`` and ``BLOCK`` are
+split into blocks that all their askers visit, so none is a task of its own and none is cut.
 
 A vector is usable when it has ``dimension`` finite numbers, not all zero.
 """
@@ -32,19 +39,17 @@ from vettiver.functions.shared import materialise
 
 DIMENSION = 256
 BITS = 256
-#: Vectors that the rotation is learned on, at most.
+#: Vectors that the rotation and the pivots are learned on, at most.
 SAMPLE = 8192
-RADIUS = 72
-#: Vectors of a block of a place, about.
-BLOCK = 4096
-#: Leaders of one bucket that are compared with its rows at a time.
-LEADERS = 16
-#: Pivots that vectors are ordered around, at most; vectors of one cell that are left out or asked together.
-PIVOTS, RUN = 2048, 64
-#: Vectors of a tile, pairs held while two tiles are compared, and partitions of tiles at least.
-TILE, HITS, PARTS = 8192, 2_000_000, 6
-#: Codes of a bucket whose leaders are found at a time.
-BUCKET = 65_536
+RADIUS = 80
+#: Bits of half a substring, as a share of the logarithm of the number of vectors.
+HALF = 0.42
+#: Cells at most, vectors of a block of a cell, codes of a block of a bucket, vectors of a block that is asked as a whole.
+PIVOTS, BLOCK, BUCKET, WHOLE = 2048, 4096, 65_536, 32_768
+#: Codes of a cell that a bucket's askers try first; pairs that are looked at at a time.
+FIRST, PAIRS = 8, 4_000_000
+#: Blocks at least in which leftover vectors ask all.
+PARTS = 8
 
 
 def usable(vectors: DataFrame, row: str, vector: str, dimension: int = DIMENSION) -> DataFrame:
@@ -123,352 +128,365 @@ def learn_pivots(x: np.ndarray, many: int, rounds: int = 6) -> np.ndarray:
     return pivots
 
 
+def half_of(total: int, bits: int) -> int:
+    """Bits of half a substring for ``total`` vectors."""
+    return max(1, min(bits // 2, 12, max(4, round(HALF * math.log2(max(2, total))))))
+
+
+def chance(p: np.ndarray, bits: int, half: int, radius: int) -> np.ndarray:
+    """How likely a code is retrieved of which each bit differs with the probability ``p``."""
+    same = (1 - p) ** half
+    meet = 1 - (1 - same * (same + half * p * (1 - p) ** (half - 1))) ** (2 * (bits // (2 * half)))
+    spread = np.sqrt(np.maximum(bits * p * (1 - p), 1e-9))
+    within = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in np.ravel((radius + 0.5 - bits * p) / spread)])
+    return meet * within.reshape(np.shape(p))
+
+
+def stretch_of(x: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int) -> float:
+    """The share of differing bits of near vectors over their angle as a share of half a turn, on the sample ``x``."""
+    if len(x) < 2:
+        return 1.0
+    signs = np.where((x - mean) @ turn > 0, np.float32(1), np.float32(-1))
+    some = np.arange(min(len(x), 512))
+    likeness = x[some] @ x.T
+    likeness[some, some] = -2
+    near = np.argsort(-likeness, axis=1)[:, : min(k, len(x) - 1)]
+    apart = 0.5 - np.einsum("ad,abd->ab", signs[some], signs[near]) / (2 * signs.shape[1])
+    angle = np.arccos(np.clip(np.take_along_axis(likeness, near, 1), -1, 1)) / np.pi
+    return float(apart.sum() / max(1e-9, angle.sum()))
+
+
+def sure_similarity(need: float, stretch: float, bits: int, half: int, radius: int) -> float:
+    """The similarity from which on a vector is retrieved with the chance ``need`` at least."""
+    at = np.linspace(1, -1, 4001)
+    good = chance(np.clip(stretch * np.arccos(at) / np.pi, 0, 0.5), bits, half, radius) >= need
+    return float(at[good.argmin() - 1]) if not good.all() and good[0] else (-1.0 if good.all() else 2.0)
+
+
 def _code(learned, dimension: int):
-    """Each usable vector's code, and a digest by which equal vectors are found."""
+    """Each usable vector's cell, code, and a digest by which equal vectors are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, turn = learned.value
+        mean, turn, pivots = learned.value
         for batch in batches:
             rows, unit = _units(batch, dimension)
             codes = np.packbits((unit - mean) @ turn > 0, axis=1)
+            cells = (unit @ pivots.T).argmax(axis=1).astype(np.int32)
             digests = [hashlib.blake2b(np.round(u, 6).tobytes(), digest_size=12).digest() for u in unit + np.float32(0)]
-            yield pa.RecordBatch.from_arrays([rows, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(digests, pa.binary())], ["row", "code", "digest"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(cells), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(digests, pa.binary())], ["row", "cell", "code", "digest"])
 
     return run
 
 
-def _index(bits: int, length: int):
-    """Each code's substrings: (spot: which index and which substring, row, code)."""
+def _halves(codes: np.ndarray, half: int) -> np.ndarray:
+    """The value of each half of each substring of packed codes; halves 2k and 2k + 1 are those of substring k."""
+    signs = np.unpackbits(codes, axis=1)
+    many = signs.shape[1] // (2 * half) * 2
+    weights = (1 << np.arange(half, dtype=np.int32))[::-1]
+    return signs[:, : many * half].reshape(len(signs), many, half).astype(np.int32) @ weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(length, dtype=np.int64))[::-1]
-        many = bits // length
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            signs = np.unpackbits(packed, axis=1)
-            for k in range(many):
-                part = signs[:, k * length : (k + 1) * length].astype(np.int64) @ weights
-                yield pa.RecordBatch.from_arrays([pa.array(part * many + k), batch.column(0), batch.column(1)], ["spot", "row", "code"])
 
-    return run
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def _shuffled(rows: np.ndarray) -> np.ndarray:
-    """Row numbers in an order of no meaning, the same everywhere."""
-    x = rows.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return (x ^ (x >> np.uint64(33))).astype(np.int64)
-
-
-def _leaders(rows: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """For each row of a bucket the name of its leader: rows lead in the order of their names, each those within
-    the radius that none before leads."""
-    names = _shuffled(rows)
-    order = np.argsort(names)
-    names, codes = names[order], codes[order]
-    led = np.empty(len(rows), dtype=np.int64)
-    left = np.arange(len(rows))
-    while len(left):
-        lead = left[:LEADERS]
-        apart = np.bitwise_count(codes[lead][:, None, :] ^ codes[left][None, :, :]).sum(axis=2, dtype=np.int32)
-        first = (apart <= radius).argmax(axis=0)
-        hit = apart[first, np.arange(len(left))] <= radius
-        led[left[hit]] = names[lead[first[hit]]]
-        left = left[~hit]
-    out = np.empty(len(rows), dtype=np.int64)
-    out[order] = led
-    return out
-
-
-def _meet(radius: int):
-    """In runs of one bucket, each row with its leader; rows alone in a bucket meet nobody there."""
-
-    def groups(spots: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(spots)) + 1, [len(spots)]])
-        who, where = [], []
-        for g in np.flatnonzero(np.diff(edge) > 1):
-            a, b = edge[g], edge[g + 1]
-            who.append(rows[a:b])
-            where.append(_leaders(rows[a:b], codes[a:b], radius))
-        if who:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(where))], ["row", "place"])
+def _tally(half: int):
+    """(spot, n): how many codes of each batch are in each bucket; a spot is an index and a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            codes = codes.view(np.uint64) if codes.shape[1] % 8 == 0 else codes
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), codes]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            edge = np.flatnonzero(np.diff(now[0])) + 1
-            last = edge[-1] if len(edge) else 0
-            if len(now[0]) - last >= BUCKET:
-                last = len(now[0])
-            if last:
-                yield from groups(*[x[:last] for x in now])
-            held = [x[last:] for x in now] if last < len(now[0]) else None
-        if held is not None:
-            yield from groups(*held)
+            if batch.num_rows:
+                values = _halves(_codes(batch.column(0)), half)
+                spots, n = np.unique(values + (np.arange(values.shape[1], dtype=np.int32) << half), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(spots.astype(np.int32)), pa.array(n)], ["spot", "n"])
 
     return run
 
 
-def _rerank(k: int, dimension: int):
-    """In runs of one place and block, the k best of each asking vector: (row_a, row_b, similarity)."""
+def _packed(data: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """The runs of ``data`` between ``edge`` as bytes."""
+    data = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * data.strides[0]).astype(np.int32)), pa.py_buffer(data)])
 
-    def best(asks: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found: list[tuple] = []
-        asking = np.flatnonzero(asks)
-        for lo in range(0, len(asking), 512):
-            mine = asking[lo : lo + 512]
-            likeness = vectors[mine] @ vectors.T
-            likeness[np.arange(len(mine)), mine] = -2
-            top = min(k + 6, len(rows) - 1)
-            if top <= 0:
-                continue
-            near = np.argpartition(-likeness, top - 1, axis=1)[:, :top]
-            exact = np.einsum("ad,abd->ab", vectors[mine].astype(np.float64), vectors[near].astype(np.float64))
-            ranked = np.lexsort((rows[near], -np.round(exact, 8)), axis=1)[:, :k]
-            near = np.take_along_axis(near, ranked, 1)
-            found.append((np.repeat(rows[mine], near.shape[1]), rows[near].ravel(), np.take_along_axis(exact, ranked, 1).ravel()))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+#: Rows of a pack: held by the bucket and asking in it, only asking, only held.
+BOTH, ASKS, HELD = 0, 2, 1
+
+
+def _index(half: int, split):
+    """Each batch's codes in the buckets of all halves: (spot, block, role, rows, cells, others, codes), packed by bucket.
 
-        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = np.concatenate([x.column(2).to_numpy() for x in parts])
-            asks = np.concatenate([x.column(3).to_numpy(zero_copy_only=False) for x in parts])
-            vectors = np.concatenate([_matrix(x.column(4), dimension) for x in parts])
-            rows, once = np.unique(rows, return_index=True)
-            a, b, s = best(asks[once], rows, vectors[once])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["row_a", "row_b", "similarity"])
+    ``split`` names the buckets of several blocks and their number: a code is held by one block and asks in all.
+    """
+    names = ["spot", "block", "role", "rows", "cells", "others", "codes"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = split.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
-            edge = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edge, edge[1:], strict=False):
-                key = tuple(keys[a])
-                if key != last and held:
-                    yield flush(held)
-                    held = []
-                last = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield flush(held)
+            rows, cells, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2))
+            values = _halves(codes, half)
+            salt = _shuffled(rows)
+            for h in range(values.shape[1]):
+                order = np.argsort(values[:, h], kind="stable")
+                value = values[order, h]
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [len(value)]])
+                spots = (value[edge[:-1]] + (h << half)).astype(np.int32)
+                hot = np.array([s in blocks for s in spots.tolist()]) if blocks else np.zeros(len(spots), bool)
+                other = values[:, h ^ 1].astype(np.int16)
+                sent = [(order[np.repeat(~hot, np.diff(edge))], np.concatenate([[0], np.cumsum(np.diff(edge)[~hot])]), spots[~hot], np.zeros((~hot).sum(), np.int32), np.full((~hot).sum(), BOTH, np.int32))]
+                for g in np.flatnonzero(hot):
+                    mine, many = order[edge[g] : edge[g + 1]], blocks[int(spots[g])]
+                    for b in range(many):
+                        own = (salt[mine] % many) == b
+                        for some, role in ((mine[own], BOTH), (mine[~own], ASKS)):
+                            if len(some):
+                                sent.append((some, np.array([0, len(some)]), spots[g : g + 1], np.array([b], np.int32), np.array([role], np.int32)))
+                for who, e, s, b, r in sent:
+                    if len(s):
+                        packs = [_packed(x[who], e) for x in (rows, cells, other, codes)]
+                        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(b), pa.array(r), *packs], names)
 
     return run
 
 
-def _angle(cosine: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosine, -1, 1))
+def _shuffled(rows: np.ndarray) -> np.ndarray:
+    """Row numbers in an order of no meaning, the same everywhere; not negative."""
+    x = rows.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return (x ^ (x >> np.uint64(33))).astype(np.int64) & np.int64(0x7FFFFFFFFFFFFFFF)
+
+
+def _probe(radius: int, half: int, bits: int):
+    """In each block of each bucket, the cells in which codes are retrieved for each asking row: (row, cell)."""
+    near = np.bitwise_count(np.arange(1 << half, dtype=np.uint16)) <= 1
+    width = bits // 8
+
+    def unpack(packs: list[tuple]) -> tuple[np.ndarray, ...]:
+        kinds = (np.int64, np.int32, np.int16)
+        rows, cells, others = (np.frombuffer(b"".join(p[i] for p in packs), dtype=t) for i, t in enumerate(kinds))
+        codes = np.frombuffer(b"".join(p[3] for p in packs), dtype=np.uint8).reshape(len(rows), width)
+        return rows, cells, others, codes.view(np.uint64) if width % 8 == 0 else codes
+
+    def ask(asking: tuple, held: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(held[1], kind="stable")
+        names, cells, others, codes = (x[order] for x in held)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1])
+        run = np.repeat(np.arange(len(edge)), np.diff(np.concatenate([edge, [len(cells)]])))
+        first = np.flatnonzero(np.arange(len(cells)) - edge[run] < FIRST)
+        step = max(1, PAIRS // len(names))
+        for lo in range(0, len(asking[0]), step):
+            rows, _, mine, own = (x[lo : lo + step] for x in asking)
+            close = near[mine[:, None] ^ others[None, :]]
+            hit = np.zeros((len(rows), len(edge)), dtype=bool)
+
+            def retrieve(i: np.ndarray, j: np.ndarray) -> None:
+                for at in range(0, len(i), PAIRS // 4):
+                    a, b = i[at : at + PAIRS // 4], j[at : at + PAIRS // 4]
+                    good = np.bitwise_count(own[a] ^ codes[b]).sum(axis=1, dtype=np.int32) <= radius
+                    good &= rows[a] != names[b]
+                    hit[a[good], run[b[good]]] = True
+
+            i, j = np.nonzero(close[:, first])
+            retrieve(i, first[j])
+            # of the cells that are not settled by their first codes, all others
+            close[:, first] = False
+            close &= ~hit[:, run]
+            retrieve(*np.nonzero(close))
+            a, b = np.nonzero(hit)
+            yield rows[a], cells[edge[b]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: list[tuple] = []
+        many = 0
+        held: list[tuple] = []
+        built = None
+        last = None
 
-def _place(pivots, dimension: int):
-    """Each vector with its nearest pivot and its angle to it."""
+        def settle() -> None:
+            nonlocal many
+            for got in ask(built, built):
+                met.append(got)
+                many += len(got[0])
+
+        def flush() -> pa.RecordBatch:
+            both = np.unique(np.concatenate([m[0] for m in met]) * PIVOTS + np.concatenate([m[1] for m in met]))
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both // PIVOTS), pa.array((both % PIVOTS).astype(np.int32))], ["row", "cell"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle = pivots.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            likeness = _matrix(batch.column(1), dimension) @ middle.T
-            own = likeness.argmax(axis=1)
-            angle = _angle(likeness[np.arange(len(own)), own]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(angle), *batch.columns], ["cell", "angle", "row", "unit", "bound"])
+            for spot, block, role, *pack in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (spot, block) != last:
+                    if held and built is None:
+                        built = unpack(held)
+                        settle()
+                    held, built, last = [], None, (spot, block)
+                if role == BOTH:
+                    held.append(tuple(pack))
+                elif held:
+                    if built is None:
+                        built = unpack(held)
+                        settle()
+                    for got in ask(unpack([tuple(pack)]), built):
+                        met.append(got)
+                        many += len(got[0])
+                if many >= 500_000:
+                    yield flush()
+                    many = 0
+        if held and built is None:
+            built = unpack(held)
+            settle()
+        if met:
+            yield flush()
 
     return run
 
 
-def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of their cells and angles as tiles of at most ``TILE``: one row each, columns as bytes."""
-
-    def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts)
-        cell, angle, row, bound = (np.ascontiguousarray(whole[c].to_numpy()).tobytes() for c in ("cell", "angle", "row", "bound"))
-        unit = b"".join(whole["unit"].to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (cell, angle, row, unit, bound)], ["cell", "angle", "row", "unit", "bound"])
-
-    held: list[pa.RecordBatch] = []
-    many = 0
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, TILE - many)
-            held.append(part)
-            at, many = at + part.num_rows, many + part.num_rows
-            if many == TILE:
-                yield tile(held)
-                held, many = [], 0
-    if held:
-        yield tile(held)
-
-
-def _ask_tiles(pivots, k: int, dimension: int):
-    """Of each pair of tiles, the vectors of the second that may be among the ``k`` best of one of the first.
-
-    An asker brings the similarity of the k-th vector that it knows. A vector x at the angle a to its pivot is at least
-    |a - b| from an asker at the angle b to the same pivot, so runs of x for which that is over the asker's k-th angle
-    are left out; no other vector is.
-    """
+def _rerank(k: int, dimension: int):
+    """In runs of one place and block, the k best of each asking vector: (row_a, row_b, similarity).
 
-    def read(columns: list[bytes]) -> tuple[np.ndarray, ...]:
-        cell, angle, row, unit, bound = (np.frombuffer(c, dtype=t) for c, t in zip(columns, (np.int32, np.float32, np.int64, np.int16, np.float64), strict=True))
-        x = unit.reshape(-1, dimension).astype(np.float32)
-        return cell, angle, row, x / np.sqrt(np.einsum("ad,ad->a", x, x, dtype=np.float64))[:, None].astype(np.float32), bound
-
-    def best(a: np.ndarray, b: np.ndarray, likeness: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((b, -np.round(likeness, 8), a))
-        a, b, likeness = a[order], b[order], likeness[order]
-        start = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0]))
-        nth = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-        return a[nth < k], b[nth < k], likeness[nth < k]
-
-    def pair(middle: np.ndarray, asking: tuple, offered: tuple) -> tuple[np.ndarray, ...] | None:
-        _, _, rows, x, bound = asking
-        cell, angle, names, y, _ = offered
-        found: list[tuple] = []
-        many = 0
+    Vectors that are held come first (they may ask, too); those that only ask follow and are read as a stream.
+    """
 
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            nonlocal found, many
-            other = rows[i] != names[j]
-            i, j = i[other], j[other]
-            if not len(i):
-                return
-            exact = np.concatenate([np.einsum("ad,ad->a", x[i[t : t + 8192]], y[j[t : t + 8192]], dtype=np.float64) for t in range(0, len(i), 8192)])
-            found.append((rows[i], names[j], exact))
-            many += len(i)
-            if many > HITS:
-                found = [best(*[np.concatenate(f) for f in zip(*found, strict=True)])]
-                many = len(found[0][0])
-
-        # askers that know fewer than k others ask all
-        loose = np.flatnonzero(bound <= -1)
-        for lo in range(0, len(loose), 512):
-            mine = loose[lo : lo + 512]
-            likeness = x[mine] @ y.T
-            top = min(k + 6, len(names))
-            near = np.argpartition(-likeness, top - 1, axis=1)[:, :top]
-            take(np.repeat(mine, top), near.ravel())
-        sure = np.flatnonzero(bound > -1)
-        if len(sure):
-            xs, least = x[sure], (bound[sure] - 1e-5).astype(np.float32)
-            reach = _angle(least) + 2e-3
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-            away = _angle(xs @ middle[cell[edge[:-1]]].T)
-            for c, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False)):
-                for at in range(lo, hi, RUN):
-                    end = min(hi, at + RUN)
-                    mine = np.flatnonzero((away[:, c] - angle[end - 1] <= reach) & (angle[at] - away[:, c] <= reach))
-                    if len(mine):
-                        i, j = np.nonzero(xs[mine] @ y[at:end].T >= least[mine][:, None])
-                        take(sure[mine[i]], j + at)
-        return best(*[np.concatenate(f) for f in zip(*found, strict=True)]) if found else None
+    def best(asking: np.ndarray, x: np.ndarray, names: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        top = min(k + 7, len(names))
+        for lo in range(0, len(asking), 512):
+            mine, q = asking[lo : lo + 512], x[lo : lo + 512]
+            likeness = q @ y.T
+            near = np.argpartition(-likeness, top - 1, axis=1)[:, :top] if top < len(names) else np.broadcast_to(np.arange(top), likeness.shape)
+            exact = np.einsum("ad,abd->ab", q.astype(np.float64), y[near].astype(np.float64))
+            exact[names[near] == mine[:, None]] = -9
+            ranked = np.lexsort((names[near], -np.round(exact, 8)), axis=1)[:, :k]
+            near, exact = np.take_along_axis(near, ranked, 1), np.take_along_axis(exact, ranked, 1)
+            keep = exact.ravel() > -8
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, near.shape[1])[keep]), pa.array(names[near].ravel()[keep]), pa.array(exact.ravel()[keep])], ["row_a", "row_b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle = pivots.value
+        held: list[pa.RecordBatch] = []
+        built: tuple | None = None
+        last = None
+
+        def build() -> tuple:
+            rows = np.concatenate([x.column(3).to_numpy() for x in held])
+            role = np.concatenate([x.column(2).to_numpy() for x in held])
+            y = np.concatenate([_matrix(x.column(4), dimension) for x in held])
+            return rows, y, role == BOTH
+
+        def own(made: tuple) -> Iterator[pa.RecordBatch]:
+            rows, y, asks = made
+            yield from best(rows[asks], y[asks], rows, y)
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                columns = [c[r].as_buffer() for c in batch.columns]
-                got = pair(middle, read(columns[:5]), read(columns[5:]))
-                if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["row_a", "row_b", "similarity"])
+            if not batch.num_rows:
+                continue
+            late = (batch.column(2).to_numpy() == ASKS).astype(np.int64)
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), late], axis=1)
+            edge = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edge, edge[1:], strict=False):
+                key, part = tuple(keys[a][:2]), batch.slice(a, b - a)
+                if key != last:
+                    if held and built is None:
+                        yield from own(build())
+                    held, built, last = [], None, key
+                if not keys[a][2]:
+                    held.append(part)
+                elif held:
+                    if built is None:
+                        built = build()
+                        yield from own(built)
+                    yield from best(part.column(3).to_numpy(), _matrix(part.column(4), dimension), built[0], built[1])
+        if held and built is None:
+            yield from own(build())
 
     return run
 
 
-def complete(units: DataFrame, known: DataFrame, pivots, k: int, dimension: int) -> DataFrame:
-    """The k best of every row of ``units`` (row, unit) among all its rows: exact, whatever is ``known``.
-
-    ``known`` (row_a, row_b, similarity) has true pairs; the k-th of a row bounds where it still has to ask. Tiles meet
-    as a product of checkpointed rows, without a shuffle.
-    """
-    bounds = known.groupBy("row_a").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth")).where(F.col("n") >= k)
-    rows = units.join(bounds.select(F.col("row_a").alias("row"), "kth"), "row", "left").select("row", "unit", F.coalesce("kth", F.lit(-1.0)).alias("bound"))
-    placed = rows.mapInArrow(_place(pivots, dimension), "cell int, angle float, row bigint, unit binary, bound double")
-    columns = ("cell", "angle", "row", "unit", "bound")
-    tiles = placed.repartition("cell").sortWithinPartitions("cell", "angle").mapInArrow(_tile, ", ".join(f"{c} binary" for c in columns))
-    tiles = materialise(tiles)
-    parts = max(PARTS, tiles.count() // 8)
-    a, b = (tiles.coalesce(parts).select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-    asked = a.crossJoin(b).mapInArrow(_ask_tiles(pivots, k, dimension), "row_a bigint, row_b bigint, similarity double")
+def _best(sent: DataFrame, k: int, dimension: int) -> DataFrame:
+    """The k best of each asking row over all its places; ``sent`` has (place, block, role, row, unit)."""
+    grouped = sent.select("place", "block", "role", "row", "unit").repartition("place", "block").sortWithinPartitions("place", "block", "role")
+    found = grouped.mapInArrow(_rerank(k, dimension), "row_a bigint, row_b bigint, similarity double")
     order = Window.partitionBy("row_a").orderBy(F.round("similarity", 8).desc(), "row_b")
-    return asked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def homes(met: DataFrame) -> DataFrame:
-    """(row, home, places): where each row asks, and all places where it is offered.
+def retrieve(codes: DataFrame, half: int, radius: int, bits: int) -> DataFrame:
+    """(row, cells): the cells in which multi-index hashing retrieves codes for each row of ``codes`` (row, cell, code)."""
+    counted = codes.select("code").mapInArrow(_tally(half), "spot int, n bigint").groupBy("spot").agg(F.sum("n").alias("n"))
+    # at most one row for each value of each half: fewer than bits * 2 ** half / half
+    hot = {r["spot"]: -(-r["n"] // BUCKET) for r in counted.where(F.col("n") > BUCKET).collect()}
+    split = codes.sparkSession.sparkContext.broadcast(hot)
+    packs = codes.select("row", "cell", "code").mapInArrow(_index(half, split), "spot int, block int, role int, rows binary, cells binary, others binary, codes binary")
+    met = packs.repartition("spot", "block").sortWithinPartitions("spot", "block", "role").mapInArrow(_probe(radius, half, bits), "row bigint, cell int")
+    return met.groupBy("row").agg(F.collect_set("cell").alias("cells"))
 
-    Rows share a place if one led them in a bucket. A row's first home is the smallest of its places; a place goes
-    over to the smallest first home of its rows.
-    """
-    pairs = materialise(met.distinct())
-    first = pairs.groupBy("row").agg(F.min("place").alias("first"))
-    moved = pairs.join(first, "row").groupBy("place").agg(F.min("first").alias("to"))
-    named = pairs.join(moved, "place").select("row", F.col("to").alias("place"))
-    return named.groupBy("row").agg(F.min("place").alias("home"), F.collect_set("place").alias("places"))
 
+def places(units: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(place, block, role, row, unit): every row of ``units`` (row, cell, unit) in one block of its cell, and wherever it asks.
 
-def nearest(vectors: DataFrame, row: str, vector: str, among: DataFrame | None = None, k: int = 10, *, dimension: int = DIMENSION, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
+    ``asked`` has (row, cells), ``sizes`` (cell, blocks) with at most ``PIVOTS`` rows. A row asks in all blocks of a cell.
+    """
+    rows = units.join(asked, "row", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<int>")))
+    each = rows.withColumn("place", F.explode(F.array_union(F.array("cell"), "cells"))).join(F.broadcast(sizes.select(F.col("cell").alias("place"), "blocks")), "place")
+    own = F.when(F.col("place") == F.col("cell"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).otherwise(F.lit(-1))
+    each = each.withColumn("own", own).withColumn("asks", F.array_contains("cells", F.col("place")))
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("asks") | (F.col("block") == F.col("own")))
+    role = F.when(F.col("block") != F.col("own"), ASKS).when(F.col("asks"), BOTH).otherwise(HELD)
+    return each.select("place", "block", role.alias("role"), "row", "unit")
+
+
+def _ask_all(units: DataFrame, askers: DataFrame, total: int) -> DataFrame:
+    """The rows of ``askers`` (row) sent to all blocks that the rows of ``units`` (row, unit) are held in."""
+    blocks = max(PARTS, -(-total // WHOLE))
+    held = units.select(F.lit(-1).alias("place"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(HELD).alias("role"), "row", "unit")
+    asks = units.join(askers, "row", "left_semi").select(F.lit(-1).alias("place"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(ASKS).alias("role"), "row", "unit")
+    return held.unionByName(asks)
+
+
+def nearest(
+    vectors: DataFrame, row: str, vector: str, among: DataFrame | None = None, k: int = 10, *, dimension: int = DIMENSION, bits: int = BITS, radius: int = RADIUS, need: float = 0.999
+) -> DataFrame:
     """(row_a, row_b, similarity): the ``k`` rows most similar by cosine to each usable row.
 
     ``among``, if given, has the one column row and says which rows take part. Ties go to the smaller row; a row is no
     neighbour of itself, but equal vectors of other rows are. Rows delivered twice count once. With fewer than two
-    usable rows the result is empty.
+    usable rows the result is empty. ``need`` is the chance of being retrieved that a row's k-th neighbour must have;
+    rows without it ask all.
     """
     spark = vectors.sparkSession
     raw = usable(vectors, row, vector, dimension)
     total = max(2, raw.count())
     sample = sampled(raw, total, dimension)
-    learned = spark.sparkContext.broadcast(learn_rotation(sample, bits))  # dimension x bits floats
-    pivots = spark.sparkContext.broadcast(learn_pivots(sample, min(PIVOTS, 2 * math.isqrt(total))))  # PIVOTS x dimension floats at most
-    codes = raw.mapInArrow(_code(learned, dimension), "row bigint, code binary, digest binary")
+    mean, turn = learn_rotation(sample, bits)
+    half = half_of(total, bits)
+    sure = sure_similarity(need, stretch_of(sample, mean, turn, k), bits, half, radius)
+    # dimension x bits and at most PIVOTS x dimension floats
+    learned = spark.sparkContext.broadcast((mean, turn, learn_pivots(sample, min(PIVOTS, -(-total // BLOCK)))))
+    codes = raw.mapInArrow(_code(learned, dimension), "row bigint, cell int, code binary, digest binary")
     if among is not None:
         codes = codes.join(among.select("row").distinct(), "row", "left_semi")
-    codes = materialise(codes.groupBy("row").agg(F.min(F.struct("digest", "code")).alias("x")).select("row", "x.code", "x.digest"))
+    codes = materialise(codes.groupBy("row").agg(F.min(F.struct("digest", "cell", "code")).alias("x")).select("row", "x.cell", "x.code", "x.digest"))
     # equal vectors are one; the rows of a class that ties let into any result are its k + 1 smallest
     several = materialise(codes.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     twins = codes.join(several, "digest").select("rep", "row")
-    lone = codes.join(several, "digest", "left").where("rep IS NULL OR rep = row").select("row", "code")
-    length = min(32, max(8, math.ceil(math.log2(total)) - 1))
-    index = lone.select("row", "code").mapInArrow(_index(bits, length), "spot bigint, row bigint, code binary")
-    met = index.repartition("spot").sortWithinPartitions("spot").mapInArrow(_meet(radius), "row bigint, place bigint")
+    copied = bool(several.take(1))
+    lone = materialise(codes.join(several, "digest", "left").where("rep IS NULL OR rep = row").select("row", "cell", "code")) if copied else codes.select("row", "cell", "code")
+    asked = retrieve(lone, half, radius, bits)
+    sizes = lone.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     floats = raw.mapInArrow(_short(dimension), "row bigint, unit binary")
-    known = _best_in_places(floats, homes(met), k, dimension)
-    once = floats.join(lone.select("row"), "row", "left_semi").groupBy("row").agg(F.min("unit").alias("unit"))
-    found = complete(once, known, pivots, k, dimension)
-    if not several.take(1):
+    units = floats.join(lone.select("row", "cell"), "row").groupBy("row").agg(F.min(F.struct("unit", "cell")).alias("x")).select("row", "x.cell", "x.unit")
+    found = materialise(_best(places(units, asked, sizes), k, dimension))
+    known = found.groupBy(F.col("row_a").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth")).where((F.col("n") >= k) & (F.col("kth") >= sure))
+    left = materialise(lone.select("row").join(known, "row", "left_anti"))
+    if left.take(1):
+        rest = _best(_ask_all(units, left, total), k, dimension)
+        found = found.join(left.select(F.col("row").alias("row_a")), "row_a", "left_anti").unionByName(rest)
+    if not copied:
         return found
     return _with_copies(found, codes, several, twins, k)
 
 
-def blocks(at_home: DataFrame) -> DataFrame:
-    """(place, block, row, asks): every place in blocks of about ``BLOCK`` rows; a row is in one of its place's blocks."""
-    offered = at_home.select("row", "home", F.explode("places").alias("place"))
-    many = offered.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    return offered.join(many, "place").select("place", block.alias("block"), "row", (F.col("home") == F.col("place")).alias("asks"))
-
-
-def _best_in_places(units: DataFrame, at_home: DataFrame, k: int, dimension: int) -> DataFrame:
-    """The k best of every row among those of its block at home: true pairs, but not yet the result."""
-    floats = blocks(materialise(at_home)).join(units, "row").select("place", "block", "row", "asks", "unit")
-    sent = floats.repartition("place", "block").sortWithinPartitions("place", "block")
-    return sent.mapInArrow(_rerank(k, dimension), "row_a bigint, row_b bigint, similarity double")
-
-
 def _with_copies(found: DataFrame, codes: DataFrame, several: DataFrame, twins: DataFrame, k: int) -> DataFrame:
     """The result for all rows from that for the first rows of equal vectors."""
     found = materialise(found)

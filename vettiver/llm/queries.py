@@ -80,9 +80,13 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).select("src", F.col("key").alias("chunk_id"), F.col("class_key").alias("class_id"), "links")
 
 
+#: The chance of being retrieved that the tenth neighbour must have; rows without it ask all vectors.
+NEED = 0.95
+
+
 def _nearest(spark: SparkSession, folder: str) -> DataFrame:
     named = table(spark, folder, "metadata").select(F.col("vector_row").alias("row"))
-    return neighbours.nearest(table(spark, folder, "vectors"), "vector_row", "embedding", named)
+    return neighbours.nearest(table(spark, folder, "vectors"), "vector_row", "embedding", named, need=NEED)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
