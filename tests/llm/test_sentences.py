@@ -24,6 +24,10 @@ def cut(text):
         ["“Go. Run!” said Tom twice.", "the end came."],
         ["Things to buy:", "1. milk", "(2) eggs", "B) bread", "- salt", "Then go home."],
         ["He waited ... and waited … long.", "Then left."],
+        ["He said no.", "Then he left."],
+        ["It was vitamin C.", "He slept."],
+        ["Prices rose in the U.S.", "Then they fell."],
+        ["See no. 5 of Fig. 2 by A. Rao.", "It is old."],
     ],
 )
 def test_cases(parts):
@@ -49,6 +53,45 @@ def test_spans_cover_all_but_blanks(text):
     assert all(not text[a].isspace() and not text[b - 1].isspace() for a, b in spans)
 
 
+def test_quotations_stay_whole_whatever_their_length():
+    for many in (199, 205, 500, 5000):
+        assert len(S.sentence_spans("“" + "A short one. " * many + "It ends.” he said. He left.")) == 2
+
+
+def all_spans(cuts, closings, openings, depth, least):
+    """Every start of every span tried: what the search must find."""
+    best, came = [0.0], [0]
+    for j in range(1, len(cuts)):
+        top = None
+        for i in range(j):
+            m = min([depth[i], *least[i + 1 : j + 1]])
+            total = best[i] + openings[i] + closings[j] + S.UNBALANCED * (depth[i] + depth[j] - 2 * m) + S.WITHIN * (m > 0) + S.TOO_SHORT * (cuts[j] - cuts[i] < S.SHORT)
+            top = total if top is None else max(top, total)
+        best.append(top)
+    return best[-1]
+
+
+def total_of(ends, cuts, closings, openings, depth, least):
+    total, i = 0.0, 0
+    for j in ends:
+        m = min([depth[i], *least[i + 1 : j + 1]])
+        total += openings[i] + closings[j] + S.UNBALANCED * (depth[i] + depth[j] - 2 * m) + S.WITHIN * (m > 0) + S.TOO_SHORT * (cuts[j] - cuts[i] < S.SHORT)
+        i = j
+    return total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="A. e!“”()", min_size=1, max_size=60))
+def test_the_search_is_exact(text):
+    parts = S._possible(text, 0, len(text))
+    assert total_of(S._best_spans(*parts), *parts) == pytest.approx(all_spans(*parts))
+
+
+def test_spans_are_judged_as_a_whole():
+    assert cut("Oh! A. The cat sat.") == ["Oh!", "A. The cat sat."]
+    assert cut("It was vitamin A. The cat sat.") == ["It was vitamin A.", "The cat sat."]
+
+
 def test_long_text_is_linear():
     assert len(S.sentence_spans("A short one. " * 20_000)) == 20_000
     assert len(S.sentence_spans("“" + "A short one. " * 300)) >= 1

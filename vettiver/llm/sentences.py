@@ -1,13 +1,21 @@
 """Sentence spans in any language and script (problem 3).
 
-Empty lines and list lines fix boundaries first. Between them, every end mark that does not belong to an abbreviation,
-an initial, a number or a version is a possible boundary, and semi-Markov dynamic programming picks the whole spans
-with the best total score: a span's score joins its length, its opening words, its closing mark and the balance of its
-quotations and brackets. A boundary inside a quotation costs more than it gains, as does one after which a phrase of
-saying goes on; so a quotation stays whole inside its larger sentence, and ends one when it is the sentence.
-
-Positions count code points of the stored text. Null, empty and blank texts have no sentence. Work on a text grows
-linearly with its length: a span reaches back over at most ``REACH`` possible boundaries.
+Empty lines and list lines fix boundaries first. Between them, every end mark is a possible boundary, and semi-Markov
+dynamic programming picks the whole spans with the best total score. A span's score joins
+
+- its closing: the end mark and the last word, which may be a shortened word, an initial, or one that only shortens
+  before a number;
+- its opening: the first word, which may be one that opens sentences, one of saying that carries a quotation on, or a
+  mark that nothing opens with;
+- its length: spans of a letter or two are no sentences;
+- the balance of its quotations and brackets, inside the span: what it opens and does not close, what it closes and has
+  not opened, and whether all of it lies within a quotation.
+
+The search is exact and linear: what depends on both ends of a span is its length, which is 0 but for the nearest starts,
+and its least depth of quotation, by which the best starts are kept on a stack.
+
+Positions count code points of the stored text. Null, empty and blank texts have no sentence. A text is one row of work,
+whatever its length.
 """
 
 from __future__ import annotations
@@ -20,7 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REACH = 200
+# What the parts of a span's score weigh.
+CLEAR_END, FULL_STOP, LETTER_END, SHORTENED = 2.0, 1.5, -2.0, -6.0
+OPENER, CAPITAL, RUN_ON, CARRIED_ON = 2.5, 0.5, -4.0, -9.0
+UNBALANCED, WITHIN = -6.0, -4.0
+SHORT, TOO_SHORT = 4, -1.5
 
 # Shortened words after which a full stop ends nothing (initials of one letter are found by rule).
 ABBREVIATIONS = {
@@ -36,12 +48,24 @@ SAYING = {
     "zh": "他 她 我们 我",
     "ja": "と って という",
 }
-# Words in lower case that open a sentence even where the blank before them is missing.
-OPENERS = "the nobody people without in at on last by meanwhile according after that"
+# Shortened words that are whole words, too: a full stop after them ends nothing only before a number.
+BEFORE_NUMBERS = "no fig எண் सं पृ"
+# Pronouns, articles, prepositions, conjunctions and adverbs that open sentences.
+OPENERS = {
+    "en": "a an the this that these those i you he she it we they one some many most few all each every both none nobody everybody someone everyone nothing "
+    "in on at by for from with without within under over after before during since until about among between through according despite to "
+    "and but or so yet if when while as although though because once however therefore moreover meanwhile then there here now today later "
+    "also again still only even first next last finally another other such what who whom whose which where why how my your his her its our their not",
+    "ta": "அவர் அவள் அவன் அது இது அவை இவை இவர் நான் நாம் நாங்கள் நீங்கள் அவர்கள் இவர்கள் இந்த அந்த ஆனால் எனினும் மேலும் பின்னர் பிறகு எனவே ஆகவே அதனால் இதனால் அங்கு இங்கு",
+    "hi": "वह वे यह ये हम मैं आप तुम इस उस इन उन इसके उसके इसकी उसकी लेकिन परंतु किंतु फिर तब इसलिए वहाँ वहां यहाँ यहां जब अब",
+}
 
 ABBREVIATED = frozenset(" ".join(ABBREVIATIONS.values()).split())
-CARRIES_ON = re.compile("(?:" + "|".join(SAYING["zh"].split() + SAYING["ja"].split()) + r")|(?:" + "|".join(w for k in ("ta", "hi", "en") for w in SAYING[k].split()) + r")(?![^\W\d_]|[ऀ-ःऺ-ॏஂா-ௗ])")
-OPENS = re.compile(f"(?:{'|'.join(OPENERS.split())})\\b")
+SAID = "(?:he|she|they|we|I|you) (?:said|asked|wrote|replied|says|adds|added|noted|answered|cried)"
+CARRIES_ON = re.compile("(?:" + "|".join(SAYING["zh"].split() + SAYING["ja"].split()) + rf")|(?:{SAID}|" + "|".join(w for k in ("ta", "hi", "en") for w in SAYING[k].split()) + r")(?![^\W\d_]|[ऀ-ःऺ-ॏஂா-ௗ])")
+OPENS = frozenset(" ".join(OPENERS.values()).split())
+NUMBERED = frozenset(BEFORE_NUMBERS.split())
+FIRST_WORD = re.compile("[^\\s.,;:!?।॥|。，、…\"“”‘’()\\[\\]「」『』\\d]+")
 INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]")
 HIDDEN = "[\\u00ad\\u034f\\u200b-\\u200f\\u2060-\\u2064\\ufeff]*"
 # Fixed value: the letters of list marks, with their full-width and look-alike forms.
@@ -60,26 +84,39 @@ OPENING = dict(zip("“‘「『«(（", "”’」』»)）", strict=True))
 LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}͏.]*$")
 
 
-def _ends_nothing(text: str, at: int, after: int) -> bool:
-    """Whether the single full stop at ``at`` belongs to an abbreviation, an initial, a number or a version."""
+def _closing(text: str, at: int, after: int) -> float | None:
+    """What a span gains by closing with the single full stop at ``at``; None if that is no end mark at all."""
     nxt = text[after] if after < len(text) else " "
     before = text[at - 1] if at else " "
     if before.isdigit() and nxt.isdigit():
-        return True
+        return None
     word = INVISIBLE.sub("", LAST_WORD.search(text, max(0, at - 24), at)[0]).lstrip(".")
     if not word:
-        return False
+        return FULL_STOP
     bare = word.casefold()
     if bare in ABBREVIATED:
-        return True
+        return SHORTENED if bare not in NUMBERED or text[after : after + 4].lstrip()[:1].isdigit() else FULL_STOP
+    if nxt.isalnum() and bare + "." + nxt in ABBREVIATED_HEADS:
+        return SHORTENED
     letters = regex.findall(r"\X", word.rpartition(".")[2])
     if len(letters) == 1 and letters[0][0].isalpha():
-        return True
-    if nxt.isalpha() and nxt.islower() and nxt.isascii():
-        return not OPENS.match(text, after)
-    if nxt.isalnum() and bare + "." + nxt in ABBREVIATED_HEADS:
-        return True
-    return False
+        return LETTER_END
+    return FULL_STOP
+
+
+def _opening(text: str, after: int, rest: int, hi: int, closed: bool, stop: bool) -> float:
+    """What a span gains by opening at ``rest``, where the end mark before it, a full stop or not, ends at ``after``."""
+    if rest >= hi:
+        return 0.0
+    first = text[rest]
+    if first in MARKS or closed and (first in ",;:、，—" or CARRIES_ON.match(text, rest, hi)):
+        return CARRIED_ON
+    word = FIRST_WORD.match(text, rest, hi)
+    known = word is not None and word[0].casefold() in OPENS
+    gain = OPENER if known else CAPITAL if first.isupper() else 0.0
+    if rest == after and stop and not closed and first.isascii() and first.islower():
+        gain += 0.0 if known else RUN_ON
+    return gain
 
 
 ABBREVIATED_HEADS = frozenset(w[: i + 2] for w in ABBREVIATED for i in range(len(w) - 1) if w[i + 1 - 1] == ".") | frozenset(
@@ -120,13 +157,14 @@ def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return [(lo, unopened and 1)] + [(p, d) for p, d in events]
 
 
-def _spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """The sentences of ``text[lo:hi]``, in which no line is a list line and none is empty."""
-    cuts = [lo]
-    gains = [0.0]
+def _possible(text: str, lo: int, hi: int) -> tuple[list[int], list[float], list[float], list[int], list[int]]:
+    """The possible boundaries of ``text[lo:hi]``: (cuts, closings, openings, depths, least depths since the cut before)."""
+    cuts, closings, openings, depth, least = [lo], [0.0], [0.0], [0], [0]
     quoted = QUOTE.search(text, lo, hi) is not None
     depths = _depths(text, lo, hi) if quoted else []
     level = 0
+    if quoted:
+        depth[0] = least[0] = depths[0][1]
     for m in END.finditer(text, lo, hi):
         at, after = m.start(), m.end()
         if after >= hi:
@@ -136,50 +174,90 @@ def _spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         if "…" in stops or "..." in stops:
             continue
         closed = len(marks) > len(stops)
-        if stops in (".", "．") and not closed and _ends_nothing(text, at, after):
-            continue
-        if stops == "." and closed and _ends_nothing(text, at, at + 1):
-            continue
+        closing = CLEAR_END
+        if stops in (".", "．"):
+            closing = _closing(text, at, after if not closed else at + 1)
+            if closing is None:
+                continue
         if stops == "|" and not ("ऀ" <= text[max(lo, at - 2) : at].strip()[-1:] <= "ॿ"):
             continue
-        gain = 1.0
+        low = depth[-1]
         if quoted:
             if closed and marks[-1] == '"' and not any(p == after and d == 0 for p, d in depths) and text[after : after + 1].strip():
                 # the straight mark opens the next sentence, the blank before it is missing
                 after -= 1
             while level + 1 < len(depths) and depths[level + 1][0] <= after:
                 level += 1
-            if depths[level][1]:
-                gain -= 6
+                low = min(low, depths[level][1])
         rest = after
         while rest < hi and (text[rest].isspace() or INVISIBLE.match(text[rest])):
             rest += 1
-        if closed and CARRIES_ON.match(text, rest, hi):
-            gain -= 8
-        elif closed and rest < hi and text[rest] in ",;:、，—":
-            gain -= 8
-        elif rest < hi and text[rest] in MARKS:
-            gain -= 8
         cuts.append(after)
-        gains.append(gain)
+        closings.append(closing)
+        openings.append(_opening(text, after, rest, hi, closed, stops in (".", "．")))
+        depth.append(depths[level][1] if quoted else 0)
+        least.append(low)
     cuts.append(hi)
-    gains.append(1.0)
-    # best[j]: the best total of whole spans that end at cut j
-    best, came = [0.0], [0]
-    for j in range(1, len(cuts)):
-        top, by = -1e18, 0
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            size = cuts[j] - cuts[i]
-            score = best[i] + gains[j] - (0.5 if size < 3 else 0.0) - max(0, size - 4000) / 4000
-            if score > top + 1e-9:
-                top, by = score, i
-        best.append(top)
-        came.append(by)
-    j, chosen = len(cuts) - 1, []
+    closings.append(0.0)
+    openings.append(0.0)
+    # what is cut off at the end of the text is not held against its last sentence
+    depth.append(0)
+    least.append(0)
+    return cuts, closings, openings, depth, least
+
+
+def _best_spans(cuts: list[int], closings: list[float], openings: list[float], depth: list[int], least: list[int]) -> list[int]:
+    """The boundaries of the spans with the best total score: for every cut the best of all starts before it.
+
+    A span from i to j whose least depth is m opens depth[j] - m and closes depth[i] - m marks that are not balanced in
+    it, and lies within a quotation if m > 0.
+    """
+    n = len(cuts)
+    best, came = [0.0] * n, [0] * n
+    # starts that are not near: (least depth since, value, start), depths rising; the unclosed share is added per cut
+    stack: list[tuple[int, float, int]] = []
+    near: list[tuple[int, int]] = []
+    for j in range(1, n):
+        near.append((j - 1, depth[j - 1]))
+        low = least[j]
+        near = [(i, min(m, low)) for i, m in near]
+        while near and cuts[j] - cuts[near[0][0]] >= SHORT:
+            i, m = near.pop(0)
+            value = best[i] + openings[i] + UNBALANCED * (depth[i] - m)
+            stack.append((m, value, i))
+        # starts whose least depth has fallen to ``low`` are one: the best of them
+        top = None
+        while stack and stack[-1][0] >= low:
+            m, value, i = stack.pop()
+            value += UNBALANCED * (m - low)
+            if top is None or value > top[1] + 1e-9:
+                top = (low, value, i)
+        if top:
+            stack.append(top)
+        score, by = -1e18, 0
+        for m, value, i in stack:
+            total = value + UNBALANCED * (depth[j] - m) + (WITHIN if m > 0 else 0.0)
+            if total >= score - 1e-9:
+                score, by = total, i
+        for i, m in near:
+            total = best[i] + openings[i] + UNBALANCED * (depth[i] + depth[j] - 2 * m) + (WITHIN if m > 0 else 0.0) + TOO_SHORT
+            if total > score + 1e-9:
+                score, by = total, i
+        best[j], came[j] = score + closings[j], by
+    ends, j = [], n - 1
     while j:
-        chosen.append((cuts[came[j]], cuts[j]))
+        ends.append(j)
         j = came[j]
-    yield from reversed(chosen)
+    return ends[::-1]
+
+
+def _spans(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The sentences of ``text[lo:hi]``, in which no line is a list line and none is empty."""
+    cuts, closings, openings, depth, least = _possible(text, lo, hi)
+    at = lo
+    for j in _best_spans(cuts, closings, openings, depth, least):
+        yield at, cuts[j]
+        at = cuts[j]
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
