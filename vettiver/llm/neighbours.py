@@ -41,11 +41,13 @@ DIMENSION = 256
 BITS = 256
 #: Vectors that the rotation and the pivots are learned on, at most.
 SAMPLE = 8192
-RADIUS = 80
+RADIUS = 64
 #: Bits of half a substring, as a share of the logarithm of the number of vectors.
 HALF = 0.42
-#: Cells at most, vectors of a block of a cell, codes of a block of a bucket, vectors of a block that is asked as a whole.
-PIVOTS, BLOCK, BUCKET, WHOLE = 2048, 4096, 65_536, 32_768
+#: Cells at most, and vectors of a cell on average while there are fewer cells.
+PIVOTS, CELL = 2048, 4096
+#: Vectors of a block of a cell, codes of a block of a bucket, vectors of a block that is asked as a whole.
+BLOCK, BUCKET, WHOLE = 16_384, 65_536, 32_768
 #: Codes of a cell that a bucket's askers try first; pairs that are looked at at a time.
 FIRST, PAIRS = 8, 4_000_000
 #: Blocks at least in which leftover vectors ask all.
@@ -462,7 +464,7 @@ def nearest(
     half = half_of(total, bits)
     sure = sure_similarity(need, stretch_of(sample, mean, turn, k), bits, half, radius)
     # dimension x bits and at most PIVOTS x dimension floats
-    learned = spark.sparkContext.broadcast((mean, turn, learn_pivots(sample, min(PIVOTS, -(-total // BLOCK)))))
+    learned = spark.sparkContext.broadcast((mean, turn, learn_pivots(sample, min(PIVOTS, -(-total // CELL)))))
     codes = raw.mapInArrow(_code(learned, dimension), "row bigint, cell int, code binary, digest binary")
     if among is not None:
         codes = codes.join(among.select("row").distinct(), "row", "left_semi")
