@@ -2,10 +2,11 @@
 
 A text falls into stretches (a word with the blank before it, or a run of blanks) that no token crosses, so a stretch
 is encoded once per worker and looked up afterwards. Long text is encoded as a tree: texts above ``PART`` characters
-are cut into parts that other tasks encode at the same time, and a stretch without blanks above ``PIECE`` bytes is
-encoded in halves. Where two halves meet, a growing window around the join is encoded again until both of its ends
-agree exactly with their neighbours: a row of BPE tokens is the encoding of its bytes if and only if each two
-neighbours are the encoding of theirs.
+are cut, inside words and runs of blanks too, into parts that other tasks encode at the same time, and neighbours are
+joined two by two, in as many rounds as the number of parts halves. Where two halves of one piece meet, a growing window
+around the join is encoded again until both of its ends agree exactly with their neighbours: a row of BPE tokens is the
+encoding of its bytes if and only if each two neighbours are the encoding of theirs. Within a task, a stretch above
+``PIECE`` bytes is encoded in halves in the same way.
 
 Empty and null texts have the empty list of ids. Marker-like strings are plain text.
 """
@@ -18,19 +19,24 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vettiver.functions.shared import materialise
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public tokenizer divides text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed value: the white space of the Unicode standard.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 STRETCH = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-APART = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-PART = 1 << 15
+BLANK = re.compile(f"[{SPACE}]")
+LETTER, NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+#: Characters of a part of a long text.
+PART = 1 << 14
 PIECE = 1 << 12
 KEPT = 300_000
 LONG_WORD = 256
@@ -97,31 +103,92 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def part_bounds(text: str, part: int = PART) -> list[int]:
-    """Where ``text`` is cut for parallel encoding: at single blanks between words, where no token crosses.
+def _kind(char: str) -> int:
+    return 1 if LETTER.match(char) else 2 if NUMBER.match(char) else 3
+
+
+def joint(text: str, at: int) -> bool | None:
+    """Whether a cut of ``text`` at ``at`` lies inside a piece (True), between pieces (False), or may not be made (None).
 
-    A part without such a blank runs on until one comes; its long stretches are halved by ``Encoder.piece``.
+    A cut changes no piece but the one that it lies in: not beside a blank, unless three blanks surround it, and not
+    where an apostrophe may open a contraction on either side of it.
     """
-    bounds = [0]
-    while len(text) - bounds[-1] > part:
-        apart = APART.search(text, bounds[-1] + part)
-        if apart is None:
-            break
-        bounds.append(apart.start())
-    return [*bounds, len(text)]
+    left, right = text[at - 1], text[at]
+    if BLANK.match(left) or BLANK.match(right):
+        return True if BLANK.match(left) and BLANK.match(right) and BLANK.match(text[at + 1 : at + 2]) else None
+    if right == "'" and LETTER.match(text[at + 1 : at + 2]) or LETTER.match(right) and "'" in text[max(0, at - 3) : at]:
+        return None
+    return _kind(left) == _kind(right)
+
+
+def part_bounds(text: str, part: int = PART) -> list[tuple[int, bool]]:
+    """(start, whether it goes on with the piece before) of each part of ``text``: every ``part`` characters or a little on."""
+    bounds = [(0, False)]
+    at = part
+    while at < len(text):
+        inner = joint(text, at)
+        if inner is None:
+            at += 1
+        else:
+            bounds.append((at, inner))
+            at += part
+    return bounds
 
 
 def _parts(part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, numbers, pieces = [], [], []
+            keys, numbers, inners, pieces = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 bounds = part_bounds(text, part)
-                for k in range(len(bounds) - 1):
+                for k, (start, inner) in enumerate(bounds):
                     keys.append(key)
                     numbers.append(k)
-                    pieces.append(text[bounds[k] : bounds[k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string())], ["key", "part", "text"])
+                    inners.append(inner)
+                    pieces.append(text[start : bounds[k + 1][0] if k + 1 < len(bounds) else len(text)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(inners, pa.bool_()), pa.array(pieces, pa.string())], ["key", "part", "inner", "text"]
+            )
+
+    return run
+
+
+def _encode_parts(path: str):
+    """Each part's ids, and how many of them its first and its last piece have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(path)
+        for batch in batches:
+            heads, tails, ids = [], [], []
+            for text in batch.column(3).to_pylist():
+                stretches = STRETCH.findall(text)
+                first, last = known.pieces.match(stretches[0])[0], known.pieces.findall(stretches[-1])[-1]
+                heads.append(len(known.piece(first.encode())))
+                tails.append(len(known.piece(last.encode())))
+                ids.append(np.frombuffer(known.packed(text), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.int32()), pa.array(tails, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["key", "part", "inner", "head", "tail", "ids"])
+
+    return run
+
+
+def join_parts(known: Encoder, a: dict, b: dict) -> dict:
+    """Two neighbouring parts (inner, head, tail, ids) as one."""
+    left, right = list(a["ids"]), list(b["ids"])
+    if not b["inner"]:
+        return {"inner": a["inner"], "head": a["head"], "tail": b["tail"], "ids": left + right}
+    cut = len(left) - a["tail"]
+    met = known.join(left[cut:], right[: b["head"]])
+    head = len(met) if cut == 0 else a["head"]
+    tail = len(met) if b["head"] == len(right) else b["tail"]
+    return {"inner": a["inner"], "head": head, "tail": tail, "ids": left[:cut] + met + right[b["head"] :]}
+
+
+def _join_two(path: str):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        parts = rows[["inner", "head", "tail", "ids"]].to_dict("records")
+        made = parts[0] if len(parts) == 1 else join_parts(encoder(path), parts[0], parts[1])
+        return pd.DataFrame({"key": rows["key"].iloc[:1], "part": rows["part"].iloc[:1] // 2, **{c: [made[c]] for c in ("inner", "head", "tail")}, "ids": [np.asarray(made["ids"], dtype=np.int32)]}, index=rows.index[:1])
 
     return run
 
@@ -144,27 +211,31 @@ def _encode(path: str, counts_only: bool):
     return run
 
 
-def _split_long(df: DataFrame, key: str, text: str, part: int) -> tuple[DataFrame, DataFrame, str]:
+def _split_long(df: DataFrame, key: str, text: str, path: str, part: int) -> tuple[DataFrame, DataFrame, str]:
+    """(rows of short texts, ids of long ones as (key, ids), the type of the key)."""
     # one file may hold all texts: they are spread before they are encoded
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition("key")
     kind = rows.schema["key"].dataType.simpleString()
     long = F.coalesce(F.length("text") > part, F.lit(False))
-    parts = rows.where(long).mapInArrow(_parts(part), f"key {kind}, part int, text string").repartition("key", "part")
-    return rows.where(~long), parts, kind
+    parts = rows.where(long).mapInArrow(_parts(part), f"key {kind}, part int, inner boolean, text string").repartition("key", "part")
+    columns = f"key {kind}, part int, inner boolean, head int, tail int, ids array<int>"
+    held = materialise(parts.mapInArrow(_encode_parts(path), columns))
+    many = (held.agg(F.max("part")).first()[0] or 0) + 1
+    while many > 1:
+        held = held.groupBy("key", F.shiftright("part", 1).alias("pair")).applyInPandas(_join_two(path), columns)
+        many = -(-many // 2)
+    return rows.where(~long), held.select("key", "ids"), kind
 
 
 def token_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY, part: int = PART) -> DataFrame:
     """(key, ids): the ids of each row's text without special tokens. ``key`` is unique for each row."""
-    short, parts, kind = _split_long(df, key, text, part)
+    short, long, kind = _split_long(df, key, text, path, part)
     whole = short.mapInArrow(_encode(path, False), f"key {kind}, ids array<int>")
-    encoded = parts.mapInArrow(_encode(path, False), f"key {kind}, part int, ids array<int>")
-    joined = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    return whole.unionByName(joined.select("key", F.flatten(F.col("parts.ids")).alias("ids"))).withColumnRenamed("key", key)
+    return whole.unionByName(long).withColumnRenamed("key", key)
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = VOCABULARY, part: int = PART) -> DataFrame:
-    """(key, n_tokens): how many ids ``token_ids`` gives for each row, without building them."""
-    short, parts, kind = _split_long(df, key, text, part)
+    """(key, n_tokens): how many ids ``token_ids`` gives for each row."""
+    short, long, kind = _split_long(df, key, text, path, part)
     whole = short.mapInArrow(_encode(path, True), f"key {kind}, n_tokens bigint")
-    encoded = parts.mapInArrow(_encode(path, True), f"key {kind}, part int, n_tokens bigint")
-    return whole.unionByName(encoded.groupBy("key").agg(F.sum("n_tokens").alias("n_tokens"))).withColumnRenamed("key", key)
+    return whole.unionByName(long.select("key", F.size("ids").cast("bigint").alias("n_tokens"))).withColumnRenamed("key", key)
