@@ -70,30 +70,27 @@ def _units(batch: pa.RecordBatch, dimension: int) -> tuple[pa.Array, np.ndarray]
     return batch.column(0).filter(pa.array(good)), unit
 
 
-def _short(dimension: int):
-    """Unit vectors as 16-bit numbers with a scale of their own, which halves what is shuffled (error about 1e-5)."""
+def _floats(dimension: int):
+    """Unit vectors as the bytes of their 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, unit = _units(batch, dimension)
-            scale = np.abs(unit).max(axis=1, keepdims=True) if len(unit) else np.ones((0, 1), np.float32)
-            short = np.round(unit / scale * 32767).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([rows, pa.array([x.tobytes() for x in short], pa.binary())], ["row", "unit"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array([x.tobytes() for x in unit], pa.binary())], ["row", "unit"])
 
     return run
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    """The unit vectors that ``_short`` packed."""
-    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(-1, dimension).astype(np.float64)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    """The unit vectors that ``_floats`` packed."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dimension)
 
 
 def sampled(vectors: DataFrame, total: int, dimension: int, sample: int = SAMPLE) -> np.ndarray:
     """The unit vectors of about ``sample`` rows, spread by hash."""
     every = max(1, -(-total // sample))
-    spread = vectors.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).mapInArrow(_short(dimension), "row bigint, unit binary")
-    held = sorted((r["row"], bytes(r["unit"])) for r in spread.collect())  # about sample rows of 2 x dimension bytes
+    spread = vectors.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).mapInArrow(_floats(dimension), "row bigint, unit binary")
+    held = sorted((r["row"], bytes(r["unit"])) for r in spread.collect())  # about sample rows of 4 x dimension bytes
     return _matrix(pa.array([u for _, u in held], pa.binary()), dimension) if held else np.zeros((0, dimension), np.float32)
 
 
@@ -476,7 +473,7 @@ def nearest(
     lone = materialise(codes.join(several, "digest", "left").where("rep IS NULL OR rep = row").select("row", "cell", "code")) if copied else codes.select("row", "cell", "code")
     asked = retrieve(lone, half, radius, bits)
     sizes = lone.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    floats = raw.mapInArrow(_short(dimension), "row bigint, unit binary")
+    floats = raw.mapInArrow(_floats(dimension), "row bigint, unit binary")
     units = floats.join(lone.select("row", "cell"), "row").groupBy("row").agg(F.min(F.struct("unit", "cell")).alias("x")).select("row", "x.cell", "x.unit")
     found = materialise(_best(places(units, asked, sizes), k, dimension))
     known = found.groupBy(F.col("row_a").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth")).where((F.col("n") >= k) & (F.col("kth") >= sure))

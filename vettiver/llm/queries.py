@@ -32,17 +32,22 @@ PERCENTS = (50, 70, 90, 95, 99)
 METRICS = ("full_rag_ttft_ms", "retrieval_ms", "embed_ms")
 
 
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "full_rag_t4_per_query").select("result_id", "language", F.to_date("run_ts").alias("run_day"), "run_id", *METRICS)
+
+
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact latency percentiles per language, per language and run day, and per language and run.
+    """Exact latency percentiles per language, and per language and run day: the counts of days combine into those of all time."""
+    levels = {"language": ["language"], "language_day": ["language", "run_day"]}
+    return percentiles.percentiles(_log(spark, folder), "result_id", levels, ["language", "run_day"], METRICS, PERCENTS)
+
 
-    A run is the log's file: its partial counts are combined into those of days and of all time.
-    """
-    log = table(spark, folder, "full_rag_t4_per_query").select("result_id", "language", F.to_date("run_ts").alias("run_day"), "run_id", *METRICS)
-    levels = {"language": ["language"], "language_day": ["language", "run_day"], "language_run": ["language", "run_id"]}
-    return percentiles.percentiles(log, "result_id", levels, ["language", "run_day", "run_id"], METRICS, PERCENTS)
+def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same per language and run: a run is the log's file."""
+    return percentiles.percentiles(_log(spark, folder), "result_id", {"language_run": ["language", "run_id"]}, ["language", "run_id"], METRICS, PERCENTS)
 
 
-P1_SQL = """
+_P1 = """
 WITH once AS (
   SELECT min(language) AS language, min(CAST(run_ts AS DATE)) AS run_day, min(run_id) AS run_id,
     min(full_rag_ttft_ms) AS a, min(retrieval_ms) AS b, min(embed_ms) AS c
@@ -52,17 +57,18 @@ long AS (
     SELECT language, run_day, run_id, 'full_rag_ttft_ms' AS metric, a AS v FROM once UNION ALL
     SELECT language, run_day, run_id, 'retrieval_ms', b FROM once UNION ALL
     SELECT language, run_day, run_id, 'embed_ms', c FROM once) WHERE v IS NOT NULL AND NOT isnan(v)),
-levels AS (
-  SELECT 'language' AS level, language, CAST(NULL AS DATE) AS run_day, CAST(NULL AS VARCHAR) AS run_id, metric, v FROM long UNION ALL
-  SELECT 'language_day', language, run_day, NULL, metric, v FROM long UNION ALL
-  SELECT 'language_run', language, NULL, run_id, metric, v FROM long),
+levels AS ({levels}),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY level, language, run_day, run_id, metric ORDER BY v) AS r,
-    count(*) OVER (PARTITION BY level, language, run_day, run_id, metric) AS total FROM levels),
+  SELECT *, row_number() OVER (PARTITION BY level, language, {part}, metric ORDER BY v) AS r,
+    count(*) OVER (PARTITION BY level, language, {part}, metric) AS total FROM levels),
 wanted AS (SELECT CAST(unnest([50, 70, 90, 95, 99]) AS INTEGER) AS percent)
-SELECT level, language, run_day, run_id, metric, percent, total, v AS value
+SELECT level, language, {part}, metric, percent, total, v AS value
 FROM ranked, wanted WHERE r = (total * percent + 99) // 100
 """
+P1_SQL = _P1.format(
+    levels="SELECT 'language' AS level, language, CAST(NULL AS DATE) AS run_day, metric, v FROM long UNION ALL SELECT 'language_day', language, run_day, metric, v FROM long", part="run_day"
+)
+P1_RUNS_SQL = _P1.format(levels="SELECT 'language_run' AS level, language, run_id, metric, v FROM long", part="run_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,6 +129,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_percentiles": p1_percentiles,
+    "p1_runs": p1_runs,
     "p2_found": p2_found,
     "p2_classes": p2_classes,
     "p3_found": p3_found,
@@ -136,4 +143,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "p1_percentiles": P1_SQL,
+    "p1_runs": P1_RUNS_SQL,
 }
