@@ -48,3 +48,16 @@ def test_pairs_and_questions(spark):
 
 def test_very_long_text():
     assert O.one_form("ＡB ­" * 50_000) == " ".join(["AB"] * 50_000)
+
+
+@pytest.mark.parametrize("many", [1, 36, 38, 60, 500])
+def test_any_number_of_invisible_characters(many):
+    assert O.one_form("கெ" + "\u200d" * many + "ளரி") == O.one_form("கெளரி") == "கௌரி"
+    assert O.one_form("க" + "\u200d" * many + "ெளரி") == "கௌரி"
+    assert O.one_form("ஒ" + "\u200b" * many + "ளவை") == O.one_form("ஔவை")
+
+
+def test_a_form_of_many_rows_and_two_spellings(spark):
+    rows = [(f"k{i:04}", "GPS x") for i in range(500)] + [("a", "ＧPS x"), ("z", "GРS x")]
+    got = {tuple(r) for r in O.equal_looking_pairs(spark.createDataFrame(rows, "key string, text string"), "key", "text").collect()}
+    assert got == {("a", k) for k, _ in rows[:500]} | {(k, "z") for k, _ in rows[:500]} | {("a", "z")}

@@ -2,9 +2,10 @@
 
 A transducer over grapheme clusters, compiled once per Python worker, rewrites a text in one left-to-right pass.
 Its table is built from rules: compatibility forms (widths, ligatures), composition of accents, blanks of any kind,
-characters without a visible mark, and look-alike letters. At each position the longest entry wins; an entry may span
-two clusters (the two-letter spelling of a Tamil vowel). ``check_mapping`` proves that no entry's result is itself
-rewritten, so that the form of a form is the form.
+characters without a visible mark, and look-alike letters. It maps each character to its wholly decomposed form with
+the look-alikes replaced, so that a cluster is composed once and its result is final. At each position the longest entry
+wins; an entry may span two clusters (the two-letter spelling of a Tamil vowel), with any number of invisible characters
+between them. ``check_mapping`` proves that no entry's result is itself rewritten, so that the form of a form is the form.
 """
 
 from __future__ import annotations
@@ -13,17 +14,23 @@ import functools
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from vettiver.functions.shared import materialise
 
 # Look-alike letters, as pairs of strings read position by position.
 LOOK_ALIKES = {
-    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικρυα", "ABEZHIKMNOPTYXovikpua"),
-    "cyrillic": ("АВЕЅІЈКМНОРСТХУаеорсухіјѕһԁԛԝ", "ABESIJKMHOPCTXYaeopcyxijshdqw"),
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικρυατ", "ABEZHIKMNOPTYXovikpuat"),
+    "cyrillic": ("АВЕЅІЈКМНОРСТХУаеорсухіјѕһԁԛԝӀӏѵ", "ABESIJKMHOPCTXYaeopcyxijshdqwIlv"),
+    "armenian": ("ՕՏՍԼօոսհյզց", "OSULonuhjqg"),
+    "cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏚᏙᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRSVLCPKB"),
+    "latin": ("ıɑɡᴏᴄᴠᴡᴢꜱ", "iagocvwzs"),
     "dashes": ("‐‑‒–﹣－−", "-------"),
     "tamil digits": ("௧௨௪௭௮", "கஉசஎஅ"),
     "marks": ("’‘“”ः", "''\"\":"),
@@ -47,6 +54,10 @@ SPLIT_AU = ("ெ", "ள", "ௌ")
 ASTRAL = "[\U00010000-\U0010ffff]"
 
 
+#: Stretches that a worker remembers, and characters of one at most.
+KEPT, REMEMBERED = 100_000, 64
+
+
 @functools.cache
 def _tables() -> tuple[dict[str, str], str, str, str, str]:
     """(single-character table, ignorable characters, first and second characters of compositions, marks)."""
@@ -55,6 +66,7 @@ def _tables() -> tuple[dict[str, str], str, str, str, str]:
         chr(c) for c in [*range(0x00, 0x09), *range(0x0E, 0x1C), *range(0x7F, 0x85), *range(0x86, 0xA0)]
     )
     hidden = set(ignorable)
+    alike = {a: b for left, right in LOOK_ALIKES.values() for a, b in zip(left, right, strict=True)}
     single: dict[str, str] = {}
     firsts, seconds, marks = set(), set(), set()
     for code in range(sys.maxunicode + 1):
@@ -67,9 +79,12 @@ def _tables() -> tuple[dict[str, str], str, str, str, str]:
         elif char.isspace() or category in ("Zs", "Zl", "Zp"):
             single[char] = " "
         else:
-            form = unicodedata.normalize("NFKC", char)
+            apart = unicodedata.normalize("NFKD", char)
             # an accent that stands alone would be a blank and a combining accent: it stays as it is
-            if form != char and not (form[0] == " " and len(form) > 1):
+            if apart[0] == " " and len(apart) > 1 and apart.strip():
+                apart = char
+            form = "".join("" if c in hidden else alike.get(c, c) for c in apart)
+            if unicodedata.normalize("NFC", form) != char:
                 single[char] = form if form.strip() else " "
         if category[0] == "M":
             marks.add(char)
@@ -79,8 +94,6 @@ def _tables() -> tuple[dict[str, str], str, str, str, str]:
             if unicodedata.normalize("NFC", "".join(pair)) == char:
                 firsts.add(pair[0])
                 seconds.add(pair[1])
-    for left, right in LOOK_ALIKES.values():
-        single.update(zip(left, right, strict=True))
     single.pop(" ")
     return single, ignorable, "".join(firsts), "".join(seconds), "".join(marks - hidden)
 
@@ -96,21 +109,6 @@ def _set(chars: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" if b > a else f"\\U{a:08x}" for a, b in parts)
 
 
-@functools.cache
-def _rewrite_cluster(cluster: str) -> str:
-    """The form of one matched stretch: characters mapped, then composed, then cluster look-alikes."""
-    single = _tables()[0]
-    out = unicodedata.normalize("NFC", "".join(single.get(c, c) for c in cluster))
-    for _ in range(3):
-        mapped = unicodedata.normalize("NFC", "".join(single.get(c, c) for c in out))
-        for left, right in LOOK_ALIKE_CLUSTERS.items():
-            mapped = mapped.replace(left, right)
-        if mapped == out:
-            break
-        out = mapped
-    return out
-
-
 @functools.cache
 def _transducer() -> re.Pattern[str]:
     """The compiled pattern of all stretches that may change; anything else is copied."""
@@ -123,21 +121,43 @@ def _transducer() -> re.Pattern[str]:
     e_sign, lla, _ = SPLIT_AU
     return re.compile(
         f"{spaced}"
-        f"|{e_sign}[{hidden}]*{lla}(?![{hidden}]*[{mark}])"
+        f"|[{hidden}]*{e_sign}[{hidden}]*{lla}(?![{hidden}]*[{mark}])"
         f"|[{basic(firsts)}][{mark}{hidden}]*?[{basic(seconds)}][{mark}{hidden}]*"
         f"|[{basic(single)}][{mark}{hidden}]*"
         f"|{ASTRAL}+[{mark}{hidden}]*"
+        f"|[\u1100-\u11ff]+"
         f"|[{combining}][{hidden}]*[{combining}][{mark}{hidden}]*"
     )
 
 
 @functools.cache
-def _rewrite(stretch: str) -> str:
-    e_sign, lla, au = SPLIT_AU
-    visible = "".join(c for c in stretch if _tables()[0].get(c, c) != "")
-    if visible == e_sign + lla:
-        return au
-    return _rewrite_cluster(stretch)
+def _entries() -> dict[str, str]:
+    """The entries of more than one character, by what is visible of them."""
+    return {unicodedata.normalize("NFC", x): y for x, y in LOOK_ALIKE_CLUSTERS.items()} | {SPLIT_AU[0] + SPLIT_AU[1]: SPLIT_AU[2]}
+
+
+#: Forms of stretches, remembered by each worker; emptied when full.
+MEMORY: dict[str, str] = {}
+
+
+def _rewrite(found: re.Match[str]) -> str:
+    """The form of one matched stretch: characters mapped, composed once, and looked up as a whole."""
+    stretch = found[0]
+    held = MEMORY.get(stretch)
+    if held is None:
+        single = _tables()[0]
+        held = unicodedata.normalize("NFC", "".join([single.get(c, c) for c in stretch]))
+        entries = _entries()
+        if held in entries:
+            held = entries[held]
+        elif held[:2] in entries:
+            # an entry and the marks that belong to it
+            held = unicodedata.normalize("NFC", entries[held[:2]] + held[2:])
+        if len(stretch) <= REMEMBERED:
+            if len(MEMORY) >= KEPT:
+                MEMORY.clear()
+            MEMORY[stretch] = held
+    return held
 
 
 @functools.cache
@@ -170,7 +190,7 @@ def one_form(text: str | None) -> str | None:
     if text.isascii() and text.isprintable() or _unchanged(text):
         out = text
     else:
-        out = _transducer().sub(lambda m: _rewrite(m[0]) if len(m[0]) < 40 else _rewrite_cluster.__wrapped__(m[0]), text)
+        out = _transducer().sub(_rewrite, text)
     return " ".join(out.split())
 
 
@@ -181,66 +201,58 @@ def check_mapping() -> list[str]:
     return bad + [c for c, form in LOOK_ALIKE_CLUSTERS.items() if one_form(form) != one_form(c)]
 
 
-@F.pandas_udf(StringType())
-def _one_form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(one_form, na_action="ignore").astype(object)
-
-
-def consistent_form(text: Column) -> Column:
-    """``one_form`` as a column expression, in Arrow batches."""
-    return _one_form_udf(text)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with digests of the form and of the spelling of their texts; rows without a visible mark go."""
+    for batch in batches:
+        known: dict[str, tuple[bytes, bytes] | None] = {}
+        at, forms, spellings = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            if text not in known:
+                form = one_form(text)
+                known[text] = (xxhash.xxh3_128_digest(form), xxhash.xxh3_128_digest(text.strip())) if form else None
+            held = known[text]
+            if held is not None:
+                at.append(i)
+                forms.append(held[0])
+                spellings.append(held[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(forms, pa.binary()), pa.array(spellings, pa.binary())], ["k", "form", "spelling"])
+
+
+def readings(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, form, spelling): 128-bit digests of what each text reads as and of how it is spelt, each different row once.
+
+    Blanks at the ends are no spelling. Null keys and texts, and texts without a visible mark, have no reading. Texts
+    are read once, spread by key, as one file may hold them all.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull()).repartition("k")
+    kind = rows.schema["k"].dataType.simpleString()
+    return rows.mapInArrow(_read, f"k {kind}, form binary, spelling binary").distinct()
 
 
 def equal_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (key_a, key_b) of different keys whose texts read the same but differ in their characters.
 
     Blanks at the ends do not count as a difference; blank and null texts and null keys are in no pair. Keys are
-    strings; the smaller comes first. Spellings are gathered per form before they meet, so a form whose rows are all
-    spelt alike, however many, meets nothing.
+    strings; the smaller comes first. Spellings of one form meet, not rows: only the keys of two different spellings are
+    brought together, so a form whose rows are all spelt alike, however many, meets nothing.
     """
-    rows = (
-        df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-        .where(F.col("k").isNotNull() & F.col("t").isNotNull())
-        .distinct()
-        .withColumn("form", consistent_form(F.col("t")))
-        .where(F.col("form") != "")
-        .select("k", trimmed(F.col("t")).alias("spelling"), F.xxhash64("form", F.length("form")).alias("h"), "form")
-        .distinct()
-    )
-    mixed = rows.groupBy("h").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("h")
-    held = rows.join(mixed, "h", "left_semi")
-    a, b = held.select([F.col(c).alias(f"{c}_a") for c in held.columns]), held.select([F.col(c).alias(f"{c}_b") for c in held.columns])
-    met = a.join(b, (a.h_a == b.h_b) & (a.form_a == b.form_b) & (a.k_a < b.k_b) & (a.spelling_a != b.spelling_b))
-    return met.select(F.col("k_a").alias("key_a"), F.col("k_b").alias("key_b")).distinct()
-
-
-# Fixed value: every blank of the Unicode standard, as the inside of a character class.
-BLANKS = "\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-def trimmed(text: Column) -> Column:
-    """``text`` without blanks of any kind at its ends."""
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    rows = materialise(readings(df, key, text))
+    spelt = rows.groupBy("form", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    mixed = spelt.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form")
+    kinds = materialise(spelt.join(mixed, "form", "left_semi").select("form", "spelling"))
+    a, b = kinds.withColumnRenamed("spelling", "spelling_a"), kinds.withColumnRenamed("spelling", "spelling_b")
+    met = a.join(b, "form").where("spelling_a < spelling_b")
+    ka, kb = (rows.select("form", F.col("spelling").alias(f"spelling_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    both = met.join(ka, ["form", "spelling_a"]).join(kb, ["form", "spelling_b"]).where("k_a <> k_b")
+    return both.select(F.least("k_a", "k_b").alias("key_a"), F.greatest("k_a", "k_b").alias("key_b")).distinct()
 
 
 def shown_questions(requests: DataFrame, questions: DataFrame) -> DataFrame:
     """(key_a, key_b): request_id and query_id where the query reads as the question but is spelt otherwise.
 
-    ``requests`` has request_id and query, ``questions`` has query_id and query. Distinct spellings are brought to
-    their form before the join, so a very frequent question is rewritten once per partition and spelling.
+    ``requests`` has request_id and query, ``questions`` has query_id and query. A question that many requests repeat is
+    rewritten once for each batch of rows.
     """
-    asked = (
-        requests.select("request_id", F.col("query").alias("t"))
-        .where(F.col("request_id").isNotNull() & F.col("t").isNotNull())
-        .distinct()
-        .withColumn("form", consistent_form(F.col("t")))
-        .where(F.col("form") != "")
-        .select(F.col("request_id").alias("key_a"), trimmed(F.col("t")).alias("asked"), "form")
-    )
-    known = (
-        questions.select(F.col("query_id").alias("key_b"), F.col("query").alias("t"))
-        .where(F.col("t").isNotNull())
-        .select("key_b", trimmed(F.col("t")).alias("question"), consistent_form(F.col("t")).alias("form"))
-        .where("form <> ''")
-    )
+    asked = readings(requests, "request_id", "query").select(F.col("k").alias("key_a"), "form", F.col("spelling").alias("asked"))
+    known = readings(questions, "query_id", "query").select(F.col("k").alias("key_b"), "form", F.col("spelling").alias("question"))
     return asked.join(known, "form").where("asked <> question").select("key_a", "key_b").distinct()
