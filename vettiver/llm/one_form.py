@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -54,6 +53,8 @@ SPLIT_AU = ("ெ", "ள", "ௌ")
 ASTRAL = "[\U00010000-\U0010ffff]"
 
 
+# The planes that have characters with a form of their own.
+ASSIGNED = (*range(0x40000), *range(0xE0000, 0xE1000))
 #: Stretches that a worker remembers, and characters of one at most.
 KEPT, REMEMBERED = 100_000, 64
 
@@ -61,18 +62,16 @@ KEPT, REMEMBERED = 100_000, 64
 @functools.cache
 def _tables() -> tuple[dict[str, str], str, str, str, str]:
     """(single-character table, ignorable characters, first and second characters of compositions, marks)."""
-    ignorable = "".join(map(chr, range(sys.maxunicode + 1)))
-    ignorable = "".join(regex.findall(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]", ignorable)) + "".join(
+    every = "".join(chr(code) for code in ASSIGNED if not 0xD800 <= code < 0xE000)
+    ignorable = "".join(regex.findall(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]", every)) + "".join(
         chr(c) for c in [*range(0x00, 0x09), *range(0x0E, 0x1C), *range(0x7F, 0x85), *range(0x86, 0xA0)]
     )
     hidden = set(ignorable)
     alike = {a: b for left, right in LOOK_ALIKES.values() for a, b in zip(left, right, strict=True)}
     single: dict[str, str] = {}
     firsts, seconds, marks = set(), set(), set()
-    for code in range(sys.maxunicode + 1):
-        char = chr(code)
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
-            continue
+    # ideographs and syllables that neither come apart nor compose with anything here are left out
+    for char in regex.sub(r"[\p{Unified_Ideograph}\uac00-\ud7a3\p{Cn}\p{Co}]", lambda m: m[0] if m[0] in hidden else "", every):
         category = unicodedata.category(char)
         if char in hidden:
             single[char] = ""
