@@ -37,37 +37,52 @@ def _matches(term: Column, others: Column) -> Column:
 
 def _without_leading(terms: Column, asked: Column) -> Column:
     """``terms`` from the first that matches none of ``asked``."""
-    return F.filter(terms, lambda x, i: F.exists(F.slice(terms, F.lit(1), i + 1), lambda y: ~_matches(y, asked)))
+
+    def cut(t: Column) -> Column:
+        new = F.transform(t, lambda y: ~_matches(y, asked))
+        return T.let(F.array_position(new, F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.slice(t, at, F.greatest(F.size(t), F.lit(1)))).otherwise(F.array().cast("array<string>")))
+
+    return T.let(terms, cut)
 
 
 def cleaned_span(span: Column, query_terms: Column) -> Column:
     """``span`` without marks at its ends and its list mark, or null if it is empty, long, or all in the query."""
-    clean = F.trim(F.regexp_replace(F.btrim(span, F.lit(ENDS)), T.LIST_MARK + " *", ""))
-    own = T.terms(clean)
-    usable = F.size(own).between(1, MOST_TERMS) & (F.length(clean) <= MOST_CHARS) & F.exists(own, lambda t: ~_matches(t, query_terms))
-    return F.when(usable, clean)
+
+    def usable(clean: Column) -> Column:
+        good = lambda own: F.size(own).between(1, MOST_TERMS) & (F.length(clean) <= MOST_CHARS) & F.exists(own, lambda t: ~_matches(t, query_terms))
+        return F.when(T.let(T.terms(clean), good), clean)
+
+    return T.let(F.trim(F.regexp_replace(F.btrim(span, F.lit(ENDS)), T.LIST_MARK + " *", "")), usable)
 
 
 def answer_span(query: Column, unit: Column, language: Column) -> Column:
-    """(span, confidence, method) of the first rule that gives a usable span, or null."""
-    u, q, asked = T.collapsed(unit), T.folded(query), T.terms(query)
-    found = []
-    for method, confidence, lang, markers, pattern, how in RULES:
-        group = F.regexp_extract(u, pattern, 1)
-        if how in ("rest", "last_three"):
-            t = _without_leading(T.terms(group), asked)
-            t = F.when(F.size(t) > 3, F.slice(t, -3, 3)).otherwise(t) if how == "last_three" else t
-            group = F.array_join(t, " ")
-        if how == "no_particle":
-            group = F.when(~group.isin(PARTICLES), group)
-        fits = F.lit(True) if lang is None else language == lang
-        for one in [markers] if markers else []:
-            fits = fits & F.exists(F.array(*map(F.lit, one)), lambda m: F.contains(q, m))
-        found.append(F.struct(cleaned_span(F.when(fits, group), asked).alias("span"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method")))
-    words = F.split(F.trim(F.regexp_replace(u, T.LIST_MARK + " *", "")), " ")
-    informative = T.informative_terms(query, language)
-    flags = F.transform(words, lambda w: F.exists(T.terms(w), lambda t: _matches(t, informative)))
-    at = F.array_position(flags, True).cast("int")
-    leading = F.when(at.between(2, 5), F.array_join(F.slice(words, F.lit(1), at - 1), " "))
-    found.append(F.struct(cleaned_span(leading, asked).alias("span"), F.lit(LEADING).alias("confidence"), F.lit("leading_entity").alias("method")))
-    return F.get(F.filter(F.array(*found), lambda x: x["span"].isNotNull()), F.lit(0))
+    """(span, confidence, method) of the first rule that gives a usable span, or null; later rules are not tried."""
+
+    def rules(x: Column) -> Column:
+        u, q, asked = x["u"], x["q"], x["asked"]
+        found = []
+
+        def offer(span: Column, confidence: float, method: str) -> None:
+            made = lambda s: F.when(s.isNotNull(), F.struct(s.alias("span"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method")))
+            found.append(T.let(cleaned_span(span, asked), made))
+
+        for method, confidence, lang, markers, pattern, how in RULES:
+            group = F.regexp_extract(u, pattern, 1)
+            if how in ("rest", "last_three"):
+                last = lambda t: F.array_join(F.when(F.size(t) > 3, F.slice(t, -3, 3)).otherwise(t) if how == "last_three" else t, " ")  # noqa: E731, B023
+                group = T.let(_without_leading(T.terms(group), asked), last)
+            if how == "no_particle":
+                group = T.let(group, lambda g: F.when(~g.isin(PARTICLES), g))
+            fits = F.lit(True) if lang is None else language == lang
+            for one in [markers] if markers else []:
+                fits = fits & F.exists(F.array(*map(F.lit, one)), lambda m: F.contains(q, m))
+            offer(F.when(fits, group), confidence, method)
+
+        def leading(w: Column) -> Column:
+            flags = T.let(T.informative_terms(query, language), lambda own: F.transform(w, lambda y: F.exists(T.terms(y), lambda t: _matches(t, own))))
+            return T.let(F.array_position(flags, F.lit(True)).cast("int"), lambda at: F.when(at.between(2, 5), F.array_join(F.slice(w, F.lit(1), F.greatest(at - 1, F.lit(0))), " ")))
+
+        offer(T.let(F.split(F.trim(F.regexp_replace(u, T.LIST_MARK + " *", "")), " "), leading), LEADING, "leading_entity")
+        return F.coalesce(*found)
+
+    return T.let(F.struct(T.collapsed(unit).alias("u"), T.folded(query).alias("q"), T.terms(query).alias("asked")), rules)

@@ -49,6 +49,10 @@ NOT_FOUND_MESSAGES = {
     "hi": "इस प्रश्न से जुड़ी जानकारी हमारे डेटा में उपलब्ध नहीं है।",
 }
 NOT_FOUND_MESSAGE = "No grounded information was found for this query."
+# Prefixes that a model puts before its answer.
+ENGINE_PREFIXES = ["Answer:", "answer:", "பதில்:", "উত্তর:"]
+# Fixed value: what an unsafe question matches.
+UNSAFE = r"(?i)\bhow\s+to\s+make\s+a?\s*(bomb|explosive)\b|\bkill\s+myself\b|\bsuicide\s+method\b|\bchild\s+sexual\b"
 # BM25 and fusion settings; other languages take those of "ta".
 K1, B = {"ta": 0.90, "hi": 2.00}, {"ta": 0.40, "hi": 0.75}
 DENSE_WEIGHT = {"ta": 2.0, "hi": 1.5}

@@ -12,13 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vettiver.functions.lexicon import ANSWER_ENDINGS, CONTINUES, GENITIVES, MANDATORY, NUMBER_MARKERS, ONLY_ASKED, ONLY_SHOWN, ORDINALS, QUESTION_TERMS, QUESTION_WORDS, SCRIPTS, SUPERLATIVES, by_language, words_of
+from vettiver.functions.lexicon import ANSWER_ENDINGS, CONTINUES, ENGINE_PREFIXES, GENITIVES, MANDATORY, NOT_FOUND, NUMBER_MARKERS, ONLY_ASKED, ONLY_SHOWN, ORDINALS, QUESTION_TERMS, QUESTION_WORDS, SCRIPTS, SUPERLATIVES, by_language, words_of
 
 # Fixed value: every blank, as the inside of a character class.
 BLANK = "\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LIST_MARK = "^ *(?:\\p{Nd}{1,2}|[A-Da-d])[.)]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def folded(text: Column) -> Column:
     """``text`` without case."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -99,11 +104,11 @@ def match_guardrail(answer: Column, shown: Column) -> Column:
 
 def matched_count(asked: Column, shown: Column, match) -> Column:
     """How many terms of ``asked`` match one of ``shown``."""
-    return F.size(F.filter(asked, lambda a: F.exists(shown, lambda b: match(a, b)))).cast("bigint")
+    return let(shown, lambda s: F.size(F.filter(asked, lambda a: F.exists(s, lambda b: match(a, b))))).cast("bigint")
 
 
 def _any_in(text: Column, markers: Column) -> Column:
-    return F.exists(markers, lambda m: F.contains(text, m))
+    return let(text, lambda t: F.exists(markers, lambda m: F.contains(t, m)))
 
 
 def numbers(text: Column) -> Column:
@@ -142,7 +147,7 @@ def required_anchors(query: Column, language: Column) -> Column:
 
 
 def all_present(anchors: Column, shown: Column) -> Column:
-    return F.forall(anchors, lambda a: F.exists(shown, lambda b: match_evidence(a, b)))
+    return let(shown, lambda s: F.forall(anchors, lambda a: F.exists(s, lambda b: match_evidence(a, b))))
 
 
 def is_list_item(text: Column) -> Column:
@@ -166,28 +171,44 @@ def evidence_units(sentences: Column) -> Column:
     return F.when(F.size(sentences) < 2, sentences).otherwise(F.concat(sentences, F.filter(pairs, lambda p: F.length(p) <= 450)))
 
 
-def support(query: Column, unit: Column, language: Column) -> dict[str, Column]:
-    """Columns on how far ``unit`` supports an answer to ``query``: matched, total, coverage, flags, score, strong."""
-    asked = informative_terms(query, language)
-    total = F.size(asked).cast("bigint")
-    matched = matched_count(asked, terms(unit), match_evidence)
-    coverage = F.when(total == 0, F.lit(0.0)).otherwise(matched / total)
-    anchors = all_present(required_anchors(query, language), terms(unit))
-    constraints = constraints_met(query, unit, language)
-    against = contradicts(query, unit, language)
-    return {"matched": matched, "total": total, "coverage": coverage, "anchors_ok": anchors, "constraints_ok": constraints, "contradiction": against}
+def support(query: Column, unit: Column, language: Column) -> Column:
+    """How far ``unit`` supports an answer to ``query``: (matched, total, coverage, flags, score, strong)."""
+
+    def judged(x: Column) -> Column:
+        m, n, ok = x["matched"], F.size(x["asked"]).cast("bigint"), x["anchors_ok"] & x["constraints_ok"] & ~x["contradiction"]
+        c = F.when(n == 0, F.lit(0.0)).otherwise(m / n)
+        score = c * 10 + F.least(m, F.lit(3)) * 0.4 + F.when(x["anchors_ok"], 1.0).otherwise(-7.0)
+        score = score + F.when(x["constraints_ok"], 0.0).otherwise(-7.0) + F.when(x["contradiction"], -10.0).otherwise(0.0)
+        enough = F.when(n <= 2, m == n).when(n == 3, (m >= 2) & (c >= 0.66)).otherwise((m >= 3) & (c >= 0.55))
+        strong = (n > 0) & ok & enough & ~(x["listed"] & (c < 0.60))
+        return F.struct(
+            m.alias("matched"), n.alias("total"), c.alias("coverage"), x["anchors_ok"].alias("anchors_ok"), x["constraints_ok"].alias("constraints_ok"),
+            x["contradiction"].alias("contradiction"), F.round(F.greatest(score, F.lit(0.0)), 9).alias("score"), strong.alias("strong"),
+        )
+
+    def looked(x: Column) -> Column:
+        matched = F.size(F.filter(x["asked"], lambda a: F.exists(x["shown"], lambda b: match_evidence(a, b)))).cast("bigint")
+        anchors = F.forall(x["anchors"], lambda a: F.exists(x["shown"], lambda b: match_evidence(a, b)))
+        return F.struct(
+            x["asked"].alias("asked"), matched.alias("matched"), anchors.alias("anchors_ok"), constraints_met(query, unit, language).alias("constraints_ok"),
+            contradicts(query, unit, language).alias("contradiction"), is_list_item(unit).alias("listed"),
+        )
+
+    known = F.struct(informative_terms(query, language).alias("asked"), terms(unit).alias("shown"), required_anchors(query, language).alias("anchors"))
+    return let(let(known, looked), judged)
 
 
 def with_support(df, query: str = "query", unit: str = "text", language: str = "language"):
     """``df`` with the support columns of each row's unit; a null query or unit counts as empty."""
     q, u = F.coalesce(F.col(query), F.lit("")), F.coalesce(F.col(unit), F.lit(""))
-    found = df.withColumns(support(q, u, F.coalesce(F.col(language), F.lit(""))))
-    m, n, c = F.col("matched"), F.col("total"), F.col("coverage")
-    score = c * 10 + F.least(m, F.lit(3)) * 0.4 + F.when(F.col("anchors_ok"), 1.0).otherwise(-7.0)
-    score = score + F.when(F.col("constraints_ok"), 0.0).otherwise(-7.0) + F.when(F.col("contradiction"), -10.0).otherwise(0.0)
-    enough = F.when(n <= 2, m == n).when(n == 3, (m >= 2) & (c >= 0.66)).otherwise((m >= 3) & (c >= 0.55))
-    strong = (n > 0) & F.col("anchors_ok") & F.col("constraints_ok") & ~F.col("contradiction") & enough & ~(is_list_item(u) & (c < 0.60))
-    return found.withColumns({"score": F.round(F.greatest(score, F.lit(0.0)), 9), "strong": strong})
+    columns = ("matched", "total", "coverage", "anchors_ok", "constraints_ok", "contradiction", "score", "strong")
+    found = df.withColumn("__support", support(q, u, F.coalesce(F.col(language), F.lit(""))))
+    return found.withColumns({c: F.col("__support")[c] for c in columns}).drop("__support")
+
+
+def pack_score(score: Column, strong: Column, ok: Column) -> Column:
+    """What a supporting unit counts when evidence is chosen: nothing where anchors or constraints fail."""
+    return F.when(ok, score + F.when(strong, 15.0).otherwise(0.0)).otherwise(F.lit(0.0))
 
 
 def expects_number(query: Column, language: Column) -> Column:
@@ -207,14 +228,16 @@ def script_ok(answer: Column, language: Column) -> Column:
 
 def echoes(answer: Column, query: Column) -> Column:
     """No term of the answer that the query does not have."""
-    return ~F.exists(terms(answer), lambda a: ~F.exists(terms(query), lambda b: match_evidence(a, b)))
+    return let(terms(query), lambda q: ~F.exists(terms(answer), lambda a: ~F.exists(q, lambda b: match_evidence(a, b))))
 
 
 def repeats(answer: Column) -> Column:
     """A term three times in a row."""
-    t = terms(answer)
-    spots = F.sequence(F.lit(1), F.size(t) - 2)
-    return F.when(F.size(t) < 3, F.lit(False)).otherwise(F.exists(spots, lambda i: (F.get(t, i - 1) == F.get(t, i)) & (F.get(t, i) == F.get(t, i + 1))))
+    def thrice(t: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.size(t) - 2)
+        return F.when(F.size(t) < 3, F.lit(False)).otherwise(F.exists(spots, lambda i: (F.get(t, i - 1) == F.get(t, i)) & (F.get(t, i) == F.get(t, i + 1))))
+
+    return let(terms(answer), thrice)
 
 
 def cleaned_answer(answer: Column) -> Column:
@@ -235,8 +258,36 @@ def shape_ok(answer: Column, query: Column, language: Column) -> Column:
 
 def grounded(answer_form: Column, evidence_form: Column) -> Column:
     """The answer's form is in the evidence's, or each of its terms is supported there."""
-    bare = without_endings(answer_form)
-    words = F.filter(F.split(bare, " "), lambda t: t != "")
-    shown = F.split(evidence_form, " ")
-    every = F.forall(words, lambda a: F.exists(shown, lambda b: match_guardrail(a, b)))
-    return (bare != "") & (F.contains(evidence_form, bare) | every)
+    def held(x: Column) -> Column:
+        every = F.forall(x["words"], lambda a: F.exists(x["shown"], lambda b: match_guardrail(a, b)))
+        return (x["bare"] != "") & (F.contains(evidence_form, x["bare"]) | every)
+
+    def split(bare: Column) -> Column:
+        words = F.filter(F.split(bare, " "), lambda t: t != "")
+        return let(F.struct(bare.alias("bare"), words.alias("words"), F.split(evidence_form, " ").alias("shown")), held)
+
+    return let(without_endings(answer_form), split)
+
+
+def engine_cleaned(answer: Column) -> Column:
+    """A model's answer as the engine takes it: without answer prefixes, one after the other, and an exact sentinel."""
+    x = btrimmed(answer)
+    for prefix in ENGINE_PREFIXES:
+        x = F.when(x.startswith(prefix), btrimmed(F.substr(x, F.lit(len(prefix) + 1)))).otherwise(x)
+    return F.when(F.upper(x) == NOT_FOUND, NOT_FOUND).otherwise(x)
+
+
+def btrimmed(text: Column) -> Column:
+    """``text`` without blanks of any kind at its ends."""
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
+def engine_grounded(answer_form: Column, context_form: Column) -> Column:
+    """Fail-closed: the answer's form is a part of the context's, or the sentinel; an empty one is not."""
+    return (answer_form != "") & ((answer_form == NOT_FOUND.lower()) | F.contains(context_form, answer_form))
+
+
+def contains_expected(expected_form: Column, text_form: Column) -> Column:
+    """The expected answer's form without its verb ending is in the text's form; an empty one is not."""
+    bare = without_endings(expected_form)
+    return F.coalesce((bare != "") & F.contains(text_form, bare), F.lit(False))

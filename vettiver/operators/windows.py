@@ -21,31 +21,31 @@ def pack_scores(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     best = F.max_by(F.struct("score", "strong", "anchors_ok", "constraints_ok", "contradiction"), F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("unit_pos")).alias("first")))
     strongest = rows.where("unit IS NOT NULL").groupBy(*keys).agg(best.alias("b"))
     ok = F.col("b.anchors_ok") & F.col("b.constraints_ok") & ~F.col("b.contradiction")
-    score = F.when(ok, F.col("b.score") + F.when(F.col("b.strong"), 15.0).otherwise(0.0)).otherwise(F.lit(0.0))
-    return strongest.select(*keys, score.alias("pack"))
+    return strongest.select(*keys, T.pack_score(F.col("b.score"), F.col("b.strong"), ok).alias("pack"))
 
 
-def evidence_windows(df: DataFrame, key: str, chars: int = CHARS) -> DataFrame:
+def evidence_windows(df: DataFrame, key: str, chars: int | str = CHARS) -> DataFrame:
     """(key, window): the text if it fits, else its best sentence with its neighbours, else the best crop of those.
 
-    ``df`` has the unique key, query, text and language. Crops are the head, the tail and one window for each term of
-    the query, a third of it before the term; of equal scores the first stays. Blank and null texts give ''.
+    ``df`` has the unique key, query, text and language; ``chars`` is a number or the name of a column. Crops are the head,
+    the tail and one window for each term of the query, a third of it before the term; of equal scores the first stays.
+    Blank and null texts give ''.
     """
-    rows = df.select(key, "query", "language", T.collapsed(F.coalesce("text", F.lit(""))).alias("u")).withColumn("sents", T.evidence_sentences(F.col("u")))
-    long = rows.where(F.length("u") > chars)
+    most = (F.lit(chars) if isinstance(chars, int) else F.col(chars)).cast("int").alias("most")
+    rows = df.select(key, "query", "language", T.collapsed(F.coalesce("text", F.lit(""))).alias("u"), most).withColumn("sents", T.evidence_sentences(F.col("u")))
+    long = rows.where(F.length("u") > F.col("most"))
     each = long.select(key, "query", "language", F.posexplode("sents").alias("pos", "sentence"))
     scored = each.join(pack_scores(each, [key, "pos"], "sentence"), [key, "pos"], "left")
     best = scored.groupBy(key).agg(F.max_by("pos", F.struct(F.coalesce("pack", F.lit(0.0)).alias("pack"), (-F.col("pos")).alias("first"))).alias("best"))
     lo = F.greatest(F.col("best") - NEIGHBOURS, F.lit(0))
     hi = F.least(F.col("best") + NEIGHBOURS + 1, F.size("sents"))
-    local = long.join(best, key).select(key, "query", "language", F.array_join(F.slice("sents", lo + 1, hi - lo), " ").alias("local"))
-    wide = local.where(F.length("local") > chars)
-    folded = T.folded(F.col("local"))
-    spots = F.filter(F.transform(F.filter(T.terms(F.col("query")), lambda t: F.length(t) >= 2), lambda t: F.instr(folded, t)), lambda p: p > 0)
-    crops = F.transform(spots, lambda p: F.substring(F.col("local"), F.greatest(p - 1 - chars // 3, F.lit(0)) + 1, F.lit(chars)))
-    ends = F.array(F.substring("local", 1, chars), F.substring(F.col("local"), F.length("local") - chars + 1, F.lit(chars)))
+    local = long.join(best, key).select(key, "query", "language", "most", F.array_join(F.slice("sents", lo + 1, hi - lo), " ").alias("local"))
+    wide = local.where(F.length("local") > F.col("most"))
+    crops = T.let(T.folded(F.col("local")), lambda f: F.filter(F.transform(F.filter(T.terms(F.col("query")), lambda t: F.length(t) >= 2), lambda t: F.instr(f, t)), lambda p: p > 0))
+    crops = F.transform(crops, lambda p: F.substring(F.col("local"), F.greatest(p - 1 - F.floor(F.col("most") / 3).cast("int"), F.lit(0)) + 1, F.col("most")))
+    ends = F.array(F.substring(F.col("local"), F.lit(1), F.col("most")), F.substring(F.col("local"), F.length("local") - F.col("most") + 1, F.col("most")))
     windows = wide.select(key, "query", "language", F.posexplode(F.transform(F.concat(ends, crops), lambda w: F.trim(w))).alias("pos", "window"))
     judged = windows.join(pack_scores(windows, [key, "pos"], "window"), [key, "pos"], "left").where("window <> ''")
     cropped = judged.groupBy(key).agg(F.max_by("window", F.struct(F.coalesce("pack", F.lit(0.0)).alias("pack"), (-F.col("pos")).alias("first"))).alias("cropped"))
-    joined = rows.select(key, "u").join(local.select(key, "local"), key, "left").join(cropped, key, "left")
-    return joined.select(key, F.when(F.length("u") <= chars, F.col("u")).when(F.length("local") <= chars, F.col("local")).otherwise(F.col("cropped")).alias("window"))
+    joined = rows.select(key, "u", "most").join(local.select(key, "local"), key, "left").join(cropped, key, "left")
+    return joined.select(key, F.when(F.length("u") <= F.col("most"), F.col("u")).when(F.length("local") <= F.col("most"), F.col("local")).otherwise(F.col("cropped")).alias("window"))
