@@ -51,6 +51,8 @@ NOT_FOUND_MESSAGES = {
 NOT_FOUND_MESSAGE = "No grounded information was found for this query."
 # Prefixes that a model puts before its answer.
 ENGINE_PREFIXES = ["Answer:", "answer:", "பதில்:", "উত্তর:"]
+# Fixed value: what a model is asked to do.
+PROMPT = "Answer the question using only the evidence.\nReturn only the shortest answer.\nDo not explain.\nIf the answer is not present, output NOT_FOUND."
 # Fixed value: what an unsafe question matches.
 UNSAFE = r"(?i)\bhow\s+to\s+make\s+a?\s*(bomb|explosive)\b|\bkill\s+myself\b|\bsuicide\s+method\b|\bchild\s+sexual\b"
 # BM25 and fusion settings; other languages take those of "ta".

@@ -165,10 +165,14 @@ def evidence_sentences(text: Column) -> Column:
 def evidence_units(sentences: Column) -> Column:
     """The sentences, then the neighbouring pairs of list items and of sentences that lead on, up to 450 characters."""
     leads = lambda x: F.exists(F.array(*map(F.lit, CONTINUES)), lambda c: x.startswith(c))
-    both = F.zip_with(F.slice(sentences, F.lit(1), F.greatest(F.size(sentences) - 1, F.lit(0))), F.slice(sentences, F.lit(2), F.greatest(F.size(sentences), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    held = F.filter(both, lambda p: is_list_item(p["a"]) | is_list_item(p["b"]) | leads(p["b"]))
-    pairs = F.transform(held, lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return F.when(F.size(sentences) < 2, sentences).otherwise(F.concat(sentences, F.filter(pairs, lambda p: F.length(p) <= 450)))
+
+    def units(own: Column) -> Column:
+        both = F.zip_with(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        held = F.filter(both, lambda p: is_list_item(p["a"]) | is_list_item(p["b"]) | leads(p["b"]))
+        pairs = F.transform(held, lambda p: F.concat_ws(" ", p["a"], p["b"]))
+        return F.when(F.size(own) < 2, own).otherwise(F.concat(own, F.filter(pairs, lambda p: F.length(p) <= 450)))
+
+    return let(sentences, units)
 
 
 def support(query: Column, unit: Column, language: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vettiver.functions.shared import materialise
 from vettiver.operators.windows import evidence_windows, pack_scores
 
 SIBLING = "sibling"
@@ -67,12 +68,14 @@ def best_candidates(candidates: DataFrame, asked: DataFrame, chars: int, key: st
     packs = pack_scores(asked_texts(rows), ["id"], "text")
     scored = rows.join(packs, "id", "left").withColumn("pack", F.coalesce("pack", F.lit(0.0)))
     first = Window.partitionBy(key, "parent_id").orderBy(F.col("pack").desc(), "place", F.col("chunk_id").asc_nulls_first(), "text")
-    best = scored.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "pack", "place")
-    windows = evidence_windows(asked_texts(best), "id", chars).where("window <> ''")
+    # what follows reads the best candidates several times
+    best = materialise(scored.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "pack", "place"))
+    windows = materialise(evidence_windows(asked_texts(best), "id", chars).where("window <> ''"))
     shown = best.join(windows, "id").withColumnRenamed("window", "snippet")
     own = shown.select("query", "language", F.col("snippet").alias("text")).distinct().withColumn("sid", text_id())
     value = pack_scores(own, ["sid"], "text").withColumnRenamed("pack", "evidence")
     sid = F.sha2(F.concat_ws("\u0001", F.coalesce("language", F.lit("")), "query", "snippet"), 256)
+    # a question with a snippet has its score once
     out = shown.withColumn("sid", sid).join(value, "sid", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
     return out.select(key, "parent_id", "query", "language", *FIELDS, "snippet", "evidence")
 
@@ -87,6 +90,7 @@ def packed_blocks(ranked: DataFrame, budget: int, chars: int, most: int, key: st
     order = Window.partitionBy(key).orderBy("rank")
     rows = ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).withColumn("gap", F.when(F.col("at") > 1, 2).otherwise(0))
     done = None
+    rows = materialise(rows)
     used = rows.select(key).distinct().select(key, F.lit(0).alias("used"), F.lit(True).alias("open"))
     for block in range(1, most + 1):
         here = rows.where(F.col("at") == block).join(used, key).where("open").withColumn("left", F.lit(budget) - F.col("used") - F.col("gap"))

@@ -62,8 +62,11 @@ def _multiply(k: int, dimension: int):
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int = CHILD_K, dimension: int = DIMENSION) -> DataFrame:
     """(query_row, rank, vector_row, similarity): the ``k`` most similar others of each query row, ties to the smaller row."""
     schema = "rows binary, units binary"
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = queries.mapInArrow(_blocks(QUERY_BLOCK), schema).select(F.col("rows").alias("q_rows"), F.col("units").alias("q_units"))
-    held = vectors.mapInArrow(_blocks(BLOCK), schema)
-    found = asked.crossJoin(held).mapInArrow(_multiply(k, dimension), "query_row bigint, vector_row bigint, similarity double")
+    held = vectors.mapInArrow(_blocks(BLOCK), schema).withColumn("part", F.pmod(F.xxhash64("rows"), F.lit(parts)).cast("int"))
+    # the question blocks go to every part of the vectors, each vector block to one
+    met = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(held, "part").select("q_rows", "q_units", "rows", "units")
+    found = met.mapInArrow(_multiply(k, dimension), "query_row bigint, vector_row bigint, similarity double")
     best = Window.partitionBy("query_row").orderBy(F.col("similarity").desc(), "vector_row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -20,14 +20,63 @@ def recall_and_hit(ranked: DataFrame, relevant: DataFrame, key: str = "query_id"
     return both.withColumns({"recall_20": F.round(F.col("hits") / F.col("relevant"), 9), "hit_20": F.col("hits") > 0})
 
 
+MARKS = {"p50": 0.5, "p70": 0.7, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+#: Cells of an octave in which values are counted before they are ordered.
+PER_OCTAVE = 64
+
+
 def latency_report(log: DataFrame, keys: Sequence[str], stages: Sequence[str]) -> DataFrame:
-    """(keys, stage, n, p50, p70, p90, p95, p100, mean): interpolated percentiles of each stage; null and NaN do not count."""
+    """(keys, stage, n, p50, p70, p90, p95, p99, p100, mean): interpolated percentiles of each stage; null and NaN do not count.
+
+    Values are counted in cells first, which tells the cells that hold the two exact ranks on either side of each mark;
+    only the different values of those cells are ordered. No group's values come into one buffer.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("ms")) for s in stages]))
     rows = log.select(*keys, pairs.alias("x")).select(*keys, "x.stage", "x.ms").where(F.col("ms").isNotNull() & ~F.isnan("ms"))
-    marks = F.percentile("ms", F.array(*[F.lit(p) for p in (0.5, 0.7, 0.9, 0.95)]))
-    each = rows.groupBy(*keys, "stage").agg(F.count(F.lit(1)).alias("n"), marks.alias("p"), F.max("ms").alias("p100"), F.avg("ms").alias("mean"))
-    named = [F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p70", "p90", "p95"))]
-    return each.select(*keys, "stage", "n", *named, "p100", F.round("mean", 6).alias("mean"))
+    size = F.floor(F.log2(F.abs("ms") + 1) * PER_OCTAVE)
+    values = rows.withColumn("cell", F.when(F.col("ms") < 0, -size).otherwise(size).cast("int")).groupBy(*keys, "stage", "cell", "ms").agg(F.count(F.lit(1)).alias("n"))
+    group = [*keys, "stage"]
+    cells = values.groupBy(*group, "cell").agg(F.sum("n").alias("held"), F.sum(F.col("ms") * F.col("n")).alias("sum"), F.max("ms").alias("top"))
+    every, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumns({"upto": F.sum("held").over(upto), "total": F.sum("held").over(every), "mean": F.sum("sum").over(every) / F.sum("held").over(every), "p100": F.max("top").over(every)})
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p)) for p in MARKS.values()])))
+    here = F.filter(wanted, lambda r: (r >= F.col("upto") - F.col("held")) & (r < F.col("upto")))
+    held = cells.withColumn("ranks", here).where(F.size("ranks") > 0).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("cell").alias("_cell"), (F.col("upto") - F.col("held")).alias("below"), "total", "mean", "p100", "ranks")
+    same = F.col("cell") == F.col("_cell")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    ordered = Window.partitionBy(*group, "cell").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.join(held, same).withColumn("last", F.col("below") + F.sum("n").over(ordered) - 1)
+    found = placed.withColumn("rank", F.explode(F.filter("ranks", lambda r: (r <= F.col("last")) & (r > F.col("last") - F.col("n")))))
+    ranked = found.groupBy(*group, "total", "mean", "p100").agg(F.map_from_entries(F.collect_list(F.struct("rank", "ms"))).alias("at"))
+
+    def mark(p: float) -> Column:
+        spot = (F.col("total") - 1) * p
+        lo, hi = F.col("at")[F.floor(spot)], F.col("at")[F.ceil(spot)]
+        return F.round(lo + (hi - lo) * (spot - F.floor(spot)), 6)
+
+    return ranked.select(*group, F.col("total").alias("n"), *[mark(p).alias(name) for name, p in MARKS.items()], "p100", F.round("mean", 6).alias("mean"))
+
+
+def with_labels(ranked: DataFrame, labels: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, language, relevant_parent_ids, ranked, packed): sampled labels with what was found for them.
+
+    A label without a ranking raises ``ValueError``: no label may be lost.
+    """
+    lost = labels.join(ranked, key, "left_anti").limit(1).count()
+    if lost:
+        raise ValueError("a label has no question")
+    return labels.join(ranked, key)
+
+
+def packed_hit(packed: Column, relevant: Column) -> Column:
+    """A relevant parent is among the packed ones."""
+    return F.arrays_overlap(F.coalesce(packed, F.array().cast("array<string>")), relevant)
+
+
+def missing_names(required: DataFrame, existing: DataFrame) -> DataFrame:
+    """The names that are required and not there, once each."""
+    return required.distinct().exceptAll(existing.distinct())
 
 
 def share_under(value: str, limit: float = 200.0) -> Column:

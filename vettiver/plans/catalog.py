@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vettiver.functions import text as T
 from vettiver.functions.extract import answer_span
-from vettiver.functions.lexicon import NOT_FOUND, NOT_FOUND_MESSAGE, NOT_FOUND_MESSAGES, by_language
-from vettiver.operators import dense, evaluate, fusion, sparse, windows
-from vettiver.sources.tables import read_corpus, read_queries, table
+from vettiver.functions.lexicon import NOT_FOUND, NOT_FOUND_MESSAGE, NOT_FOUND_MESSAGES, PROMPT, UNSAFE, by_language
+from vettiver.operators import candidates, dense, evaluate, fusion, sparse, windows
+from vettiver.functions.shared import materialise
+from vettiver.sources.tables import DEPTH_ANALYSIS, read_corpus, read_labels, read_queries, table
 from vettiver.streaming import transcripts
 
 STAGES = ("embed_ms", "dense_ms", "bm25_ms", "retrieval_ms", "context_ms", "prompt_prep_ms", "model_first_token_ms", "generation_ttft_ms", "full_rag_ttft_ms", "full_rag_complete_ms")
@@ -37,9 +38,9 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return evidence(spark, folder).join(requests(spark, folder), "request_id")
 
 
-def log(spark: SparkSession, folder: str) -> DataFrame:
-    """The result log, each result once."""
-    return table(spark, folder, "full_rag_t4_per_query").distinct()
+def log(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """``columns`` of the result log, each result once; no other column is read."""
+    return table(spark, folder, "full_rag_t4_per_query").select("result_id", *columns).distinct()
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +205,7 @@ def support_signal(spark: SparkSession, folder: str) -> DataFrame:
     """How far each piece of evidence, as one unit, supports an answer to its request; and its pack score."""
     rows = T.with_support(pairs(spark, folder))
     ok = F.col("anchors_ok") & F.col("constraints_ok") & ~F.col("contradiction")
-    score = F.when(ok, F.col("score") + F.when(F.col("strong"), 15.0).otherwise(0.0)).otherwise(F.lit(0.0))
+    score = T.pack_score(F.col("score"), F.col("strong"), ok)
     return rows.select("evidence_id", "matched", "total", F.round("coverage", 6).alias("coverage"), "anchors_ok", "constraints_ok", "contradiction", "strong", F.round("score", 6).alias("score"), F.round(score, 6).alias("pack_score"))
 
 
@@ -230,38 +231,66 @@ def _strongest(spark: SparkSession, folder: str) -> DataFrame:
     best = F.max_by(F.struct("unit", "strong", "score", "coverage", "matched", "anchors_ok", "constraints_ok", "contradiction"), F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("pos")).alias("first")))
     rows = _unit_support(spark, folder).groupBy("evidence_id", "request_id", "parent_id", "lane", "language", "query").agg(best.alias("b")).select("*", "b.*").drop("b")
     ok = F.col("anchors_ok") & F.col("constraints_ok") & ~F.col("contradiction")
-    return rows.withColumn("pack_score", F.when(ok, F.col("score") + F.when(F.col("strong"), 15.0).otherwise(0.0)).otherwise(F.lit(0.0)))
+    return rows.withColumn("pack_score", T.pack_score(F.col("score"), F.col("strong"), ok))
 
 
 def strongest_unit(spark: SparkSession, folder: str) -> DataFrame:
     return _strongest(spark, folder).select("evidence_id", "unit", "strong", F.round("score", 6).alias("score"), F.round("pack_score", 6).alias("pack_score"))
 
 
-def _features(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each fused parent of each request: its best evidence and the features of the reranking."""
-    first = Window.partitionBy("request_id", "parent_id").orderBy(F.col("pack_score").desc(), "evidence_id")
-    best = _strongest(spark, folder).where("parent_id <> ''").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    fused = fusion.fuse(fusion.lane_ranking(evidence(spark, folder))).select("request_id", "parent_id", "rrf", "lanes")
-    # each different question once, with the corpus idf of its terms
-    asked = requests(spark, folder).select(F.coalesce("language", F.lit("")).alias("language"), "query").distinct()
-    scored = sparse.scored_terms(asked.withColumn("q", F.col("query")), read_corpus(spark, folder), "q").select("language", "query", "items")
-    rows = fused.join(best.withColumn("language", F.coalesce("language", F.lit(""))), ["request_id", "parent_id"]).join(scored, ["language", "query"])
-    rows = rows.withColumn("anchors", sparse.anchors_of(F.col("items")))
+def merged_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The evidence that is shown for each request and parent, and the chunk that is kept as the alternate."""
+    rows = candidates.merged_evidence(evidence(spark, folder))
+    return rows.select("request_id", "parent_id", "preferred.chunk_id", "preferred.lane", "preferred.score", F.col("alternate.chunk_id").alias("other_chunk"), F.col("alternate.lane").alias("other_lane"))
+
+
+def _best(spark: SparkSession, folder: str) -> DataFrame:
+    """The best candidate of each fused parent of each request, with its snippet."""
+    rows = evidence(spark, folder)
+    asked = requests(spark, folder).withColumn("language", F.coalesce("language", F.lit("")))
+    fused = fusion.fuse(fusion.lane_ranking(rows)).select("request_id", "parent_id")
+    merged = candidates.merged_evidence(rows).join(fused, ["request_id", "parent_id"], "left_semi")
+    return candidates.best_candidates(candidates.parent_candidates(merged, read_corpus(spark, folder), asked), asked, windows.CHARS)
+
+
+def best_candidate(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _best(spark, folder)
+    return rows.select("request_id", "parent_id", "chunk_id", "lane", "snippet", F.round("evidence", 6).alias("evidence"))
+
+
+def _featured(best: DataFrame, fused: DataFrame, corpus: DataFrame, key: str = "request_id") -> DataFrame:
+    """``best`` (of fused parents) with the features of the reranking, taken from the snippet.
+
+    A term weighs its corpus idf, at least 1 and at most 8; anchors are the three terms with the highest idf. Questions and
+    snippets are compared in their retrieval form; each different question is looked up once.
+    """
+    asked = best.select("language", F.col("query").alias("asked")).distinct().withColumn("query", T.retrieval_form(F.col("asked")))
+    scored = sparse.scored_terms(asked, corpus, "asked").select("language", F.col("asked").alias("query"), "items")
+    rows = fused.select(key, "parent_id", "rrf", "lanes").join(best, [key, "parent_id"]).join(scored, ["language", "query"])
+    rows = rows.withColumn("anchors", sparse.anchors_of(F.col("items"))).withColumn("form", T.retrieval_form(F.col("snippet")))
     lang, items, anchors = F.col("language"), F.col("items"), F.col("anchors")
-    shown = T.terms(F.col("unit"))
-    hit = lambda xs: F.size(F.filter(xs, lambda a: F.exists(shown, lambda b: T.match_engine(a, b, lang))))
-    share = lambda xs: F.when(F.size(xs) == 0, F.lit(0.0)).otherwise(hit(xs) / F.size(xs))
-    # a term weighs its idf, at least 1 and at most 8
     weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(1.0), F.least(-x["neg"], F.lit(8.0))))
-    matched = F.filter(items, lambda x: F.exists(shown, lambda b: T.match_engine(x["term"], b, lang)))
-    coverage = F.when(F.size(items) == 0, F.lit(0.0)).otherwise(weight(matched) / weight(items))
-    phrase = (F.size(anchors) > 0) & F.contains(T.collapsed(T.folded(F.col("unit"))), F.array_join(anchors, " "))
+
+    def aligned(shown: Column) -> Column:
+        hit = lambda t: F.exists(shown, lambda b: T.match_engine(t, b, lang))
+        anchor = F.when(F.size(anchors) == 0, F.lit(0.0)).otherwise(F.size(F.filter(anchors, hit)) / F.size(anchors))
+        matched = F.filter(items, lambda x: hit(x["term"]))
+        coverage = F.when(F.size(items) == 0, F.lit(0.0)).otherwise(weight(matched) / weight(items))
+        return F.struct(anchor.alias("anchor_coverage"), coverage.alias("coverage"))
+
+    rows = rows.withColumn("a", T.let(T.terms(F.col("form")), aligned))
+    phrase = (F.size(anchors) > 0) & F.contains("form", F.array_join(anchors, " "))
     return rows.select(
-        "request_id", "parent_id", "evidence_id", "unit", "rrf", F.col("pack_score").alias("evidence"), share(anchors).alias("anchor_coverage"), coverage.alias("coverage"),
-        fusion.lanes_agree(F.col("lanes")).alias("agree"), phrase.alias("phrase"), F.size(anchors).alias("n_anchors"),
+        key, "parent_id", "query", "language", *candidates.FIELDS, "snippet", "rrf", "evidence", "a.anchor_coverage", "a.coverage", fusion.lanes_agree(F.col("lanes")).alias("agree"),
+        phrase.alias("phrase"), F.size(anchors).alias("n_anchors"),
     )
 
 
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    fused = fusion.fuse(fusion.lane_ranking(evidence(spark, folder)))
+    return _featured(_best(spark, folder), fused, read_corpus(spark, folder))
+
+
 def alignment_features(spark: SparkSession, folder: str) -> DataFrame:
     rows = _features(spark, folder)
     return rows.select("request_id", "parent_id", F.round("anchor_coverage", 6).alias("anchor_coverage"), F.round("coverage", 6).alias("coverage"), "agree", "phrase")
@@ -273,7 +302,7 @@ def rerank_v3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = fusion.rerank(_features(spark, folder)).select("request_id", "parent_id", F.col("new_rank").alias("rank"), T.collapsed(F.col("unit")).alias("snippet"))
+    ranked = fusion.rerank(_features(spark, folder)).select("request_id", "parent_id", F.col("new_rank").alias("rank"), "snippet")
     return fusion.packed(ranked)
 
 
@@ -281,19 +310,24 @@ def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
     return windows.evidence_windows(pairs(spark, folder).select("evidence_id", "query", "text", "language"), "evidence_id")
 
 
+def _packed(spark: SparkSession, folder: str, budget: int) -> DataFrame:
+    ranked = fusion.rerank(_features(spark, folder)).withColumn("rank", F.col("new_rank"))
+    return candidates.packed_blocks(ranked, budget, windows.CHARS, 2)
+
+
 def context_pack_v3(spark: SparkSession, folder: str) -> DataFrame:
-    """The windows of the first two reranked parents that have one; two windows and the gap always fit the budget of 490."""
-    ranked = fusion.rerank(_features(spark, folder).select("*")).select("request_id", "parent_id", "evidence_id", F.col("new_rank").alias("rank"))
-    rows = ranked.join(evidence_window(spark, folder), "evidence_id").where("window <> ''")
-    order = Window.partitionBy("request_id").orderBy("rank")
-    return rows.withColumn("block", F.row_number().over(order)).where("block <= 2").select("request_id", "block", "parent_id", "window")
+    """The snippets of the first two reranked parents; with their gap they always fit the budget of 490."""
+    return _packed(spark, folder, 490).select("request_id", "block", "parent_id", F.col("snippet").alias("window"))
+
+
+def context_pack_shrunk(spark: SparkSession, folder: str) -> DataFrame:
+    """The same under a budget of 350: what does not fit is cut to what is left; with what the response says of each block."""
+    return _packed(spark, folder, 350).select("request_id", "block", "parent_id", "chunk_id", "lane", "score", F.col("snippet").alias("window"))
 
 
 def input_guardrail(spark: SparkSession, folder: str) -> DataFrame:
-    """The first reason against each request: empty, too long, of another language, unsafe; null if there is none."""
-    q = F.col("query")
-    unsafe = q.rlike(r"(?i)\bhow\s+to\s+make\s+a?\s*(bomb|explosive)\b|\bkill\s+myself\b|\bsuicide\s+method\b|\bchild\s+sexual\b")
-    code = F.when(T.collapsed(q) == "", "empty_query").when(F.length(q) > 500, "query_too_long").when(~F.coalesce(F.col("language").isin("ta", "hi"), F.lit(False)), "unsupported_language").when(unsafe, "unsafe_content")
+    """The first reason against each request; null if there is none."""
+    code = input_code(F.col("query"), F.col("language"))
     return requests(spark, folder).select("request_id", code.alias("code"), code.isNull().alias("allowed"))
 
 
@@ -315,18 +349,55 @@ def answer_shape(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    """The log's different answers with the best evidence found for the same question, and whether it holds them."""
+def _contexts(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """``asked`` (language, query) with the best evidence found for the same question, its form, and its strongest unit.
+
+    (language, query, context, form, strong_forms, best, span): the forms of all strong units, and of the strongest unit,
+    if it is strong, the extracted span. Each question is worked on once, however many answers it has.
+    """
     found = pairs(spark, folder).where(F.col("score").isNotNull() & (F.trim("text") != ""))
     context = found.groupBy("query").agg(F.max_by("text", F.struct("score", "evidence_id")).alias("context"))
-    rows = answers(spark, folder).join(context, "query", "left").withColumn("answer", T.cleaned_answer(F.col("raw_answer")))
-    plain = lambda c: T.plain_form(T.folded(c))
-    held = F.coalesce(T.grounded(plain(F.col("answer")), plain(F.col("context"))), F.lit(False))
-    return rows.withColumn("grounded", held)
+    return understood(asked.join(context, "query").select("language", "query", "context"))
+
+
+def understood(rows: DataFrame) -> DataFrame:
+    """``rows`` (language, query, context) with lang, form, strong_forms, best and span of their context."""
+    rows = rows.withColumn("lang", F.coalesce("language", F.lit("")))
+    units = rows.select("lang", "query", "language", F.posexplode(T.evidence_units(T.evidence_sentences(F.col("context")))).alias("pos", "unit"))
+    judged = T.with_support(units, unit="unit")
+    first = F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("pos")).alias("first"))
+    best = judged.groupBy("lang", "query").agg(F.max_by(F.struct("unit", "strong"), first).alias("best"))
+    strong = judged.where("strong").withColumn("form", T.grounding_form(F.col("unit"))).groupBy("lang", "query").agg(F.collect_set("form").alias("strong_forms"))
+    joined = rows.withColumn("form", T.grounding_form(F.col("context"))).join(best, ["lang", "query"], "left").join(strong, ["lang", "query"], "left")
+    span = F.when(F.col("best.strong"), answer_span(F.col("query"), F.col("best.unit"), F.col("lang")))
+    return joined.withColumn("strong_forms", F.coalesce("strong_forms", F.array().cast("array<string>"))).withColumn("span", span)
+
+
+def _supported(form: Column) -> Column:
+    """A strong unit holds the answer, or the whole context does; false without a context."""
+    inside = F.exists("strong_forms", lambda unit: T.grounded(form, unit))
+    return F.coalesce(inside | T.grounded(form, F.col("form")), F.lit(False))
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """The log's different answers with the context of their question, and whether it holds them."""
+    rows = answers(spark, folder)
+    contexts = _contexts(spark, folder, rows.select("language", "query").distinct()).drop("language").withColumnRenamed("query", "q")
+    joined = rows.withColumn("l", F.coalesce("language", F.lit(""))).join(contexts, (F.col("l") == F.col("lang")) & (F.col("query") == F.col("q")), "left").drop("l", "q")
+    return joined.withColumn("answer", T.cleaned_answer(F.col("raw_answer"))).withColumn("answer_form", T.grounding_form(F.col("answer")))
 
 
 def answer_grounded(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged(spark, folder).select("language", "query", "raw_answer", "answer", "grounded")
+    held = F.coalesce(T.grounded(F.col("answer_form"), F.col("form")), F.lit(False))
+    return _judged(spark, folder).select("language", "query", "raw_answer", "answer", held.alias("grounded"))
+
+
+def engine_answer(spark: SparkSession, folder: str) -> DataFrame:
+    """The engine's own check: the cleaned answer as it stands in the context, else the sentinel."""
+    clean = T.engine_cleaned(F.col("raw_answer"))
+    rows = _judged(spark, folder).select("language", "query", "raw_answer", "form", clean.alias("clean")).withColumn("clean_form", T.grounding_form(F.col("clean")))
+    held = F.coalesce(T.engine_grounded(F.col("clean_form"), F.coalesce("form", F.lit(""))), F.lit(False))
+    return rows.select("language", "query", "raw_answer", F.when(held, F.col("clean")).otherwise(NOT_FOUND).alias("engine_answer"))
 
 
 def extract_answer(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,29 +406,29 @@ def extract_answer(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("evidence_id", F.col("a.span").alias("span"), F.col("a.confidence").alias("confidence"), F.col("a.method").alias("method"))
 
 
-def output_guardrail(spark: SparkSession, folder: str) -> DataFrame:
-    """The final answer: a sure span of the evidence, else the cleaned answer, else a likely span, else a message and the reason."""
-    lang = F.coalesce("language", F.lit(""))
-    a, q = F.col("answer"), F.col("query")
-    judged = _judged(spark, folder)
-    units = judged.select("language", "query", "context").distinct().where("context IS NOT NULL")
-    units = units.select("*", F.posexplode(T.evidence_units(T.evidence_sentences(F.col("context")))).alias("pos", "unit"))
-    best = F.max_by(F.struct("unit", "strong"), F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("pos")).alias("first")))
-    spans = T.with_support(units, unit="unit").groupBy("language", "query", "context").agg(best.alias("b"))
-    spans = spans.withColumn("s", answer_span(q, F.col("b.unit"), lang)).where("s IS NOT NULL")
-    plain = lambda c: T.plain_form(T.folded(c))
-    fine = T.shape_ok(F.col("s.span"), q, lang) & F.coalesce(T.grounded(plain(F.col("s.span")), plain(F.col("context"))), F.lit(False))
-    spans = spans.where(fine).select(F.col("language").alias("l"), F.col("query").alias("q"), "s", F.col("b.strong").alias("strong"))
-    rows = judged.join(spans, F.col("language").eqNullSafe(F.col("l")) & (F.col("query") == F.col("q")), "left")
+def guarded(rows: DataFrame) -> DataFrame:
+    """``rows`` with final_answer, source and code by the output ladder.
+
+    ``rows`` has language, query, raw_answer, truncated, answer and answer_form (cleaned), form, strong_forms and span. A sure
+    span of a strong unit comes first, then the cleaned answer, then a likely span, else a message and the reason.
+    """
+    lang, q = F.coalesce("language", F.lit("")), F.col("query")
     missing = F.trim("raw_answer").startswith(NOT_FOUND)
-    sure = F.coalesce(F.col("strong") & (F.col("s.confidence") >= 0.90), F.lit(False))
-    kept = ~missing & T.shape_ok(a, F.col("query"), lang) & F.col("grounded")
-    likely = F.col("s.span").isNotNull()
-    source = F.when(sure, "span").when(kept, "answer").when(likely, "repair").otherwise("message")
-    code = F.when(missing, "model_abstained").when(F.col("truncated"), "truncated_unsupported").when(T.echoes(a, F.col("query")), "question_echo").otherwise("unsupported_answer")
+    rows = rows.withColumn("missing", missing).withColumn("span_form", T.grounding_form(F.col("span.span")))
+    fine = F.coalesce(T.shape_ok(F.col("span.span"), q, lang) & _supported(F.col("span_form")), F.lit(False))
+    rows = rows.withColumn("sure", fine & (F.col("span.confidence") >= 0.90)).withColumn("likely", fine & (F.col("span.confidence") >= 0.60))
+    kept = ~F.col("missing") & (F.col("answer") != "") & T.shape_ok(F.col("answer"), q, lang) & _supported(F.col("answer_form"))
+    source = F.when(F.coalesce("sure", F.lit(False)), "span").when(F.coalesce(kept, F.lit(False)), "answer").when(F.coalesce("likely", F.lit(False)), "repair").otherwise("message")
+    echo = (F.col("answer") != "") & T.echoes(F.col("answer"), q)
+    code = F.when(F.col("missing"), "model_abstained").when(F.col("truncated"), "truncated_unsupported").when(echo, "question_echo").otherwise("unsupported_answer")
     message = by_language(lang, NOT_FOUND_MESSAGES, NOT_FOUND_MESSAGE)
-    final = F.when(sure | (~kept & likely), F.col("s.span")).when(kept, a).otherwise(message)
-    return rows.select("language", "query", "raw_answer", final.alias("final_answer"), source.alias("source"), F.when(source == "message", code).alias("code"))
+    rows = rows.withColumn("source", source)
+    final = F.when(F.col("source").isin("span", "repair"), F.col("span.span")).when(F.col("source") == "answer", F.col("answer")).otherwise(message)
+    return rows.withColumn("final_answer", final).withColumn("code", F.when(F.col("source") == "message", code))
+
+
+def output_guardrail(spark: SparkSession, folder: str) -> DataFrame:
+    return guarded(_judged(spark, folder)).select("language", "query", "raw_answer", "final_answer", "source", "code")
 
 
 def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,22 +449,22 @@ def recall_at_20(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.latency_report(log(spark, folder), ["language"], STAGES)
+    return evaluate.latency_report(log(spark, folder, "language", *STAGES), ["language"], STAGES)
 
 
 def under_200_share(spark: SparkSession, folder: str) -> DataFrame:
-    return log(spark, folder).groupBy("language", "run_id").agg(F.count(F.lit(1)).alias("n"), evaluate.share_under("full_rag_ttft_ms").alias("under_200"))
+    return log(spark, folder, "language", "run_id", "full_rag_ttft_ms").groupBy("language", "run_id").agg(F.count(F.lit(1)).alias("n"), evaluate.share_under("full_rag_ttft_ms").alias("under_200"))
 
 
 def abstention_report(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.abstention_report(log(spark, folder), ["language", "run_id"])
+    return evaluate.abstention_report(log(spark, folder, "language", "run_id", "hit_20", "packed_hit", "is_not_found", "possibly_truncated"), ["language", "run_id"])
 
 
 def failure_attribution(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     allowed, answered = c("output_guardrail_code").isNull(), ~c("is_not_found")
     raw = ~evaluate.abstained(c("raw_answer"), F.lit(True))
-    return evaluate.failure_report(log(spark, folder), evaluate.failure_class(c("recall_20") > 0, c("hit_20"), c("packed_hit"), raw, allowed, answered & c("packed_hit")))
+    return evaluate.failure_report(log(spark, folder, "recall_20", "hit_20", "packed_hit", "is_not_found", "raw_answer", "output_guardrail_code"), evaluate.failure_class(c("recall_20") > 0, c("hit_20"), c("packed_hit"), raw, allowed, answered & c("packed_hit")))
 
 
 def transcript_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -404,31 +475,105 @@ def stt_final_latency(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.final_latency(transcripts.frames(table(spark, folder, "events")))
 
 
+def input_code(query: Column, language: Column) -> Column:
+    """The first reason against a question: empty, too long, of another language, unsafe; null if there is none."""
+    code = F.when(T.collapsed(query) == "", "empty_query").when(F.length(query) > 500, "query_too_long")
+    return code.when(~F.coalesce(language.isin("ta", "hi"), F.lit(False)), "unsupported_language").when(query.rlike(UNSAFE), "unsafe_content")
+
+
+def dense_hits(vectors: DataFrame, metadata: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, view, rank, parent_id, chunk_id, score): nearest chunks of the same language for each view.
+
+    There is no model that embeds a question: the vector of the view's best sparse chunk that has one stands for it, and is
+    itself no hit.
+    """
+    named = metadata.where("vector_row IS NOT NULL").groupBy("vector_row").agg(F.min("parent_id").alias("parent_id"), F.min("chunk_id").alias("chunk_id"), F.min("language").alias("language"))
+    held = dense.usable_vectors(vectors).join(named, "vector_row")
+    by_chunk = held.where("chunk_id IS NOT NULL").groupBy("language", "chunk_id").agg(F.min("vector_row").alias("query_row"))
+    seeds = hits.join(by_chunk, ["language", "chunk_id"]).groupBy("query_id", "view", "language").agg(F.min_by("query_row", "rank").alias("query_row"))
+    found = None
+    for language in ("ta", "hi"):
+        own = held.where(F.col("language") == language).select("vector_row", "embedding")
+        asked = own.join(seeds.where(F.col("language") == language).select(F.col("query_row").alias("vector_row")).distinct(), "vector_row", "left_semi")
+        each = dense.exact_topk(asked, own)
+        found = each if found is None else found.unionByName(each)
+    joined = found.join(seeds.select("query_id", "view", "query_row"), "query_row").join(named.select("vector_row", "parent_id", "chunk_id"), "vector_row")
+    return joined.select("query_id", "view", "rank", "parent_id", "chunk_id", F.col("similarity").alias("score"))
+
+
+def _retrieved(spark: SparkSession, folder: str, questions: DataFrame) -> DataFrame:
+    """(query_id, lane, rank, parent_id, chunk_id, score): the parents of all lanes of all views."""
+    corpus = read_corpus(spark, folder)
+    hits = materialise(sparse.bm25(corpus, sparse.query_views(questions, corpus)))
+    lanes = None
+    for name, rows in (("sparse_", hits), ("dense_", dense_hits(table(spark, folder, "vectors"), table(spark, folder, "metadata"), hits))):
+        parents = sparse.collapse_parents(rows, ["query_id", "view"])
+        each = parents.select("query_id", F.concat(F.lit(name), "view").alias("lane"), F.col("parent_rank").alias("rank"), "parent_id", "chunk_id", F.col("score").cast("double").alias("score"))
+        lanes = each if lanes is None else lanes.unionByName(each)
+    return materialise(lanes)
+
+
+def rag_lanes(spark: SparkSession, folder: str) -> DataFrame:
+    """What each lane finds for each evaluation question."""
+    return _retrieved(spark, folder, read_queries(spark, folder)).select("query_id", "lane", "rank", "parent_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+BUDGET = 490
+
+
 def rag_response(spark: SparkSession, folder: str) -> DataFrame:
-    """Every evaluation question with its packed context, prompt, sources and the message where there is no context."""
+    """Every evaluation question through the whole path, a lazy batch: blocked questions go round it and come back at the end.
+
+    Input guardrail, views, sparse and dense lanes, fusion, best candidates with siblings, reranking, packing, grounding, and
+    the output ladder. No model generates: its answer is the abstention, so that answers are extracted spans or messages.
+    """
     corpus = read_corpus(spark, folder)
-    questions = read_queries(spark, folder)
-    hits = sparse.collapse_parents(sparse.bm25(corpus, _asked(spark, folder)), ["query_id"])
-    texts = corpus.select("language", "parent_id", "chunk_id", "text")
-    ranked = hits.where("parent_rank <= 20").join(texts, ["language", "parent_id", "chunk_id"])
-    ranked = ranked.select("query_id", F.col("parent_rank").alias("rank"), "parent_id", T.collapsed(F.col("text")).alias("snippet"))
-    blocks = fusion.packed(ranked, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("block", "parent_id", "snippet"))).alias("sources"))
-    rows = questions.join(blocks, "query_id", "left")
-    context = F.coalesce(F.array_join(F.col("sources.snippet"), "\n\n"), F.lit(""))
-    message = by_language(F.col("language"), NOT_FOUND_MESSAGES, NOT_FOUND_MESSAGE)
-    return rows.select(
-        "query_id", "language", context.alias("context"), F.coalesce(F.array_join(F.col("sources.parent_id"), ","), F.lit("")).alias("parents"),
-        F.concat(F.lit("Question: "), "query", F.lit("\nEvidence: "), context).alias("prompt"), F.when(context == "", message).alias("message"),
+    asked = read_queries(spark, folder).withColumn("input_code", input_code(F.col("query"), F.col("language")))
+    questions = asked.where("input_code IS NULL").select("query_id", "language", "query")
+    lanes = _retrieved(spark, folder, questions)
+    fused = materialise(fusion.fuse(lanes, "query_id"))
+    rows = lanes.join(fused.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_semi").withColumn("evidence_id", F.format_string("%s:%05d", "lane", "rank")).withColumn("text", F.lit(None).cast("string"))
+    merged = candidates.merged_evidence(rows, "query_id")
+    best = candidates.best_candidates(candidates.parent_candidates(merged, corpus, questions, "query_id"), questions, windows.CHARS, "query_id")
+    ranked = fusion.rerank(_featured(best, fused, corpus, "query_id"), "query_id").withColumn("rank", F.col("new_rank"))
+    blocks = candidates.packed_blocks(ranked, BUDGET, windows.CHARS, 2, "query_id")
+    shown = F.struct("block", "parent_id", "chunk_id", "lane", F.round("score", 6).alias("score"), "snippet")
+    packs = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("sources"))
+    context = F.array_join(F.col("sources.snippet"), "\n\n")
+    packed = materialise(questions.join(packs, "query_id").withColumn("context", context))
+    known = understood(packed.select("language", "query", "context").distinct()).drop("language", "context").withColumnRenamed("query", "q")
+    answered = packed.join(known, (F.col("language") == F.col("lang")) & (F.col("query") == F.col("q"))).drop("q", "lang")
+    answered = guarded(answered.withColumns({"raw_answer": F.lit(NOT_FOUND), "truncated": F.lit(False), "answer": F.lit(""), "answer_form": F.lit("")}))
+    out = asked.join(answered.select("query_id", "context", "sources", "final_answer", "source", "code"), "query_id", "left")
+    message = by_language(F.coalesce("language", F.lit("")), NOT_FOUND_MESSAGES, NOT_FOUND_MESSAGE)
+    code = F.coalesce("input_code", F.when(F.col("context").isNull(), "no_grounded_context"), "code")
+    context = F.coalesce("context", F.lit(""))
+    listed = lambda field: F.coalesce(F.array_join(F.transform(f"sources.{field}", lambda x: F.coalesce(x.cast("string"), F.lit("")) if field != "score" else F.coalesce(F.format_string("%.6f", x), F.lit(""))), ","), F.lit(""))
+    prompt = F.concat(F.lit(PROMPT), F.lit("\n\nEvidence: "), context, F.lit("\n\nQuestion: "), "query", F.lit("\n\nAnswer:"))
+    return out.select(
+        "query_id", "language", context.alias("context"), listed("parent_id").alias("parents"), listed("chunk_id").alias("chunks"), listed("lane").alias("lanes"),
+        prompt.alias("prompt"), F.coalesce("final_answer", message).alias("answer"), F.coalesce("source", F.lit("message")).alias("source"), code.alias("code"),
     )
 
 
+def packed_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a relevant parent was packed for each labelled question; labels are the parents that were evidence for it."""
+    questions = read_queries(spark, folder)
+    found = pairs(spark, folder).join(questions.select("query_id", "query"), "query").where("parent_id <> ''")
+    raw = found.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_set("parent_id"))).alias("relevant_parent_ids"))
+    labels = read_labels(raw.join(questions.select("query_id", "language"), "query_id").withColumn("analysis_type", F.lit(DEPTH_ANALYSIS)))
+    packed = rag_response(spark, folder).select("query_id", F.split("parents", ",").alias("packed"))
+    rows = evaluate.with_labels(packed, labels).withColumn("relevant", evaluate.parsed_list(F.col("relevant_parent_ids")))
+    return rows.select("query_id", F.size("relevant").cast("bigint").alias("n_relevant"), evaluate.packed_hit(F.col("packed"), F.col("relevant")).alias("packed_hit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         validate_chunks, validate_vectors, embedding_report, tokenize_stats, content_terms, informative_terms, required_anchors, fuzzy_matches, grounding_form,
         chunk_fixed, postings, term_df, corpus_stats, idf_proxy, bm25_chunk_topk, bm25_parent_collapse, anchor_terms, query_views, sparse_lanes, sparse_fused,
-        vector_topk_cosine, dense_parent_collapse, lane_ranking, rrf_v3, rrf_v1, ranking_parity, support_signal, evidence_sentences, evidence_units, strongest_unit,
-        alignment_features, rerank_v3, context_pack, evidence_window, context_pack_v3, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, extract_answer, output_guardrail, hash_sample, parse_list,
-        recall_at_20, latency_percentiles, under_200_share, abstention_report, failure_attribution, transcript_events, stt_final_latency, rag_response,
+        vector_topk_cosine, dense_parent_collapse, lane_ranking, rrf_v3, rrf_v1, ranking_parity, support_signal, evidence_sentences, evidence_units, strongest_unit, merged_evidence, best_candidate,
+        alignment_features, rerank_v3, context_pack, evidence_window, context_pack_v3, context_pack_shrunk, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, engine_answer, extract_answer, output_guardrail, hash_sample, parse_list,
+        recall_at_20, latency_percentiles, under_200_share, abstention_report, failure_attribution, transcript_events, stt_final_latency, rag_lanes, rag_response, packed_hits,
     )
 }

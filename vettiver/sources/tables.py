@@ -53,3 +53,12 @@ def read_queries(spark: SparkSession, folder: str, name: str = "validation_queri
         F.col("language"),
         F.col(resolve_column(raw, QUERY_ALIASES)).alias("query"),
     )
+
+
+DEPTH_ANALYSIS = "candidate_depth_100"
+
+
+def read_labels(raw: DataFrame) -> DataFrame:
+    """Relevance labels as (query_id, language, relevant_parent_ids string): of the deep analysis only, where the table has several."""
+    rows = raw.where(F.col("analysis_type") == DEPTH_ANALYSIS) if "analysis_type" in raw.columns else raw
+    return rows.select(F.col("query_id").cast("string").alias("query_id"), "language", F.col("relevant_parent_ids").cast("string").alias("relevant_parent_ids"))

@@ -7,7 +7,7 @@ after an hour without frames, so that state does not grow for ever.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,3 +75,43 @@ def stream_final_latency(rows: DataFrame) -> DataFrame:
     return read.select("session", "ts", "seq", "kind").groupBy("session").applyInPandasWithState(
         _advance, "session bigint, seq bigint, latency_ms double", "first bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+LANGUAGES = ("ta", "hi")
+
+
+def opened(sessions: DataFrame) -> DataFrame:
+    """(session, language, error): a session's language, 'ta' where none is named; one that is not served is an error row."""
+    language = F.coalesce("language", F.lit("ta"))
+    return sessions.select("session", language.alias("language"), F.when(~language.isin(*LANGUAGES), F.concat(F.lit("unsupported_language: "), language)).alias("error"))
+
+
+def spoken_queries(rows: DataFrame) -> DataFrame:
+    """(request_id, query): every final transcript that is not blank asks a query."""
+    finals = typed(rows).where(F.col("is_final") & (F.trim("text") != ""))
+    return finals.select(F.concat_ws("-", "session", "seq").alias("request_id"), F.trim("text").alias("query"))
+
+
+def encoded_audio(rows: DataFrame) -> DataFrame:
+    """(session, seq, audio): the audio frames' bytes as the speech service takes them."""
+    read = rows.withColumn("kind", F.from_json("frame", "kind string, text string")["kind"]).where("kind = 'audio'")
+    return read.select("session", "seq", F.base64(F.encode("frame", "UTF-8")).alias("audio"))
+
+
+def answer_stream(rows: DataFrame, ask: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start the stream of spoken queries: ``ask`` gets each micro-batch (request_id, query) and its number once."""
+    return spoken_queries(rows).writeStream.foreachBatch(ask).option("checkpointLocation", checkpoint).start()
+
+
+def load_stream(chunks: DataFrame, path: str, checkpoint: str):
+    """Load chunk files as they come: each micro-batch adds the chunks that the table at ``path`` does not have yet."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(["chunk_id"])
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            rows = rows.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
+        rows.write.mode("append").parquet(path)
+
+    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
