@@ -31,3 +31,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over all shuffle partitions by ``columns``: for work on rows that weighs more than their bytes.
+
+    Adaptive execution joins partitions by their bytes; texts of a few megabytes would be worked on in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -108,7 +108,7 @@ def matched_count(asked: Column, shown: Column, match) -> Column:
 
 
 def _any_in(text: Column, markers: Column) -> Column:
-    return let(text, lambda t: F.exists(markers, lambda m: F.contains(t, m)))
+    return F.exists(markers, lambda m: F.contains(text, m))
 
 
 def numbers(text: Column) -> Column:
@@ -117,21 +117,29 @@ def numbers(text: Column) -> Column:
 
 def constraints_met(query: Column, text: Column, language: Column) -> Column:
     """Asked-for markers, "only" and numbers of the query are in the text."""
-    q, t = folded(query), folded(text)
+    both = F.struct(folded(query).alias("q"), folded(text).alias("t"), numbers(query).alias("asked"), numbers(text).alias("shown"))
+    return let(both, lambda x: _constraints(x["q"], x["t"], x["asked"], x["shown"], language))
+
+
+def _constraints(q: Column, t: Column, asked: Column, shown: Column, language: Column) -> Column:
     met = F.lit(True)
     for key, pairs in MANDATORY.items():
         here = F.lit(True)
         for markers in pairs:
-            asked = F.array(*map(F.lit, markers))
-            here = here & (~_any_in(q, asked) | _any_in(t, asked))
+            some = F.array(*map(F.lit, markers))
+            here = here & (~_any_in(q, some) | _any_in(t, some))
         met = met & ((language != key) | here)
     only = ~_any_in(q, words_of(language, ONLY_ASKED)) | _any_in(t, words_of(language, ONLY_SHOWN))
-    return met & only & (F.size(F.array_except(numbers(query), numbers(text))) == 0)
+    return met & only & (F.size(F.array_except(asked, shown)) == 0)
 
 
 def contradicts(query: Column, text: Column, language: Column) -> Column:
     """A superlative is asked for and an ordinal shown."""
-    return _any_in(folded(query), words_of(language, SUPERLATIVES)) & _any_in(folded(text), words_of(language, ORDINALS))
+    return let(F.struct(folded(query).alias("q"), folded(text).alias("t")), lambda x: _contradiction(x["q"], x["t"], language))
+
+
+def _contradiction(q: Column, t: Column, language: Column) -> Column:
+    return _any_in(q, words_of(language, SUPERLATIVES)) & _any_in(t, words_of(language, ORDINALS))
 
 
 def required_anchors(query: Column, language: Column) -> Column:
@@ -194,11 +202,14 @@ def support(query: Column, unit: Column, language: Column) -> Column:
         matched = F.size(F.filter(x["asked"], lambda a: F.exists(x["shown"], lambda b: match_evidence(a, b)))).cast("bigint")
         anchors = F.forall(x["anchors"], lambda a: F.exists(x["shown"], lambda b: match_evidence(a, b)))
         return F.struct(
-            x["asked"].alias("asked"), matched.alias("matched"), anchors.alias("anchors_ok"), constraints_met(query, unit, language).alias("constraints_ok"),
-            contradicts(query, unit, language).alias("contradiction"), is_list_item(unit).alias("listed"),
+            x["asked"].alias("asked"), matched.alias("matched"), anchors.alias("anchors_ok"), is_list_item(unit).alias("listed"),
+            _constraints(x["q"], x["t"], x["numbers_asked"], x["numbers"], language).alias("constraints_ok"), _contradiction(x["q"], x["t"], language).alias("contradiction"),
         )
 
-    known = F.struct(informative_terms(query, language).alias("asked"), terms(unit).alias("shown"), required_anchors(query, language).alias("anchors"))
+    known = F.struct(
+        informative_terms(query, language).alias("asked"), terms(unit).alias("shown"), required_anchors(query, language).alias("anchors"), folded(query).alias("q"), folded(unit).alias("t"),
+        numbers(query).alias("numbers_asked"), numbers(unit).alias("numbers"),
+    )
     return let(let(known, looked), judged)
 
 
@@ -216,7 +227,7 @@ def pack_score(score: Column, strong: Column, ok: Column) -> Column:
 
 
 def expects_number(query: Column, language: Column) -> Column:
-    return _any_in(folded(query), words_of(language, NUMBER_MARKERS))
+    return let(folded(query), lambda q: _any_in(q, words_of(language, NUMBER_MARKERS)))
 
 
 def answer_type_ok(query: Column, answer: Column, language: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vettiver.functions.shared import materialise
+from vettiver.functions.shared import materialise, spread
 from vettiver.operators.windows import evidence_windows, pack_scores
 
 SIBLING = "sibling"
@@ -50,7 +50,7 @@ def parent_candidates(merged: DataFrame, chunks: DataFrame, asked: DataFrame, ke
 
 def asked_texts(rows: DataFrame) -> DataFrame:
     """(query, language, text) once each with an ``id``: what is scored is scored once, however many requests repeat it."""
-    return rows.select("query", "language", "text").distinct().withColumn("id", text_id())
+    return spread(rows.select("query", "language", "text").distinct().withColumn("id", text_id()), "id")
 
 
 def text_id(*more: Column) -> Column:
@@ -72,7 +72,7 @@ def best_candidates(candidates: DataFrame, asked: DataFrame, chars: int, key: st
     best = materialise(scored.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "pack", "place"))
     windows = materialise(evidence_windows(asked_texts(best), "id", chars).where("window <> ''"))
     shown = best.join(windows, "id").withColumnRenamed("window", "snippet")
-    own = shown.select("query", "language", F.col("snippet").alias("text")).distinct().withColumn("sid", text_id())
+    own = asked_texts(shown.select("query", "language", F.col("snippet").alias("text"))).withColumnRenamed("id", "sid")
     value = pack_scores(own, ["sid"], "text").withColumnRenamed("pack", "evidence")
     sid = F.sha2(F.concat_ws("\u0001", F.coalesce("language", F.lit("")), "query", "snippet"), 256)
     # a question with a snippet has its score once

@@ -11,7 +11,7 @@ from vettiver.functions import text as T
 from vettiver.functions.extract import answer_span
 from vettiver.functions.lexicon import NOT_FOUND, NOT_FOUND_MESSAGE, NOT_FOUND_MESSAGES, PROMPT, UNSAFE, by_language
 from vettiver.operators import candidates, dense, evaluate, fusion, sparse, windows
-from vettiver.functions.shared import materialise
+from vettiver.functions.shared import materialise, spread
 from vettiver.sources.tables import DEPTH_ANALYSIS, read_corpus, read_labels, read_queries, table
 from vettiver.streaming import transcripts
 
@@ -35,7 +35,7 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each piece of evidence with the request it was found for."""
-    return evidence(spark, folder).join(requests(spark, folder), "request_id")
+    return spread(evidence(spark, folder).join(requests(spark, folder), "request_id"), "evidence_id")
 
 
 def log(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -46,7 +46,7 @@ def log(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """(language, query, raw_answer, truncated): the different answers of the log."""
     rows = table(spark, folder, "full_rag_t4_per_query").where("query IS NOT NULL AND raw_answer IS NOT NULL")
-    return rows.groupBy("language", "query", "raw_answer").agg(F.max("possibly_truncated").alias("truncated"))
+    return spread(rows.groupBy("language", "query", "raw_answer").agg(F.max("possibly_truncated").alias("truncated")), "raw_answer")
 
 
 def validate_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -267,7 +267,7 @@ def _featured(best: DataFrame, fused: DataFrame, corpus: DataFrame, key: str = "
     asked = best.select("language", F.col("query").alias("asked")).distinct().withColumn("query", T.retrieval_form(F.col("asked")))
     scored = sparse.scored_terms(asked, corpus, "asked").select("language", F.col("asked").alias("query"), "items")
     rows = fused.select(key, "parent_id", "rrf", "lanes").join(best, [key, "parent_id"]).join(scored, ["language", "query"])
-    rows = rows.withColumn("anchors", sparse.anchors_of(F.col("items"))).withColumn("form", T.retrieval_form(F.col("snippet")))
+    rows = spread(rows, key, "parent_id").withColumn("anchors", sparse.anchors_of(F.col("items"))).withColumn("form", T.retrieval_form(F.col("snippet")))
     lang, items, anchors = F.col("language"), F.col("items"), F.col("anchors")
     weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.greatest(F.lit(1.0), F.least(-x["neg"], F.lit(8.0))))
 
@@ -362,7 +362,7 @@ def _contexts(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
 
 def understood(rows: DataFrame) -> DataFrame:
     """``rows`` (language, query, context) with lang, form, strong_forms, best and span of their context."""
-    rows = rows.withColumn("lang", F.coalesce("language", F.lit("")))
+    rows = spread(rows.withColumn("lang", F.coalesce("language", F.lit(""))), "query")
     units = rows.select("lang", "query", "language", F.posexplode(T.evidence_units(T.evidence_sentences(F.col("context")))).alias("pos", "unit"))
     judged = T.with_support(units, unit="unit")
     first = F.struct("strong", "score", F.round("coverage", 9), "matched", (-F.col("pos")).alias("first"))
@@ -384,6 +384,7 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     rows = answers(spark, folder)
     contexts = _contexts(spark, folder, rows.select("language", "query").distinct()).drop("language").withColumnRenamed("query", "q")
     joined = rows.withColumn("l", F.coalesce("language", F.lit(""))).join(contexts, (F.col("l") == F.col("lang")) & (F.col("query") == F.col("q")), "left").drop("l", "q")
+    joined = spread(joined, "raw_answer")
     return joined.withColumn("answer", T.cleaned_answer(F.col("raw_answer"))).withColumn("answer_form", T.grounding_form(F.col("answer")))
 
 
@@ -460,11 +461,68 @@ def abstention_report(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.abstention_report(log(spark, folder, "language", "run_id", "hit_20", "packed_hit", "is_not_found", "possibly_truncated"), ["language", "run_id"])
 
 
+def expected_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, language, expected): of each evaluation question the answer that was most often given on packed evidence."""
+    rows = log(spark, folder, "query_id", "packed_hit", "is_not_found", "output_guardrail_code", "answer").where("packed_hit AND NOT is_not_found AND output_guardrail_code IS NULL AND answer <> ''")
+    counted = rows.groupBy("query_id", "answer").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("query_id").agg(F.min_by("answer", F.struct((-F.col("n")).alias("n"), "answer")).alias("expected"))
+    return read_queries(spark, folder).select("query_id", "language").join(best, "query_id")
+
+
+def corpus_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, expected): the expected answers that some chunk of the language holds.
+
+    Every chunk is looked at once, with the answers of its language as one array: the evaluation questions are a fixed set.
+    """
+    wanted = expected_answers(spark, folder).withColumn("form", T.without_endings(T.grounding_form(F.col("expected")))).where("form <> ''")
+    lists = wanted.groupBy("language").agg(F.collect_list(F.struct("query_id", "expected", "form")).alias("wanted"))
+    chunks = read_corpus(spark, folder).select("language", T.grounding_form(F.col("text")).alias("shown"))
+    held = chunks.join(lists, "language").select(F.explode(F.filter("wanted", lambda x: F.contains(F.col("shown"), x["form"]))).alias("x"))
+    return held.select("x.query_id", "x.expected").distinct()
+
+
 def failure_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    """How many results were lost at each stage: the expected answer is looked for in the corpus, the raw and the final answer."""
     c = F.col
-    allowed, answered = c("output_guardrail_code").isNull(), ~c("is_not_found")
-    raw = ~evaluate.abstained(c("raw_answer"), F.lit(True))
-    return evaluate.failure_report(log(spark, folder, "recall_20", "hit_20", "packed_hit", "is_not_found", "raw_answer", "output_guardrail_code"), evaluate.failure_class(c("recall_20") > 0, c("hit_20"), c("packed_hit"), raw, allowed, answered & c("packed_hit")))
+    rows = log(spark, folder, "query_id", "hit_20", "packed_hit", "answer", "raw_answer", "output_guardrail_code")
+    known = expected_answers(spark, folder).select("query_id", T.grounding_form(c("expected")).alias("form")).join(corpus_hits(spark, folder).select("query_id", F.lit(True).alias("in_corpus")), "query_id", "left")
+    rows = rows.join(known, "query_id", "left").withColumns({"raw": T.grounding_form(c("raw_answer")), "final": T.grounding_form(c("answer"))})
+    true = lambda x: F.coalesce(x, F.lit(False))
+    failure = evaluate.failure_class(
+        true(c("in_corpus")), true(c("hit_20")), true(c("packed_hit")), T.contains_expected(c("form"), c("raw")), c("output_guardrail_code").isNull(), T.contains_expected(c("form"), c("final"))
+    )
+    return evaluate.failure_report(rows, failure)
+
+
+def latency_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each result the time to the first token and to the end, summed up from its stages where it was not logged, and the rest."""
+    c = lambda x: F.when(~F.isnan(x), F.col(x))
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    stages = ("retrieval_ms", "context_ms", "prompt_prep_ms", "model_first_token_ms")
+    rows = log(spark, folder, "full_rag_ttft_ms", "full_rag_complete_ms", "generation_ttft_ms", *stages)
+    first = F.coalesce(c("full_rag_ttft_ms"), sum((zero(x) for x in stages), F.lit(0.0)))
+    complete = F.coalesce(c("full_rag_complete_ms"), zero("retrieval_ms") + zero("context_ms") + zero("generation_ttft_ms"))
+    rest = F.greatest(complete - sum((zero(x) for x in stages), F.lit(0.0)), F.lit(0.0))
+    return rows.where("result_id IS NOT NULL").select("result_id", F.round(first, 6).alias("ttft_ms"), F.round(complete, 6).alias("complete_ms"), F.round(rest, 6).alias("overhead_ms"))
+
+
+SAMPLES = 5
+
+
+def sample_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first five questions of each language that have a result, with their first result's answer."""
+    rows = log(spark, folder, "language", "query_id", "answer").where("query_id IS NOT NULL")
+    first = rows.groupBy("language", "query_id").agg(F.min_by("answer", F.struct("result_id", "answer")).alias("answer"))
+    nth = F.row_number().over(Window.partitionBy("language").orderBy("query_id"))
+    return first.withColumn("nth", nth).where(F.col("nth") <= SAMPLES).select("language", "nth", "query_id", "answer")
+
+
+def spoken_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.spoken_queries(transcripts.frames(table(spark, folder, "events")))
+
+
+def encoded_audio(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.encoded_audio(transcripts.frames(table(spark, folder, "events")))
 
 
 def transcript_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -574,6 +632,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_fixed, postings, term_df, corpus_stats, idf_proxy, bm25_chunk_topk, bm25_parent_collapse, anchor_terms, query_views, sparse_lanes, sparse_fused,
         vector_topk_cosine, dense_parent_collapse, lane_ranking, rrf_v3, rrf_v1, ranking_parity, support_signal, evidence_sentences, evidence_units, strongest_unit, merged_evidence, best_candidate,
         alignment_features, rerank_v3, context_pack, evidence_window, context_pack_v3, context_pack_shrunk, input_guardrail, grounding_guardrail, answer_shape, answer_grounded, engine_answer, extract_answer, output_guardrail, hash_sample, parse_list,
-        recall_at_20, latency_percentiles, under_200_share, abstention_report, failure_attribution, transcript_events, stt_final_latency, rag_lanes, rag_response, packed_hits,
+        recall_at_20, latency_percentiles, under_200_share, abstention_report, expected_answers, corpus_hits, failure_attribution, latency_accounting, sample_answers, spoken_queries, encoded_audio, transcript_events, stt_final_latency, rag_lanes, rag_response, packed_hits,
     )
 }

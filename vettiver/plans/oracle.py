@@ -410,6 +410,15 @@ SELECT query_id, language, coalesce(context, '') AS context, coalesce(parents, '
   CASE WHEN fine THEN sp ELSE {_by('language', L.NOT_FOUND_MESSAGES, _q(L.NOT_FOUND_MESSAGE), _q)} END AS answer, CASE WHEN fine AND conf >= 0.90 THEN 'span' WHEN fine THEN 'repair' ELSE 'message' END AS source,
   CASE WHEN context IS NULL THEN 'no_grounded_context' WHEN fine THEN NULL ELSE 'model_abstained' END AS code FROM o2"""
 
+EXPECTED = f"""{LOG}, x1 AS (SELECT query_id, answer, count(*) AS n FROM log WHERE packed_hit AND NOT is_not_found AND output_guardrail_code IS NULL AND answer <> '' GROUP BY ALL),
+x2 AS (SELECT query_id, answer AS expected, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, answer) AS nth FROM x1),
+expected AS (SELECT v.query_id, v.language, x.expected, {_bare(grounding_form('x.expected'))} AS bare FROM validation_queries v JOIN x2 x USING (query_id) WHERE nth = 1),
+forms AS (SELECT language, {grounding_form('text')} AS shown FROM corpus),
+found AS (SELECT e.query_id, e.expected FROM expected e WHERE bare <> '' AND EXISTS (SELECT 1 FROM forms f WHERE f.language = e.language AND contains(f.shown, e.bare)))"""
+_NUM = "CASE WHEN NOT isnan({0}) THEN {0} END"
+_ZERO = "coalesce(CASE WHEN NOT isnan({0}) THEN {0} END, 0)"
+_STAGES = " + ".join(_ZERO.format(x) for x in ("retrieval_ms", "context_ms", "prompt_prep_ms", "model_first_token_ms"))
+
 ORACLE_SQL: dict[str, str] = {
     "validate_chunks": f"WITH {CORPUS} SELECT language, count(*) AS n_chunks, count(DISTINCT parent_id) AS n_parents, count(*) FILTER (WHERE chunk_id IS NULL) AS n_null_ids, count(*) FILTER (WHERE trim(text) = '') AS n_blank FROM corpus GROUP BY language",
     "validate_vectors": f"WITH {USABLE}, r AS (SELECT DISTINCT vector_row FROM vectors), j AS (SELECT r.vector_row, r.vector_row IN (SELECT vector_row FROM usable) AS u, r.vector_row IN (SELECT vector_row FROM metadata) AS m FROM r) SELECT count(*) AS n_rows, count(*) FILTER (WHERE u) AS n_usable, count(*) FILTER (WHERE m) AS n_named, count(*) FILTER (WHERE u AND m) AS n_ready FROM j",
@@ -462,7 +471,13 @@ ORACLE_SQL: dict[str, str] = {
     "latency_percentiles": f"WITH {LOG}, u AS ({' UNION ALL '.join(f'SELECT language, {_q(s)} AS stage, {s} AS ms FROM log' for s in STAGES)}) SELECT language, stage, count(*) AS n, {_PCT.format(0.5)} AS p50, {_PCT.format(0.7)} AS p70, {_PCT.format(0.9)} AS p90, {_PCT.format(0.95)} AS p95, {_PCT.format(0.99)} AS p99, max(ms) AS p100, round(avg(ms), 6) AS mean FROM u WHERE ms IS NOT NULL AND NOT isnan(ms) GROUP BY language, stage",
     "under_200_share": f"WITH {LOG} SELECT language, run_id, count(*) AS n, round(avg(CASE WHEN full_rag_ttft_ms IS NULL OR isnan(full_rag_ttft_ms) THEN NULL WHEN full_rag_ttft_ms < 200 THEN 1.0 ELSE 0.0 END) * 100, 6) AS under_200 FROM log GROUP BY language, run_id",
     "abstention_report": f"WITH {LOG} SELECT language, run_id, count(*) AS n, round(avg(hit_20::INT), 9) AS hit_rate, round(avg(packed_hit::INT), 9) AS packed_rate, round(avg(is_not_found::INT), 9) AS not_found_rate, round(avg((packed_hit AND is_not_found)::INT), 9) AS false_abstention, round(avg(possibly_truncated::INT), 9) AS truncation_rate, round(sum((packed_hit AND NOT is_not_found)::INT) / greatest(sum(packed_hit::INT), 1), 9) AS answer_rate FROM log GROUP BY language, run_id",
-    "failure_attribution": f"WITH {LOG}, b AS (SELECT recall_20 > 0 AS corpus, hit_20 AS retrieved, packed_hit AS packed, coalesce(NOT starts_with(raw_answer, '{L.NOT_FOUND}'), false) AS raw, output_guardrail_code IS NULL AS allowed, NOT is_not_found AND packed_hit AS final FROM log), c AS (SELECT CASE WHEN final AND allowed THEN 'PASS' WHEN NOT corpus THEN 'CORPUS_MISS' WHEN NOT retrieved THEN 'RETRIEVAL_MISS' WHEN NOT packed THEN 'CONTEXT_PACKING_MISS' WHEN NOT raw THEN 'GENERATION_MISS' WHEN NOT allowed OR NOT final THEN 'GROUNDING_REJECTION' ELSE 'UNKNOWN' END AS failure FROM b), d AS (SELECT unnest(['PASS', 'CORPUS_MISS', 'RETRIEVAL_MISS', 'CONTEXT_PACKING_MISS', 'GENERATION_MISS', 'GROUNDING_REJECTION', 'UNKNOWN']) AS failure), n AS (SELECT d.failure, count(c.failure) AS n FROM d LEFT JOIN c ON d.failure = c.failure GROUP BY d.failure) SELECT failure, n, round(n * 100.0 / greatest(sum(n) OVER (), 1), 6) AS percent FROM n",
+    "expected_answers": f"WITH {CORPUS}, {EXPECTED} SELECT query_id, language, expected FROM expected",
+    "corpus_hits": f"WITH {CORPUS}, {EXPECTED} SELECT query_id, expected FROM found",
+    "latency_accounting": f"WITH {LOG}, a AS (SELECT result_id, coalesce({_NUM.format('full_rag_ttft_ms')}, {_STAGES}) AS t, coalesce({_NUM.format('full_rag_complete_ms')}, {_ZERO.format('retrieval_ms')} + {_ZERO.format('context_ms')} + {_ZERO.format('generation_ttft_ms')}) AS c, {_STAGES} AS s FROM log WHERE result_id IS NOT NULL) SELECT result_id, round(t, 6) AS ttft_ms, round(c, 6) AS complete_ms, round(greatest(c - s, 0), 6) AS overhead_ms FROM a",
+    "sample_answers": f"WITH {LOG}, a AS (SELECT language, query_id, answer, row_number() OVER (PARTITION BY language, query_id ORDER BY result_id, answer) AS k FROM log WHERE query_id IS NOT NULL), b AS (SELECT language, query_id, answer, row_number() OVER (PARTITION BY language ORDER BY query_id) AS nth FROM a WHERE k = 1) SELECT language, CAST(nth AS INTEGER) AS nth, query_id, answer FROM b WHERE nth <= 5",
+    "spoken_queries": "WITH e AS (SELECT DISTINCT user_id, event_id, event_type, props FROM events) SELECT user_id || '-' || event_id AS request_id, trim(props) AS query FROM e WHERE event_type = 'purchase' AND trim(props) <> ''",
+    "encoded_audio": """WITH e AS (SELECT DISTINCT user_id, event_id, event_type, props FROM events) SELECT user_id AS session, event_id AS seq, to_base64(encode(CASE WHEN props IS NULL THEN '{"kind":"audio"}' ELSE '{"kind":"audio","text":' || to_json(props) || '}' END)) AS audio FROM e WHERE event_type = 'view'""",
+    "failure_attribution": f"WITH {CORPUS}, {EXPECTED}, b AS (SELECT f.query_id IS NOT NULL AS corpus, coalesce(hit_20, false) AS retrieved, coalesce(packed_hit, false) AS packed, coalesce(e.bare <> '' AND contains({grounding_form('l.raw_answer')}, e.bare), false) AS raw, output_guardrail_code IS NULL AS allowed, coalesce(e.bare <> '' AND contains({grounding_form('l.answer')}, e.bare), false) AS final FROM log l LEFT JOIN expected e ON e.query_id = l.query_id LEFT JOIN found f ON f.query_id = l.query_id), c AS (SELECT CASE WHEN final AND allowed THEN 'PASS' WHEN NOT corpus THEN 'CORPUS_MISS' WHEN NOT retrieved THEN 'RETRIEVAL_MISS' WHEN NOT packed THEN 'CONTEXT_PACKING_MISS' WHEN NOT raw THEN 'GENERATION_MISS' WHEN NOT allowed OR NOT final THEN 'GROUNDING_REJECTION' ELSE 'UNKNOWN' END AS failure FROM b), d AS (SELECT unnest(['PASS', 'CORPUS_MISS', 'RETRIEVAL_MISS', 'CONTEXT_PACKING_MISS', 'GENERATION_MISS', 'GROUNDING_REJECTION', 'UNKNOWN']) AS failure), n AS (SELECT d.failure, count(c.failure) AS n FROM d LEFT JOIN c ON d.failure = c.failure GROUP BY d.failure) SELECT failure, n, round(n * 100.0 / greatest(sum(n) OVER (), 1), 6) AS percent FROM n",
     "transcript_events": f"WITH {FRAMES} SELECT session, ts, kind AS event, kind = 'final' AS is_final FROM frames WHERE kind IN ('partial', 'final', 'begin', 'end', 'error')",
     "stt_final_latency": f"WITH {FRAMES}, w AS (SELECT *, min(ts) FILTER (WHERE kind = 'audio') OVER (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS first_audio FROM frames) SELECT session, seq, round((epoch_us(ts) - epoch_us(first_audio)) / 1000, 3) AS latency_ms FROM w WHERE kind = 'final'",
     "rag_lanes": f"WITH {RAG_LANES} SELECT request_id AS query_id, lane, rnk AS rank, parent_id, chunk_id, round(score, 6) AS score FROM lanes",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vettiver.functions.shared import spread
+
 TEXT_ALIASES = ("text", "chunk_text", "content")
 QUERY_ALIASES = ("query", "translated_query", "target_query", "Query")
 QUERY_ID_ALIASES = ("query_id", "id")
@@ -37,7 +39,7 @@ def read_chunks(spark: SparkSession, folder: str, name: str, language: str) -> D
         (F.col("chunk_id") if "chunk_id" in raw.columns else F.lit(None)).cast("string").alias("chunk_id"),
         F.coalesce(F.col(resolve_column(raw, TEXT_ALIASES)).cast("string"), F.lit("")).alias("text"),
     )
-    return chunks.distinct()
+    return spread(chunks, *chunks.columns).distinct()
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
