@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from vettiver.streaming import transcripts
 
 
@@ -30,3 +32,32 @@ def test_stream_equals_table(spark, tmp_path):
     want = {(r["session"], r["seq"], r["latency_ms"]) for r in transcripts.final_latency(df).collect()}
     assert got == want and len(want) == 8
     assert (1, 100, None) in want and (1, 103, 2000.0) in want
+
+
+def frame_table(spark, kinds):
+    out = [(1, f"2026-01-01 00:00:{i:02d}", i, json.dumps({"kind": k, "text": t})) for i, (k, t) in enumerate(kinds)]
+    return spark.createDataFrame(out, "session bigint, ts string, seq bigint, frame string").selectExpr("session", "CAST(ts AS timestamp) AS ts", "seq", "frame")
+
+
+def test_end_clears_the_state(spark, tmp_path):
+    for i, kinds in enumerate([[("audio", ""), ("final", "a"), ("end", "")], [("final", "b")]]):
+        frame_table(spark, kinds).withColumn("seq", F.col("seq") + 10 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("session bigint, ts timestamp, seq bigint, frame string").parquet(str(tmp_path / "in"))
+        query = transcripts.stream_final_latency(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert {(r["seq"], r["latency_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1000.0), (10, None)}
+
+
+def test_finals_ask_and_sessions_open(spark):
+    df = frame_table(spark, [("audio", ""), ("partial", "who"), ("final", " who left? "), ("final", " ")])
+    assert [tuple(r) for r in transcripts.spoken_queries(df).collect()] == [("1-2", "who left?")]
+    got = transcripts.opened(spark.createDataFrame([(1, None), (2, "hi"), (3, "xx")], "session bigint, language string")).collect()
+    assert [(r["language"], r["error"]) for r in sorted(got)] == [("ta", None), ("hi", None), ("xx", "unsupported_language: xx")]
+
+
+def test_chunks_are_loaded_once_as_they_come(spark, tmp_path):
+    schema = "chunk_id string, text string"
+    for rows in ([("a", "x"), ("a", "x"), ("b", "y")], [("b", "y"), ("c", "z")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        transcripts.load_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert sorted(r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
