@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
+import pandas as pd
 
 from vettiver.streaming import transcripts
 
@@ -39,13 +39,31 @@ def frame_table(spark, kinds):
     return spark.createDataFrame(out, "session bigint, ts string, seq bigint, frame string").selectExpr("session", "CAST(ts AS timestamp) AS ts", "seq", "frame")
 
 
-def test_end_clears_the_state(spark, tmp_path):
-    for i, kinds in enumerate([[("audio", ""), ("final", "a"), ("end", "")], [("final", "b")]]):
-        frame_table(spark, kinds).withColumn("seq", F.col("seq") + 10 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("session bigint, ts timestamp, seq bigint, frame string").parquet(str(tmp_path / "in"))
-        query = transcripts.stream_final_latency(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(120)
-    assert {(r["seq"], r["latency_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1000.0), (10, None)}
+class Held:
+    """A session's state, as the stream keeps it."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+
+def test_end_and_time_out_clear_the_state():
+    at = lambda *kinds: [pd.DataFrame({"ts": pd.to_datetime([f"2026-01-01 00:00:{i:02d}" for i in range(len(kinds))]), "seq": range(len(kinds)), "kind": list(kinds)})]
+    state = Held()
+    out = pd.concat(transcripts._advance((1,), iter(at("audio", "final")), state))
+    assert out["latency_ms"].tolist() == [1000.0] and state.exists
+    list(transcripts._advance((1,), iter(at("end")), state))
+    assert not state.exists
+    list(transcripts._advance((1,), iter(at("audio")), state))
+    state.hasTimedOut = True
+    assert list(transcripts._advance((1,), iter([]), state)) == [] and not state.exists
 
 
 def test_finals_ask_and_sessions_open(spark):
