@@ -70,6 +70,31 @@ def test_exact_topk_against_numpy(spark):
         assert [r["vector_row"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_row"] == q] == want
 
 
+def test_exact_topk_of_many_parts_and_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(dense, "PART", 40)
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(2).integers(-2, 3, size=(700, 3)).astype("float32")  # most values are ties
+    x[(x == 0).all(axis=1)] = 1
+    v = dense.usable_vectors(spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(700)], "vector_row bigint, embedding array<float>"), dimension=3)
+    found = dense.exact_topk(v.where("vector_row % 9 = 0"), v, 30, 3)
+    # blocks of vectors in one row, copied for each part and joined, filled the memory of broadcasts and workers
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "units#" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_row"], {})[r["rank"]] = (r["vector_row"], r["similarity"])
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    assert set(got) == set(range(0, 700, 9))
+    for q, held in got.items():
+        s = np.round(u @ u[q], 9)
+        s[q] = -9
+        assert [held[i + 1][0] for i in range(30)] == sorted(range(700), key=lambda i: (-s[i], i))[:30]
+    few = v.where("vector_row < 4")
+    assert dense.exact_topk(few, few, 30, 3).count() == 12
+    assert dense.exact_topk(few.limit(0), few, 30, 3).count() == 0
+
+
 def test_fusion_ties_and_depth(spark):
     lanes = spark.createDataFrame(
         [("q", "dense_full", "b", 1), ("q", "sparse_full", "a", 1), ("q", "sparse_anchor", "z", 51), ("q", "dense_anchor", "b", 2)], "request_id string, lane string, parent_id string, rank int"
