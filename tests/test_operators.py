@@ -95,6 +95,28 @@ def test_exact_topk_of_many_parts_and_small_rows(spark, monkeypatch):
     assert dense.exact_topk(few.limit(0), few, 30, 3).count() == 0
 
 
+def test_dense_parents_of_many_parts(spark, tmp_path, monkeypatch):
+    from vettiver.plans import catalog
+
+    monkeypatch.setattr(dense, "PART", 20)
+    x = np.random.default_rng(3).normal(size=(240, 256)).astype("float32")
+    spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(240)], "vector_row bigint, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    meta = "vector_row bigint, chunk_id string, parent_id string, language string"
+    spark.createDataFrame([(i, f"c{i}", f"p{i % 90:02}", "ta") for i in range(240)], meta).write.parquet(f"{tmp_path}/metadata.parquet")
+    found = catalog.dense_parent_collapse(spark, str(tmp_path))
+    assert "units#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_row"], []).append((r["parent_rank"], r["parent_id"]))
+    u = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    assert set(got) == {0, 100, 200}
+    for q, held in got.items():
+        s = np.round(u @ u[q], 9)
+        s[q] = -9
+        near = sorted(range(240), key=lambda i: (-s[i], i))[:100]
+        assert [p for _, p in sorted(held)] == list(dict.fromkeys(f"p{i % 90:02}" for i in near))[: len(held)] and len(held) == 50
+
+
 def test_fusion_ties_and_depth(spark):
     lanes = spark.createDataFrame(
         [("q", "dense_full", "b", 1), ("q", "sparse_full", "a", 1), ("q", "sparse_anchor", "z", 51), ("q", "dense_anchor", "b", 2)], "request_id string, lane string, parent_id string, rank int"
