@@ -14,6 +14,17 @@ def test_keys(word, key):
     assert B.key_of(word) == key
 
 
+def test_places_and_distinct_values(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(B, "MANY", 1)
+    for numbers in (np.array([7]), np.unique(rng.integers(1, 1 << 32, 5000)), np.unique(rng.integers(1, 90, 60)), np.concatenate([np.arange(1, 3000), [(1 << 32) - 1]])):
+        wanted = np.concatenate([rng.choice(numbers, 4000), rng.integers(0, 1 << 32, 4000), [0, numbers[0], numbers[-1], (1 << 32) - 1]])
+        at = np.minimum(np.searchsorted(numbers, wanted), len(numbers) - 1)
+        assert B.place_in(numbers, wanted).tolist() == np.where(numbers[at] == wanted, at, len(numbers)).tolist()
+    x = rng.integers(0, 50, 1000)
+    assert B.distinct(x).tolist() == sorted(set(x.tolist())) and not len(B.distinct(x[:0]))
+
+
 WORDS = {
     "a": "apple acorn alder", "b": "boat barge brig", "c": "court clause claim", "d": "drum dance duet", "e": "engine exhaust enamel", "f": "fever flu fracture", None: "thing matter",
 }
