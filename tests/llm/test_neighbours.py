@@ -1,6 +1,7 @@
 """Nearest vectors against brute force: recall, ties, unusable and equal vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("vettiver.llm")
@@ -134,3 +135,16 @@ def test_a_large_cell_is_split(spark):
             asks.setdefault(r["row"], []).append((r["place"], r["block"]))
     assert max(size.values()) < 200 and sum(size.values()) == 1000
     assert set(asks) == set(range(990)) and all(sorted(x) == [(7, b) for b in range(10)] + [(8, 0), (8, 1)] for x in asks.values())
+
+
+def test_packs_hold_no_part_of_the_code_twice(spark):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 256, size=(300, 32), dtype=np.uint8)
+    for half in (1, 4, 7, 10, 12):
+        values = V._halves(codes, half)
+        for h in range(values.shape[1]):
+            assert V._half_at(codes, h, half).tolist() == values[:, h].tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([2047] * 300, pa.int32()), pa.array([c.tobytes() for c in codes])], ["row", "cell", "code"])
+    (sent, *_) = V._index(7, spark.sparkContext.broadcast({}))(iter([batch]))
+    # a row number, a cell and a code: 8, 2 and 32 bytes
+    assert sum(len(b) for c in sent.columns[3:] for b in c.to_pylist()) == 300 * 42

@@ -188,6 +188,13 @@ def _halves(codes: np.ndarray, half: int) -> np.ndarray:
     return signs[:, : many * half].reshape(len(signs), many, half).astype(np.int32) @ weights
 
 
+def _half_at(codes: np.ndarray, h: int, half: int) -> np.ndarray:
+    """Column ``h`` of ``_halves``."""
+    lo = h * half
+    signs = np.unpackbits(codes[:, lo // 8 : -(-(lo + half) // 8)], axis=1)[:, lo % 8 : lo % 8 + half]
+    return signs.astype(np.int16) @ (1 << np.arange(half, dtype=np.int16))[::-1]
+
+
 def _codes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
@@ -216,18 +223,18 @@ BOTH, ASKS, HELD = 0, 2, 1
 
 
 def _index(half: int, split):
-    """Each batch's codes in the buckets of all halves: (spot, block, role, rows, cells, others, codes), packed by bucket.
+    """Each batch's codes in the buckets of all halves: (spot, block, role, rows, cells, codes), packed by bucket.
 
     ``split`` names the buckets of several blocks and their number: a code is held by one block and asks in all.
     """
-    names = ["spot", "block", "role", "rows", "cells", "others", "codes"]
+    names = ["spot", "block", "role", "rows", "cells", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = split.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, cells, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _codes(batch.column(2))
+            rows, cells, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int16), _codes(batch.column(2))
             values = _halves(codes, half)
             salt = _shuffled(rows)
             for h in range(values.shape[1]):
@@ -236,7 +243,6 @@ def _index(half: int, split):
                 edge = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [len(value)]])
                 spots = (value[edge[:-1]] + (h << half)).astype(np.int32)
                 hot = np.array([s in blocks for s in spots.tolist()]) if blocks else np.zeros(len(spots), bool)
-                other = values[:, h ^ 1].astype(np.int16)
                 sent = [(order[np.repeat(~hot, np.diff(edge))], np.concatenate([[0], np.cumsum(np.diff(edge)[~hot])]), spots[~hot], np.zeros((~hot).sum(), np.int32), np.full((~hot).sum(), BOTH, np.int32))]
                 for g in np.flatnonzero(hot):
                     mine, many = order[edge[g] : edge[g + 1]], blocks[int(spots[g])]
@@ -247,7 +253,7 @@ def _index(half: int, split):
                                 sent.append((some, np.array([0, len(some)]), spots[g : g + 1], np.array([b], np.int32), np.array([role], np.int32)))
                 for who, e, s, b, r in sent:
                     if len(s):
-                        packs = [_packed(x[who], e) for x in (rows, cells, other, codes)]
+                        packs = [_packed(x[who], e) for x in (rows, cells, codes)]
                         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(b), pa.array(r), *packs], names)
 
     return run
@@ -266,10 +272,11 @@ def _probe(radius: int, half: int, bits: int):
     near = np.bitwise_count(np.arange(1 << half, dtype=np.uint16)) <= 1
     width = bits // 8
 
-    def unpack(packs: list[tuple]) -> tuple[np.ndarray, ...]:
-        kinds = (np.int64, np.int32, np.int16)
-        rows, cells, others = (np.frombuffer(b"".join(p[i] for p in packs), dtype=t) for i, t in enumerate(kinds))
-        codes = np.frombuffer(b"".join(p[3] for p in packs), dtype=np.uint8).reshape(len(rows), width)
+    def unpack(packs: list[tuple], spot: int) -> tuple[np.ndarray, ...]:
+        rows, cells = (np.frombuffer(b"".join(p[i] for p in packs), dtype=t) for i, t in enumerate((np.int64, np.int16)))
+        codes = np.frombuffer(b"".join(p[2] for p in packs), dtype=np.uint8).reshape(len(rows), width)
+        # the other half is a part of the code: it isn't sent
+        others = _half_at(codes, (spot >> half) ^ 1, half)
         return rows, cells, others, codes.view(np.uint64) if width % 8 == 0 else codes
 
     def ask(asking: tuple, held: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -314,7 +321,8 @@ def _probe(radius: int, half: int, bits: int):
                 many += len(got[0])
 
         def flush() -> pa.RecordBatch:
-            both = np.unique(np.concatenate([m[0] for m in met]) * PIVOTS + np.concatenate([m[1] for m in met]))
+            both = np.sort(np.concatenate([m[0] for m in met]) * PIVOTS + np.concatenate([m[1] for m in met]))
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
             met.clear()
             return pa.RecordBatch.from_arrays([pa.array(both // PIVOTS), pa.array((both % PIVOTS).astype(np.int32))], ["row", "cell"])
 
@@ -322,23 +330,23 @@ def _probe(radius: int, half: int, bits: int):
             for spot, block, role, *pack in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (spot, block) != last:
                     if held and built is None:
-                        built = unpack(held)
+                        built = unpack(held, last[0])
                         settle()
                     held, built, last = [], None, (spot, block)
                 if role == BOTH:
                     held.append(tuple(pack))
                 elif held:
                     if built is None:
-                        built = unpack(held)
+                        built = unpack(held, spot)
                         settle()
-                    for got in ask(unpack([tuple(pack)]), built):
+                    for got in ask(unpack([tuple(pack)], spot), built):
                         met.append(got)
                         many += len(got[0])
                 if many >= 500_000:
                     yield flush()
                     many = 0
         if held and built is None:
-            built = unpack(held)
+            built = unpack(held, last[0])
             settle()
         if met:
             yield flush()
@@ -419,7 +427,7 @@ def retrieve(codes: DataFrame, half: int, radius: int, bits: int) -> DataFrame:
     # at most one row for each value of each half: fewer than bits * 2 ** half / half
     hot = {r["spot"]: -(-r["n"] // BUCKET) for r in counted.where(F.col("n") > BUCKET).collect()}
     split = codes.sparkSession.sparkContext.broadcast(hot)
-    packs = codes.select("row", "cell", "code").mapInArrow(_index(half, split), "spot int, block int, role int, rows binary, cells binary, others binary, codes binary")
+    packs = codes.select("row", "cell", "code").mapInArrow(_index(half, split), "spot int, block int, role int, rows binary, cells binary, codes binary")
     met = packs.repartition("spot", "block").sortWithinPartitions("spot", "block", "role").mapInArrow(_probe(radius, half, bits), "row bigint, cell int")
     return met.groupBy("row").agg(F.collect_set("cell").alias("cells"))
 
