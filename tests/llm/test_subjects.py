@@ -76,3 +76,33 @@ def test_a_batch_without_any_term():
     assert u.labels.tolist() == [-1, -1]
     none = np.zeros(0, np.int64)
     assert len(B.lay_out(none, none, none, none, np.zeros(0, bool), terms).labels) == 0
+
+
+def test_all_examples_count_and_all_sources_have_shares(spark):
+    rng = random.Random(8)
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    # every example of b comes after the first
+    examples = spark.createDataFrame([(i, made(rng, s, 3), s) for i, s in enumerate("a" * 8 + "b" * 8)], "example_id bigint, text string, subject string")
+    rows = [(i, made(rng, "ab"[i % 2], 4), f"s{i % 4}", "passage") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, kind string")
+    got = {}
+    for r in B.subjects_of(docs, examples, areas, sample=1).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert np.mean([got.get(i) == {"ab"[i % 2]} for i in range(120)]) >= 0.9
+
+
+def test_sources_are_drawn_alike_here_and_where_they_lie(spark):
+    shares = [(None if i == 3 else f"s{i}", 20 + 5 * i, [0.9, 0.05] if i % 3 else [0.05, 0.4 + 0.01 * i]) for i in range(40)]
+    means = B.materialise(spark.createDataFrame(shares, "source string, n bigint, share array<double>").repartition(5))
+    y = np.array([[1, 0], [0, 1], [0, 0]] * 3000)
+    drawn = [B.drawn_sources(means, 2, y, few, np.random.default_rng(1)) for few in (True, False)]
+    held, n = np.array([s for *_, s in shares]), np.array([n for _, n, _ in shares])
+    for c in range(3):
+        p = B.likely(held, n, y[c] > 0)
+        want = (p[:, None] * held).sum(axis=0) / p.sum()
+        for d in drawn:
+            assert np.abs(d[c::3].mean(axis=0) - want).max() < 0.03
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate([x[0] for x in shares] + ["new"])], "key bigint, source string").withColumn("f", B.F.lit(1.0))
+    for few in (True, False):
+        got = {r["key"]: r["share"] for r in B.shared_out(docs, means, few).collect()}
+        assert got == {**{i: x[2] for i, x in enumerate(shares)}, 40: None}

@@ -40,7 +40,7 @@ from vettiver.functions.shared import materialise
 from vettiver.llm.one_form import one_form
 from vettiver.llm.sentences import ABBREVIATED, SAYING
 
-#: Labelled examples that are read, and sources that have shares of their own, at most.
+#: Up to so many sources are sent to all workers and drawn from by the driver; more are joined and drawn from where they lie.
 SAMPLE = 20_000
 ROUNDS = 3
 COMPOSED = 6_000
@@ -394,9 +394,9 @@ def _count_terms(model):
     return run
 
 
-def _keeping(counts: np.ndarray, totals: np.ndarray, least: float, pure: float) -> tuple[np.ndarray, np.ndarray]:
+def _keeping(counts: np.ndarray, totals: np.ndarray, least: float, pure: float, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which terms occur ``least`` times and keep to one subject, or share two, more than terms do on average; and the shares of all."""
-    base = counts.sum(axis=0) / max(1.0, totals.sum())
+    base = counts.sum(axis=0) / max(1.0, totals.sum()) if base is None else base
     share = counts / (totals + 0.5)[:, None]
     best = share.argmax(axis=1) if len(share) else np.zeros(0, dtype=np.int64)
     top = -np.sort(-share, axis=1)
@@ -409,25 +409,63 @@ def _keeping(counts: np.ndarray, totals: np.ndarray, least: float, pure: float)
     return (totals >= least) & sure & (one | two), np.where(share >= 0.15, share, 0).astype(np.float32)
 
 
-def terms_of_examples(rows: list[tuple[str, str]], subjects: list[str]) -> Terms:
-    """The first model: terms of the labelled examples that keep to a subject."""
-    seen: list[np.ndarray] = []
-    of: list[np.ndarray] = []
-    for text, subject in rows:
-        words = np.array(parse(text)[0], dtype=np.int64)
-        own, stem = word_of(words), words >> 32
-        mine = np.unique(np.concatenate([own[own > 0], stem[stem > 0] + STEMS]))
-        seen.append(mine)
-        of.append(np.full(len(mine), subjects.index(subject)))
-    if not seen:
-        return Terms(subjects, shares=np.zeros((0, len(subjects)), np.float32))
-    numbers, place = np.unique(np.concatenate(seen), return_inverse=True)
-    many = len(subjects)
-    counts = np.bincount(place * many + np.concatenate(of), minlength=len(numbers) * many).reshape(-1, many).astype(float)
-    keep, shares = _keeping(counts, counts.sum(axis=1), 3, 0.75)
+def _count_examples(subjects: list[str]):
+    """(term, s, n): in how many examples of each subject each term occurs, added up for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for text, subject in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words = np.array(parse(text)[0], dtype=np.int64)
+                own, stem = word_of(words), words >> 32
+                seen.append(distinct(np.concatenate([own[own > 0], stem[stem > 0] + STEMS])))
+                of.append(np.full(len(seen[-1]), subjects.index(subject)))
+            both, n = np.unique(np.stack([np.concatenate(seen), np.concatenate(of)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1].astype(np.int32)), pa.array(n)], ["term", "s", "n"])
+
+    return run
+
+
+def terms_of_examples(labelled: DataFrame, subjects: list[str]) -> Terms:
+    """The first model: terms of the labelled examples (text, subject) that keep to a subject."""
+    counted = materialise(labelled.mapInArrow(_count_examples(subjects), "term bigint, s int, n bigint").groupBy("term", "s").agg(F.sum("n").alias("n")))
+    each = np.zeros(len(subjects))
+    for r in counted.groupBy("s").agg(F.sum("n").alias("n")).collect():
+        each[r["s"]] = r["n"]
+    by_subject = [F.sum(F.when(F.col("s") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(len(subjects))]
+    rows = sorted(tuple(r) for r in counted.groupBy("term").agg(*by_subject, F.sum("n").alias("n")).where("n >= 3").drop("n").collect())
+    numbers = np.array([r[0] for r in rows], dtype=np.int64)
+    counts = np.array([r[1:] for r in rows], dtype=float).reshape(-1, len(subjects))
+    keep, shares = _keeping(counts, counts.sum(axis=1), 3, 0.75, each / max(1.0, each.sum()))
     return Terms(subjects, numbers[keep], shares[keep])
 
 
+def _count_pools(model):
+    """(s, label, size, n): the units of the examples of each subject, by their label and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = model.value
+        for batch in batches:
+            rows = []
+            for text, subject in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words, size, speech = parse(text)
+                u = lay_out(np.array(words, np.int64), np.array([len(words)]), np.array(size, np.int64), np.array([len(size)]), np.array([speech]), terms)
+                rows.append(np.stack([np.full(len(u.labels), terms.subjects.index(subject)), u.labels, u.sizes]))
+            if rows:
+                found, n = np.unique(np.concatenate(rows, axis=1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in found], pa.array(n)], ["s", "label", "size", "n"])
+
+    return run
+
+
+def pools_of(labelled: DataFrame, terms: Terms) -> list[np.ndarray]:
+    """For each subject the rows (label, size, n) of the units of its examples."""
+    model = labelled.sparkSession.sparkContext.broadcast(terms)
+    counted = labelled.mapInArrow(_count_pools(model), "s int, label int, size int, n bigint").groupBy("s", "label", "size").agg(F.sum("n").alias("n"))
+    rows = sorted(tuple(r) for r in counted.collect())  # at most a row for each size that occurs, label and subject
+    return [np.array([r[1:] for r in rows if r[0] == k], dtype=np.int64).reshape(-1, 3) for k in range(len(terms.subjects))]
+
+
 #: A term must occur that many times for each document, and at least so often.
 OCCURS, LEAST = 5e-4, 4
 
@@ -545,28 +583,21 @@ def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25
     return w
 
 
-def compose(model: Terms, examples: list[tuple[str, str]], drawn: list[tuple[str, tuple[int, ...], int]], sources: np.ndarray, sizes: np.ndarray, bare: np.ndarray, seed: int = 0):
-    """Features, source shares and labels of ``COMPOSED`` documents made of units of labelled examples and of units without a subject.
+def compose(pools: list[np.ndarray], drawn: list[tuple[str, tuple[int, ...], int]], bare: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of ``COMPOSED`` documents made of units of labelled examples and of units without a subject.
 
-    ``drawn`` has (kind, labels, how many documents); ``sources`` the subject shares of each source and ``sizes`` its number
-    of documents; ``bare`` how many units without a subject have each size. A part of the combinations is drawn evenly, so
-    that every link has cases.
+    ``pools`` has the examples' units, ``drawn`` (kind, labels, how many documents), ``bare`` how many units without a
+    subject have each size. A part of the combinations is drawn evenly, so that every link has cases.
     """
-    rng = np.random.default_rng(seed)
-    subjects = model.subjects
-    many = len(subjects)
-    pools: list[list[tuple[int, int]]] = [[] for _ in subjects]
-    for text, subject in examples:
-        words, size, speech = parse(text)
-        u = lay_out(np.array(words, np.int64), np.array([len(words)]), np.array(size, np.int64), np.array([len(size)]), np.array([speech]), model)
-        pools[subjects.index(subject)] += list(zip(u.labels.tolist(), u.sizes.tolist(), strict=True))
-    some = [k for k in range(many) if pools[k]]
+    many = len(pools)
+    upto = [np.cumsum(p[:, 2]) for p in pools]
+    some = [k for k in range(many) if len(pools[k])]
     weight = np.array([n for *_, n in drawn], dtype=float)
     pick = rng.choice(len(drawn), COMPOSED, p=weight / weight.sum()) if len(drawn) else None
     lengths = np.arange(len(bare))[bare > 0] if bare.any() else np.array([8])
     chance = bare[bare > 0] / bare.sum() if bare.any() else np.ones(1)
     fill = iter(rng.choice(lengths, COMPOSED * 8, p=chance).tolist())
-    x, source, y = [], [], []
+    x, y = [], []
     for t in range(COMPOSED):
         if pick is None or rng.random() < EVENLY:
             kind, labels = KINDS[rng.integers(len(KINDS))], tuple(rng.permutation(some)[: rng.integers(0, 4)].tolist())
@@ -574,20 +605,82 @@ def compose(model: Terms, examples: list[tuple[str, str]], drawn: list[tuple[str
             kind, labels = drawn[pick[t]][:2]
         units: list[tuple[int, int, int]] = []
         for k in labels:
-            if pools[k]:
-                units += [(k, *pools[k][i]) for i in rng.integers(len(pools[k]), size=rng.integers(1, 9))]
+            if len(pools[k]):
+                picked = np.searchsorted(upto[k], rng.integers(upto[k][-1], size=rng.integers(1, 9)), side="right")
+                units += [(k, *pools[k][i, :2].tolist()) for i in picked]
         units += [(-1, -1, next(fill)) for _ in range(rng.integers(0 if units else 1, 7))]
         truth, found, size = (np.array(c) for c in zip(*units, strict=True))
         u = Units(np.zeros(0, np.int64), size, np.zeros(len(units), np.int64), 1, found)
         x.append(features(u, [kind], many)[0])
         on = np.bincount(truth[truth >= 0], minlength=many) / len(units) >= SHARE
         y.append(on.astype(float))
-        if len(sources):
-            likely = sizes * np.prod(np.maximum(sources[:, on], 1e-4), axis=1)
-            source.append(sources[rng.choice(len(sources), p=likely / likely.sum())])
-        else:
-            source.append(np.zeros(many))
-    return np.array(x), np.array(source), np.array(y)
+    return np.array(x), np.array(y)
+
+
+def likely(sources: np.ndarray, n: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """How likely a document with the labels ``on`` is of each source: by its number of documents and its subject shares."""
+    return n * np.prod(np.maximum(sources[:, on], 1e-4), axis=1)
+
+
+def drawn_sources(means: DataFrame, many: int, y: np.ndarray, few: bool, rng: np.random.Generator) -> np.ndarray:
+    """The subject shares of a source drawn for each row of labels ``y``, among all of ``means`` (source, n, share).
+
+    A ``few`` sources are drawn from by the driver. Of more, each partition adds up its weights for each combination of
+    labels; the driver draws a partition and a place in it, and the partition looks up the source there.
+    """
+    kinds, which = np.unique(y > 0, axis=0, return_inverse=True)
+    which = which.ravel()
+    out = np.zeros((len(y), many))
+    if few:
+        rows = sorted(means.collect(), key=lambda r: (-r["n"], r["source"] is not None, r["source"]))
+        shares, n = np.array([r["share"] for r in rows], dtype=float).reshape(-1, many), np.array([r["n"] for r in rows], dtype=float)
+        for c, on in enumerate(kinds):
+            if len(rows):
+                mine = np.flatnonzero(which == c)
+                weight = likely(shares, n, on)
+                out[mine] = shares[rng.choice(len(rows), len(mine), p=weight / weight.sum())]
+        return out
+
+    def weights(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        shares = batch.column(2).flatten().to_numpy().reshape(-1, many)
+        n = batch.column(1).to_numpy().astype(float)
+        return shares, np.stack([likely(shares, n, on) for on in kinds])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(len(kinds))
+        for batch in batches:
+            if batch.num_rows:
+                part, total = batch.column(0)[0].as_py(), total + weights(batch)[1].sum(axis=1)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tolist()])], ["part", "w"])
+
+    # written rows keep their partitions and their order there
+    lying = means.select(F.spark_partition_id().alias("part"), "n", "share")
+    parts = sorted((r["part"], r["w"]) for r in lying.mapInArrow(add_up, "part int, w array<double>").collect())
+    held = np.array([w for _, w in parts])
+    asked: dict[int, list[tuple[int, int, float]]] = {}
+    for c in range(len(kinds)):
+        mine = np.flatnonzero(which == c)
+        for t, p in zip(mine.tolist(), rng.choice(len(parts), len(mine), p=held[:, c] / held[:, c].sum()).tolist(), strict=True):
+            asked.setdefault(parts[p][0], []).append((t, c, rng.random() * held[p, c]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, total = None, np.zeros(len(kinds))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left = asked.get(batch.column(0)[0].as_py(), []) if left is None else left
+            shares, weight = weights(batch)
+            upto = np.cumsum(weight, axis=1)
+            end = total + weight.sum(axis=1)
+            here = [(t, shares[min(np.searchsorted(upto[c], at - total[c], side="right"), len(shares) - 1)].tolist()) for t, c, at in left if at < end[c]]
+            left = [x for x in left if x[2] >= end[x[1]]]
+            total = end
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in here], pa.int32()), pa.array([x for _, x in here], pa.list_(pa.float64()))], ["t", "share"])
+
+    for r in lying.mapInArrow(look_up, "t int, share array<double>").collect():
+        out[r["t"]] = r["share"]
+    return out
 
 
 def _features_of(model):
@@ -604,12 +697,12 @@ def _features_of(model):
 
 def _classify(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subjects, chain, priors, base = model.value
+        subjects, chain, base = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-            source = np.array([priors.get(s, base) for s in batch.column(1).to_pylist()])
+            source = np.array([base if s is None else s for s in batch.column(1).to_pylist()])
             on = chain.decode(x, source) > 0
             on &= x[:, : len(subjects)] > 0
             row, subject = np.nonzero(on)
@@ -618,15 +711,21 @@ def _classify(model):
     return run
 
 
+def shared_out(held: DataFrame, means: DataFrame, few: bool) -> DataFrame:
+    """(key, share, f): each document with the subject shares of its source, null for a source without."""
+    own = means.select(F.col("source").alias("of"), "share")
+    return held.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("of")), "left").select("key", "share", "f")
+
+
 def subjects_of(documents: DataFrame, examples: DataFrame, areas: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """(key, subject): the subjects that each document is about, none, one or several rows.
 
-    ``documents`` has the unique key, text, source and kind; ``examples`` text and subject; ``areas`` subject. At most
-    ``sample`` labelled examples are read, and as many sources, the largest, have subject shares of their own.
+    ``documents`` has the unique key, text, source and kind; ``examples`` text and subject; ``areas`` subject. Up to
+    ``sample`` sources are sent to all workers, more are joined by shuffle; every source of 20 documents has shares of its own.
     """
     spark = documents.sparkSession
     subjects = [r["subject"] for r in areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").collect()]
-    labelled = [(r["text"], r["subject"]) for r in examples.select("example_id", "text", "subject").orderBy("example_id").limit(sample).collect() if r["text"] and r["subject"] in subjects]
+    labelled = examples.select("text", "subject").where(F.col("subject").isin(subjects) & (F.col("text") != ""))
     rows = documents.select(F.col(key).alias("key"), "source", "kind", "text").where("text IS NOT NULL")
     kind = rows.schema["key"].dataType.simpleString()
     # one file may hold all documents: they are spread before their texts are read, once
@@ -639,18 +738,20 @@ def subjects_of(documents: DataFrame, examples: DataFrame, areas: DataFrame, key
     made = read.select("key", "source", "kind", "speech", "words", "sizes").mapInArrow(_features_of(spark.sparkContext.broadcast(terms)), f"key {kind}, source string, kind string, f array<float>")
     held = materialise(made)
     many = len(subjects)
-    means = held.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("f")[i]).alias(f"m{i}") for i in range(many)]).where("n >= 20").orderBy(F.desc("n"), "source").limit(sample).collect()
-    shares, sizes = np.array([r[2:] for r in means], dtype=float).reshape(-1, many), np.array([r["n"] for r in means], dtype=float)
-    base = np.average(shares, axis=0, weights=sizes) if means else np.zeros(many)
-    priors = {r["source"]: m for r, m in zip(means, shares, strict=True)}
+    share = F.array(*[F.avg(F.col("f")[i]) for i in range(many)]).alias("share")
+    means = materialise(held.groupBy("source").agg(F.count(F.lit(1)).alias("n"), share).where("n >= 20"))
+    few = means.count() <= sample
+    weighed = means.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("share")[i]) for i in range(many)]).first()
+    base = np.array(weighed[1:], dtype=float) / weighed[0] if weighed[0] else np.zeros(many)
     # how often each combination of subjects occurs in each kind: fewer than 5 subjects can have a quarter each
     combined = F.filter(F.transform(F.slice("f", 1, many), lambda x, i: F.when(x >= SHARE, i)), lambda i: i.isNotNull()).alias("labels")
     counted = held.select(F.when(F.col("kind").isin(*KINDS), F.col("kind")).alias("kind"), combined).groupBy("kind", "labels").agg(F.count(F.lit(1)).alias("n")).collect()
     drawn = sorted(((r["kind"] or "", tuple(r["labels"]), r["n"]) for r in counted))
     chain = Chain(many)
-    if labelled:
-        x, source, y = compose(terms, labelled, drawn, shares, sizes, bare)
-        chain.fit(x, source, y)
-        model = spark.sparkContext.broadcast((subjects, chain, priors, base))
-        return held.select("key", "source", "f").mapInArrow(_classify(model), f"key {kind}, subject string").withColumnRenamed("key", key)
+    if labelled.take(1):
+        rng = np.random.default_rng(0)
+        x, y = compose(pools_of(labelled, terms), drawn, bare, rng)
+        chain.fit(x, drawn_sources(means, many, y, few, rng), y)
+        model = spark.sparkContext.broadcast((subjects, chain, base))
+        return shared_out(held, means, few).mapInArrow(_classify(model), f"key {kind}, subject string").withColumnRenamed("key", key)
     return held.where(F.lit(False)).select(F.col("key").alias(key), F.lit("").alias("subject"))
