@@ -117,6 +117,27 @@ def test_dense_parents_of_many_parts(spark, tmp_path, monkeypatch):
         assert [p for _, p in sorted(held)] == list(dict.fromkeys(f"p{i % 90:02}" for i in near))[: len(held)] and len(held) == 50
 
 
+def test_dense_parents_send_no_vectors_to_all(spark, tmp_path):
+    from vettiver.plans import catalog
+
+    x = np.random.default_rng(4).normal(size=(300, 256)).astype("float32")
+    spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(300)], "vector_row bigint, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    meta = "vector_row bigint, chunk_id string, parent_id string, language string"
+    spark.createDataFrame([(i, f"c{i}", f"p{i}", "ta") for i in range(300)], meta).write.parquet(f"{tmp_path}/metadata.parquet")
+    found = catalog.dense_parent_collapse(spark, str(tmp_path))
+    assert found.count() == 150
+    # broadcasts hold keys and parents: blocks of vectors in them, copied for each part, ran out of memory on 0.1 GB
+    nodes, sent = [found._jdf.queryExecution().sparkPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "BroadcastHashJoin":
+            side = node.right() if node.buildSide().toString() == "BuildRight" else node.left()
+            sent += [side.schema().apply(i).dataType().typeName() for i in range(side.schema().size())]
+    assert sent and set(sent) <= {"long", "string"}
+
+
 def test_fusion_ties_and_depth(spark):
     lanes = spark.createDataFrame(
         [("q", "dense_full", "b", 1), ("q", "sparse_full", "a", 1), ("q", "sparse_anchor", "z", 51), ("q", "dense_anchor", "b", 2)], "request_id string, lane string, parent_id string, rank int"
