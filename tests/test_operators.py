@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vettiver.operators import dense, evaluate, fusion, sparse
 from vettiver.sources.tables import resolve_column
@@ -138,6 +139,28 @@ def test_dense_parents_send_no_vectors_to_all(spark, tmp_path):
     assert sent and set(sent) <= {"long", "string"}
 
 
+def test_topk_among_reads_vectors_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "PART", 40)
+    x = np.random.default_rng(5).integers(-2, 3, size=(500, 3)).astype("float32")
+    x[(x == 0).all(axis=1)] = 1
+    spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(500)], "vector_row bigint, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    v = dense.usable_vectors(spark.read.parquet(f"{tmp_path}/vectors.parquet"), dimension=3)
+    found = dense.exact_topk_among(v, v["vector_row"] % 9 == 0, 20, 3)
+    # scans for both roles ran at a time and filled a heap of 1 GB on 24 cores
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert sorted(found.collect()) == sorted(dense.exact_topk(v.where("vector_row % 9 = 0"), v, 20, 3).collect())
+    assert dense.exact_topk_among(v, F.lit(None).cast("boolean"), 20, 3).count() == 0
+
+
+def test_dense_parents_read_vectors_once(spark, tmp_path):
+    from vettiver.plans import catalog
+
+    spark.createDataFrame([(i, [float(i + 1)] * 256) for i in range(3)], "vector_row bigint, embedding array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    spark.createDataFrame([(i, f"p{i}") for i in range(3)], "vector_row bigint, parent_id string").write.parquet(f"{tmp_path}/metadata.parquet")
+    plan = catalog.dense_parent_collapse(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "embedding#" in line for line in plan.splitlines()) == 1
+
+
 def test_fusion_ties_and_depth(spark):
     lanes = spark.createDataFrame(
         [("q", "dense_full", "b", 1), ("q", "sparse_full", "a", 1), ("q", "sparse_anchor", "z", 51), ("q", "dense_anchor", "b", 2)], "request_id string, lane string, parent_id string, rank int"

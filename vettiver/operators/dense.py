@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSION = 256
@@ -103,13 +103,35 @@ def _multiply(k: int, dimension: int):
     return run
 
 
+def _parts(vectors: DataFrame) -> int:
+    return max(PARTS, -(-vectors.count() // PART))
+
+
+def _own(parts: int) -> Column:
+    return F.pmod(F.xxhash64("vector_row"), F.lit(parts)).cast("int")
+
+
+def _ranked(met: DataFrame, parts: int, k: int, dimension: int) -> DataFrame:
+    """The ``k`` best of each asking row of ``met`` (part, role, row, embedding)."""
+    met = met.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "role")
+    found = met.mapInArrow(_multiply(k, dimension), "query_row bigint, vector_row bigint, similarity double")
+    best = Window.partitionBy("query_row").orderBy(F.col("similarity").desc(), "vector_row")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int = CHILD_K, dimension: int = DIMENSION) -> DataFrame:
     """(query_row, rank, vector_row, similarity): the ``k`` most similar others of each query row, ties to the smaller row."""
-    parts = max(PARTS, -(-vectors.count() // PART))
+    parts = _parts(vectors)
     rows = [F.col("vector_row").cast("bigint").alias("row"), "embedding"]
-    held = vectors.select(F.pmod(F.xxhash64("vector_row"), F.lit(parts)).cast("int").alias("part"), F.lit(HELD).alias("role"), *rows)
+    held = vectors.select(_own(parts).alias("part"), F.lit(HELD).alias("role"), *rows)
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(ASKS).alias("role"), *rows)
-    met = held.unionByName(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "role")
-    found = met.mapInArrow(_multiply(k, dimension), "query_row bigint, vector_row bigint, similarity double")
-    best = Window.partitionBy("query_row").orderBy(F.col("similarity").desc(), "vector_row")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _ranked(held.unionByName(asked), parts, k, dimension)
+
+
+def exact_topk_among(vectors: DataFrame, asks: Column, k: int = CHILD_K, dimension: int = DIMENSION) -> DataFrame:
+    """``exact_topk`` of the vectors for which ``asks`` holds: one scan serves both roles, so that no two run at a time."""
+    parts = _parts(vectors)
+    own = F.array(F.struct(_own(parts).alias("part"), F.lit(HELD).alias("role")))
+    every = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.struct(p.alias("part"), F.lit(ASKS).alias("role")))
+    met = vectors.select(F.explode(F.when(asks, F.concat(own, every)).otherwise(own)).alias("to"), F.col("vector_row").cast("bigint").alias("row"), "embedding")
+    return _ranked(met.select("to.part", "to.role", "row", "embedding"), parts, k, dimension)

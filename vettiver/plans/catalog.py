@@ -167,7 +167,7 @@ def sparse_fused(spark: SparkSession, folder: str) -> DataFrame:
 def _vector_hits(spark: SparkSession, folder: str) -> DataFrame:
     named = table(spark, folder, "metadata").select("vector_row").distinct()
     vectors = dense.usable_vectors(table(spark, folder, "vectors")).join(named, "vector_row", "left_semi")
-    return dense.exact_topk(vectors.where("vector_row % 100 = 0"), vectors)
+    return dense.exact_topk_among(vectors, F.expr("vector_row % 100 = 0"))
 
 
 def vector_topk_cosine(spark: SparkSession, folder: str) -> DataFrame:
